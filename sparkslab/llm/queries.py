@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkslab.llm.langid import identify
 from sparkslab.llm.tokens import token_output
+from sparkslab.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,16 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {"op1_token_output": op1_token_output}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by hyperdimensional profiles."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a factorization machine."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op5_toxicity": op5_toxicity}
 
 ORACLE_SQL: dict[str, str] = {}
