@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkslab.llm.html import extract
 from sparkslab.llm.langid import identify
 from sparkslab.llm.tokens import token_output
 from sparkslab.llm.toxicity import toxicity
@@ -36,6 +37,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op5_toxicity": op5_toxicity}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by minimum cuts."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_language_id": op2_language_id,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_extraction": op6_html_extraction,
+}
 
 ORACLE_SQL: dict[str, str] = {}
