@@ -16,6 +16,7 @@ once.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from sparkslab.plans.stage import new_path
 #: Ids after which a segment is closed (a document is never divided).
 SEGMENT_IDS = 1 << 19
 #: Words kept by a worker with their ids; when full, the table starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 
@@ -38,40 +39,44 @@ SEGMENT = "shard long, segment long, base long, n_ids long, doc_ids array<long>,
 DECODED = "doc_id long, shard long, start_in_shard long, n_tokens long, ids_crc32 long"
 
 
-class Encoder:
-    """Encodes whole texts piece by piece.
+class Encoder(dict):
+    """Encodes whole texts piece by piece, and is the table of the pieces' ids.
 
     White space never joins two tokens in the vocabularies meant here (it is
     removed before the merges), so a text's ids are those of its pieces between
-    blanks, and a piece that occurs again needs no new merge.
+    blanks, and a piece that occurs again needs no new merge.  The vocabulary
+    is of lower-case text, and a comma or full stop after a letter is a token
+    of its own, so pieces that differ only in these are merged once.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers; null is empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*split) - self.known.keys()) if split else []
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {"": b""}
-            fresh = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(fresh), 20_000):
-            some = fresh[i : i + 20_000]
-            self.known.update(zip(some, self._encode(some), strict=True))
-        known = self.known
-        out = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for p in fresh:
-            if len(p) > CACHE_CHARS:
-                del known[p]
-        return out
+        self.ends = {x: self._merge(x) for x in ",."}
+        self[""] = b""
+
+    def _merge(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1] in ",." and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self.ends[piece[-1]]
+        elif piece.isascii() and "<" not in piece and not piece.islower() and (low := piece.lower()) != piece:
+            ids = self[low]
+        else:
+            ids = self._merge(piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+                self[""] = b""
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """A text's ids as little-endian 32-bit integers; null is empty."""
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -102,17 +107,16 @@ def _segments(path: str, end_id: int):
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for i in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(i, 256).to_pylist()
-                for key, got in zip(keys[i : i + 256], encoder.encode(texts), strict=True):
-                    ids += (got, end)
-                    doc_ids.append(key)
-                    sizes.append(len(got) // 4 + 1)
-                    held += sizes[-1]
-                    if held >= SEGMENT_IDS:
-                        yield close()
-                        base, segment, held = base + held, segment + 1, 0
-                        ids, doc_ids, sizes = [], [], []
+            for key, text in zip(keys, batch.column(1), strict=True):
+                got = encoder.encode(text.as_py())
+                ids += (got, end)
+                doc_ids.append(key)
+                sizes.append(len(got) // 4 + 1)
+                held += sizes[-1]
+                if held >= SEGMENT_IDS:
+                    yield close()
+                    base, segment, held = base + held, segment + 1, 0
+                    ids, doc_ids, sizes = [], [], []
         if sizes:
             yield close()
 
