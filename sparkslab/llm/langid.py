@@ -21,6 +21,9 @@ N = 3
 SEED = 20_240_229
 #: n-gram vectors a worker keeps; when full, the table starts anew.
 CACHE_GRAMS = 40_000
+#: Documents bundled at once, and the n-grams of theirs taken at once.
+BUNDLED = 64
+GRAMS_AT_ONCE = 8_192
 UNDETERMINED = "und"
 _SPACE = 32
 _BITS = 21  # of a code point
@@ -97,6 +100,22 @@ class GramVectors:
         return out
 
 
+    def bundles(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each document's bundle: their n-grams' counts, as a matrix, times the n-grams' vectors."""
+        codes, at = np.unique(np.concatenate([g for g, _ in docs]), return_inverse=True)
+        of = np.repeat(np.arange(len(docs)), [len(g) for g, _ in docs])
+        counts = np.concatenate([c for _, c in docs]).astype(np.float32)
+        out = np.zeros((len(docs), self.dimensions), np.float32)
+        for i in range(0, len(codes), GRAMS_AT_ONCE):
+            some = codes[i : i + GRAMS_AT_ONCE]
+            self.learn(some)
+            mine = (at >= i) & (at < i + GRAMS_AT_ONCE)
+            matrix = np.zeros((len(docs), len(some)), np.float32)
+            matrix[of[mine], at[mine] - i] = counts[mine]
+            out += matrix @ self.rows[np.searchsorted(self.codes, some)]
+        return out
+
+
 _vectors: dict[tuple[int, int], GramVectors] = {}
 
 
@@ -152,15 +171,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
         vectors = _shared(dimensions, seed)
         for batch in batches:
             langs, scores = [], []
-            for i in range(0, batch.num_rows, 500):
-                for text in batch.column(2).slice(i, 500).to_pylist():
-                    codes, counts = grams(text or "")
+            for i in range(0, batch.num_rows, BUNDLED):
+                some = [grams(t or "") for t in batch.column(2).slice(i, BUNDLED).to_pylist()]
+                bundled = vectors.bundles(some) if names else []
+                for k, (codes, _) in enumerate(some):
                     best, score = UNDETERMINED, 0.0
                     if len(codes) and names:
-                        v = vectors.bundle(codes, counts)
-                        cosine = against @ v / max(float(np.linalg.norm(v)), 1e-12)
-                        k = int(cosine.argmax())
-                        best, score = names[k], float(min(max(cosine[k], 0.0), 1.0))
+                        cosine = against @ bundled[k] / max(float(np.linalg.norm(bundled[k])), 1e-12)
+                        top = int(cosine.argmax())
+                        best, score = names[top], float(min(max(cosine[top], 0.0), 1.0))
                     langs.append(best)
                     scores.append(score)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
