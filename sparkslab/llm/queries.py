@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkslab.llm.html import extract
+from sparkslab.llm.jaccard import near_duplicate_classes
 from sparkslab.llm.langid import identify
 from sparkslab.llm.tokens import token_output
 from sparkslab.llm.toxicity import toxicity
@@ -42,11 +43,17 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents, by a MinHash LSH forest."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
