@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkslab.llm.decontaminate import contaminated
 from sparkslab.llm.html import extract
 from sparkslab.llm.jaccard import near_duplicate_classes
 from sparkslab.llm.langid import identify
@@ -48,11 +49,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's benchmark items, by SimHash windows."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
