@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkslab.llm import lines, mixing, warc
 from sparkslab.llm.decontaminate import contaminated
 from sparkslab.llm.html import extract
 from sparkslab.llm.jaccard import near_duplicate_classes
@@ -54,13 +55,31 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that stand on many sites."""
+    return lines.remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in a temperature mixture of the sources."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "repeats")
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified revisits of every page, resolved."""
+    return warc.revisits(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op9_warc_revisits": warc.ORACLE_SQL}
