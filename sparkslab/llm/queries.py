@@ -9,6 +9,7 @@ from sparkslab.llm.decontaminate import contaminated
 from sparkslab.llm.html import extract
 from sparkslab.llm.jaccard import near_duplicate_classes
 from sparkslab.llm.langid import identify
+from sparkslab.llm.media import media
 from sparkslab.llm.tokens import token_output
 from sparkslab.llm.toxicity import toxicity
 
@@ -70,6 +71,11 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisits(table(spark, sf_dir, "pages"))
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload, stored as content-defined chunks and read back."""
+    return media(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
@@ -78,6 +84,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_media_columns": op8_media_columns,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
