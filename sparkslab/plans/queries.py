@@ -106,22 +106,22 @@ def affinity_graph(spark: SparkSession, d: str) -> DataFrame:
     return rounded(affinity.graph_affinity(_label_distances(spark, d), 2.0), "a")
 
 
-_FEW = "SELECT p_partkey AS feature_id, p_brand || p_type || p_size AS block_id, p_retailprice AS t FROM part"
+_FEW = "SELECT p_partkey AS feature_id, p_brand || p_type AS block_id, p_retailprice AS t FROM part"
 
 
 def _few(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("block_id"), F.col("p_retailprice").alias("t"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.concat("p_brand", "p_type").alias("block_id"), F.col("p_retailprice").alias("t"))
 
 
 @query(f"WITH f AS ({_FEW}), z AS (SELECT a.feature_id AS i, b.feature_id AS j, -abs(a.t - b.t) / 200 AS x FROM f a JOIN f b USING (block_id) WHERE a.feature_id <> b.feature_id) SELECT i, j, round(2 * {X.ndtr_sql('x')}, 6) AS w FROM z")
 def weights_sar(spark: SparkSession, d: str) -> DataFrame:
-    """Spatial weights of parts of one brand, type and size."""
+    """Spatial weights of parts of one brand and type."""
     return rounded(affinity.sar_weights(_few(spark, d).withColumn("coord", F.array("t")).withColumn("phi", F.lit(200.0))), "w")
 
 
 @query(f"WITH f AS ({_FEW}) SELECT a.feature_id AS i, b.feature_id AS j, round(exp(-abs(a.t - b.t) / 200), 6) AS w FROM f a JOIN f b USING (block_id) WHERE a.feature_id <> b.feature_id")
 def weights_ar1(spark: SparkSession, d: str) -> DataFrame:
-    """Temporal weights of parts of one brand, type and size."""
+    """Temporal weights of parts of one brand and type."""
     return rounded(affinity.ar1_weights(_few(spark, d).withColumn("len", F.lit(200.0))), "w")
 
 
@@ -165,13 +165,13 @@ def bandwidth_grid(spark: SparkSession, d: str) -> DataFrame:
 _SPANS = "SELECT c_nationkey AS k, o_custkey, min(epoch_us(o_orderdate)) / 86400000000 AS l, max(epoch_us(o_orderdate)) / 86400000000 AS r, avg(o_totalprice) AS relevance FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
 
 
-@query(f"WITH x AS ({_SPANS}), e AS (SELECT k, l AS s FROM x UNION SELECT k, r FROM x), p AS (SELECT k, s, lead(s) OVER (PARTITION BY k ORDER BY s) AS t FROM e) SELECT p.k AS nation, round(s, 6) AS start, round(t, 6) AS \"end\", round(coalesce(avg(relevance), 0), 4) AS relevance FROM p LEFT JOIN x ON p.k = x.k AND l <= (s + t) / 2 AND (s + t) / 2 < r WHERE t IS NOT NULL GROUP BY p.k, s, t")
+@query(f"WITH x AS ({_SPANS}), e AS (SELECT k, l AS s FROM x UNION SELECT k, r FROM x), p AS (SELECT k, s, lead(s) OVER (PARTITION BY k ORDER BY s) AS t FROM e) SELECT p.k AS nation, round(s, 6) AS start, round(t, 6) AS \"end\", round(coalesce(avg(relevance), 0), 1) AS relevance FROM p LEFT JOIN x ON p.k = x.k AND l <= (s + t) / 2 AND (s + t) / 2 < r WHERE t IS NOT NULL GROUP BY p.k, s, t")
 def merge_extents(spark: SparkSession, d: str) -> DataFrame:
     """Pieces between the ends of a nation's customers' order spans, with the mean price of those that cover them."""
     o = table(spark, d, "orders").select("o_custkey", "o_totalprice", (seconds("o_orderdate") / 86400).alias("t"))
     n = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
     x = o.groupBy("o_custkey").agg(F.min("t").alias("l"), F.max("t").alias("r"), F.avg("o_totalprice").alias("relevance")).join(n, "o_custkey")
-    return rounded(rounded(blocks.merge_extents(x, by=["nation"]), "start", "end"), "relevance", digits=4)
+    return rounded(rounded(blocks.merge_extents(x, by=["nation"]), "start", "end"), "relevance", digits=1)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s FROM events), g AS (SELECT *, s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS gap FROM e),
