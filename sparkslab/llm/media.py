@@ -33,6 +33,10 @@ LEAST, MOST, CUT_BITS = 256, 16_384, 10
 _WINDOW = 16
 _GEAR = np.random.default_rng(97).integers(0, 1 << 32, 256, dtype=np.uint32)
 LEVEL = 9
+#: Texts that the compression dictionary is made from, about, and its bytes; few texts make none.
+DICTIONARY_TEXTS, DICTIONARY_BYTES = 2_000, 65_536
+#: Bytes of a digest by which chunks and objects are joined; the whole digests are verified.
+KEY = 16
 
 OBJECT = "sha binary, lens array<int>, digests array<binary>, owned array<boolean>, wanted array<boolean>, blob binary"
 
@@ -107,9 +111,50 @@ def _digest_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "sha", "digests"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Codec:
+    """Compression with a dictionary, which is kept with the store."""
+
+    def __init__(self, dictionary: bytes = b"") -> None:
+        self.dictionary = dictionary
+        self._pair = None
+
+    def __getstate__(self) -> bytes:
+        return self.dictionary
+
+    def __setstate__(self, dictionary: bytes) -> None:
+        self.dictionary, self._pair = dictionary, None
+
+    def _both(self):
+        if self._pair is None:
+            d = zstandard.ZstdCompressionDict(self.dictionary) if self.dictionary else None
+            self._pair = zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+        return self._pair
+
+    def compress(self, data: bytes) -> bytes:
+        """One frame."""
+        return self._both()[0].compress(data)
+
+    def decompress(self, frame: bytes) -> bytes:
+        """Its contents."""
+        return self._both()[1].decompress(frame)
+
+
+def codec_for(docs: DataFrame) -> Codec:
+    """A codec with a dictionary made from a bounded sample of the texts."""
+    n = docs.count()
+    sample = docs.select("text").where("text is not null")
+    if n > DICTIONARY_TEXTS:
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * DICTIONARY_TEXTS / n))
+    texts = [r.text.encode("utf-8", "replace")[: 1 << 16] for r in sample.limit(2 * DICTIONARY_TEXTS).collect()]
+    try:
+        return Codec(zstandard.train_dictionary(DICTIONARY_BYTES, sorted(texts)).as_bytes())
+    except zstandard.ZstdError:  # too few texts
+        return Codec()
+
+
+def _packed(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compressed payloads; of equal ones in a task's batch one."""
-    pack = zstandard.ZstdCompressor(level=LEVEL)
+    pack = codec
     for batch in batches:
         found = {}
         for text in batch.column(0):
@@ -120,9 +165,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["sha", "z"])
 
 
-def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _objects(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the store: what an object owns stays, what another owns goes."""
-    pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+    pack = unpack = codec
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
@@ -145,9 +190,9 @@ def _own_chunks(row: dict, unpack) -> dict[int, bytes]:
     return out
 
 
-def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _offered(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, bytes) of owned chunks that other objects want, compressed."""
-    pack, unpack = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+    pack = unpack = codec
     for batch in batches:
         for row in batch.to_pylist():
             own = _own_chunks(row, unpack)
@@ -155,9 +200,9 @@ def _offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), pa.array([z for _, z in out], pa.binary())], names=["digest", "z"])
 
 
-def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuilt(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified payloads' digests and features."""
-    unpack = zstandard.ZstdDecompressor()
+    unpack = codec
     names = ["sha", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
@@ -176,21 +221,23 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, codec: Codec) -> tuple[DataFrame, DataFrame]:
     """(names, objects): each document's object, and the chunk store, both written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lists = stage(rows.mapInArrow(_digest_lists, "doc_id long, n_bytes long, sha binary, digests array<binary>"), "media-lists")
-    places = lists.groupBy("sha").agg(F.first("digests").alias("digests")).select("sha", F.posexplode("digests").alias("i", "digest"))
-    places = stage(places, "media-places")
-    owners = places.groupBy("digest").agg(F.min(F.struct("sha", "i")).alias("owner"), F.count("*").alias("n")).where("n > 1")
-    shared = places.join(owners, "digest").withColumn("mine", (F.col("sha") == F.col("owner.sha")) & (F.col("i") == F.col("owner.i")))
-    marks = shared.groupBy("sha").agg(F.collect_list(F.when(~F.col("mine"), F.col("i"))).alias("others"), F.collect_list(F.when(F.col("mine"), F.col("i"))).alias("shared"))
-    packed = rows.select("text").mapInArrow(_packed, "sha binary, z binary")
+    short = lambda c: F.substring(c, 1, KEY)
+    places = lists.select(short("sha").alias("key"), "digests").dropDuplicates(["key"]).select("key", F.posexplode("digests").alias("i", "digest"))
+    places = stage(places.select("key", "i", short("digest").alias("digest")), "media-places")
+    owners = places.groupBy("digest").agg(F.min(F.struct("key", "i")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+    shared = places.join(owners, "digest").withColumn("mine", (F.col("key") == F.col("owner.key")) & (F.col("i") == F.col("owner.i")))
+    marks = shared.groupBy("key").agg(F.collect_list(F.when(~F.col("mine"), F.col("i"))).alias("others"), F.collect_list(F.when(F.col("mine"), F.col("i"))).alias("shared"))
+    packed = rows.select("text").mapInArrow(lambda it: _packed(codec, it), "sha binary, z binary").withColumn("key", short("sha"))
     none = F.lit(None).cast("array<int>")
-    both = packed.select("sha", "z", none.alias("others"), none.alias("shared")).unionByName(marks.select("sha", F.lit(None).cast("binary").alias("z"), "others", "shared"))
-    joined = both.groupBy("sha").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("z", "others", "shared")])
+    empty = F.lit(None).cast("binary")
+    both = packed.select("key", "sha", "z", none.alias("others"), none.alias("shared")).unionByName(marks.select("key", empty.alias("sha"), empty.alias("z"), "others", "shared"))
+    joined = both.groupBy("key").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("sha", "z", "others", "shared")])
     # blobs are compressed already
-    return lists.select("doc_id", "n_bytes", "sha"), stage(joined.mapInArrow(_objects, OBJECT), "media-objects", codec="none")
+    return lists.select("doc_id", "n_bytes", "sha"), stage(joined.mapInArrow(lambda it: _objects(codec, it), OBJECT), "media-objects", codec="none")
 
 
 def media(docs: DataFrame) -> DataFrame:
@@ -200,13 +247,16 @@ def media(docs: DataFrame) -> DataFrame:
     repeated rows give repeated results; a null id is carried.  A chunk or an
     object whose digest differs stops the query.
     """
-    names, objects = store(docs)
+    codec = codec_for(docs)
+    spark = docs.sparkSession
+    stage(spark.createDataFrame([(bytearray(codec.dictionary),)], "dictionary binary"), "media-dictionary")
+    names, objects = store(docs, codec)
     whole = F.forall("owned", lambda x: x)
-    offered = objects.where(F.exists("wanted", lambda x: x)).mapInArrow(_offered, "digest binary, z binary")
+    offered = objects.where(F.exists("wanted", lambda x: x)).mapInArrow(lambda it: _offered(codec, it), "digest binary, z binary")
     needs = objects.where(~whole).select("sha", F.posexplode(F.arrays_zip("digests", "owned")).alias("i", "x")).where("not x.owned").select("sha", "i", F.col("x.digests").alias("digest"))
     fetched = needs.join(offered, "digest").groupBy("sha").agg(F.collect_list(F.struct("i", "z")).alias("fetched"))
     parted = objects.where(~whole).join(fetched, "sha", "left")
     alone = objects.where(whole).withColumn("fetched", F.lit(None).cast(parted.schema["fetched"].dataType))
     columns = [*objects.columns, "fetched"]
-    made = alone.select(columns).unionByName(parted.select(columns)).mapInArrow(_rebuilt, "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    made = alone.select(columns).unionByName(parted.select(columns)).mapInArrow(lambda it: _rebuilt(codec, it), "sha binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return names.join(made, "sha").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
