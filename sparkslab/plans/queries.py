@@ -715,3 +715,93 @@ def gibbs_sumstats(spark: SparkSession, d: str) -> DataFrame:
     """From summary statistics."""
     m = suffstats.moments(_lineitem_z(spark, d))
     return _posterior(spark, gibbs.gibbs_sumstats(m.gram[1:, 1:] / m.n, m.xty[1:] / m.n, m.n, np.zeros(2), _PRIOR, y_var=m.yty / m.n, n_samples=300, burn_in=50, seed=1))
+
+
+# ---- estimators, latents, streams
+
+
+def _regressor(spark: SparkSession, d: str):
+    from sparkslab.plans.estimator import SlabRegressor
+
+    rows = _vectors(spark, d).withColumnRenamed("vec_id", "row_id").drop("fold")
+    places = spark.range(64).select(F.col("id").alias("feature_id"), F.col("id").cast("double").alias("s"))
+    return SlabRegressor(decorrelate="ppca", xi0=-1.0, kappa=50.0).fit(rows, places, block_id=np.arange(64) // 8), rows
+
+
+@query()
+def describe_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of the vectors' dimensions."""
+    return _regressor(spark, d)[0].describe_blocks(spark)
+
+
+@query()
+def summary_table(spark: SparkSession, d: str) -> DataFrame:
+    """The estimator's report."""
+    return _regressor(spark, d)[0].summary_df(spark)
+
+
+@query()
+def estimator_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions with intervals."""
+    model, rows = _regressor(spark, d)
+    return model.predict(rows)
+
+
+def _signs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors cut to 0, 1, 2 by sign and size, two dimensions a block."""
+    cut = F.transform("x", lambda v: F.when(v > 0.7, 2.0).when(v > -0.7, 1.0).otherwise(0.0))
+    return _vectors(spark, d).select(F.col("vec_id").alias("row_id"), "y", cut.alias("x"))
+
+
+@query()
+def latent_crossfit(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-fitted discrete latents of blocks of 16 dimensions."""
+    from sparkslab.plans import latent
+
+    out = latent.fit_latent_crossfit(_signs(spark, d), np.arange(64.0), np.arange(64) // 16, np.zeros(4), _PRIOR, n_outer=1, hyper_steps=2)
+    return spark.createDataFrame([(k, float(t), float(b)) for k, (t, b) in enumerate(zip(out["fit"].theta, out["fit"].beta[1:], strict=True))], "block_id int, theta double, beta double")
+
+
+@query()
+def joint_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Joint model of four blocks."""
+    from sparkslab.plans import joint, latent
+
+    rows = _signs(spark, d)
+    ids = np.arange(64) // 16
+    fits = latent.fit_blocks(spark, *factor.covariance(suffstats.moments(rows)), np.arange(64.0), ids, steps=2)
+    # the joint posterior is over every row's score: its input is gathered, as the method asks
+    pdf = rows.toPandas()
+    model = joint.JointModel(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), ids, fits)
+    return joint.association(joint.run_joint(spark, model, chains=2, warmup=20, samples=20, leaps=8))
+
+
+@query(ORACLE_SQL["kalman_filter"])
+def stream_kalman(spark: SparkSession, d: str) -> DataFrame:
+    """The filter as a stream over the hourly series, equal to the batch."""
+    from sparkslab.plans.stage import new_path
+    from sparkslab.streaming.filters import stream_kalman as run
+
+    source, out = new_path(spark, "stream-in"), new_path(spark, "stream-out")
+    hours = _hours(spark, d)
+    hours.write.parquet(source)
+    states = run(spark.readStream.schema(hours.schema).parquet(source), 0.8, 0.2, 0.5)
+    q = states.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.schema(states.schema).parquet(out).select("t", "z", "p"), "z", "p")
+
+
+@query(ORACLE_SQL["em_gaussian"])
+def stream_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Moments added up over micro-batches, then the fit; equal to the batch."""
+    from sparkslab.plans.stage import new_path
+    from sparkslab.streaming.filters import RunningMoments
+
+    source = new_path(spark, "stream-in")
+    rows = _lineitem_z(spark, d)
+    rows.repartition(4).write.parquet(source)
+    total = RunningMoments()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    q = stream.writeStream.foreachBatch(total.update).option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return coefficients(spark, ["l_quantity", "l_discount"], em.em_gaussian(total.total, np.zeros(2), _PRIOR, max_iter=12, tol=0.0))
