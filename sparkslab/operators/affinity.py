@@ -124,8 +124,9 @@ def fit_bandwidth(pairs: DataFrame, bounds: tuple[float, float] = (1.0, 1e8), ro
     for _ in range(rounds):
         ratio = (high / low) ** (1 / (width - 1))
         grid = [low * ratio**k for k in range(width)]
-        errors = pairs.agg(*[F.avg((2 * ndtr(-F.col("d") / phi) - F.col("target")) ** 2).alias(f"e{k}") for k, phi in enumerate(grid)]).first()
-        best = min(range(width), key=lambda k: errors[k])
+        tried = pairs.select("d", "target", F.posexplode(F.array(*[F.lit(phi) for phi in grid])).alias("k", "phi"))
+        errors = tried.groupBy("k").agg(F.avg((2 * ndtr(-F.col("d") / F.col("phi")) - F.col("target")) ** 2).alias("mse"))
+        best = errors.agg(F.min_by("k", F.struct("mse", "k"))).first()[0]
         low, high = grid[max(0, best - 1)], grid[min(width - 1, best + 1)]
     return (low * high) ** 0.5
 

@@ -44,10 +44,10 @@ def test_glms(spark):
     eta = 0.5 + x @ [0.8, -0.6, 0.0, 0.0]
     pois = em.em_glm(from_arrays(spark, x, rng.poisson(np.exp(eta))).persist(), np.zeros(4), "poisson", em.Prior(xi0=0.0, kappa=50.0), max_iter=30)
     assert np.allclose(pois.beta, [0.5, 0.8, -0.6, 0, 0], atol=0.3)
-    nb = em.em_glm(from_arrays(spark, x, rng.poisson(rng.gamma(5, np.exp(eta) / 5))).persist(), np.zeros(4), "negbin", max_iter=4)
+    nb = em.em_glm(from_arrays(spark, x, rng.poisson(rng.gamma(5, np.exp(eta) / 5))).persist(), np.zeros(4), "negbin", max_iter=12)
     assert 1 < nb.r < 50
     logit = em.em_glm(from_arrays(spark, x, (rng.random(1500) < 1 / (1 + np.exp(-2 * eta))).astype(float)).persist(), np.zeros(4), "bernoulli", max_iter=20, firth=True)
-    assert logit.theta[0] > 0.5 > logit.theta[3]
+    assert logit.beta[1] > 1.2 and abs(logit.beta[4]) < 0.3 and logit.theta[0] > logit.theta[3]
 
 
 def test_dynamic_factors():
@@ -73,7 +73,7 @@ def test_latent_and_joint(spark):
     rows, ids = from_arrays(spark, x, y), np.repeat([0, 1], 3)
     fits = latent.fit_blocks(spark, *factor.covariance(moments(rows)), np.arange(6.0), ids, steps=10)
     got = latent.infer_scores(rows, fits, ids).orderBy("row_id").collect()
-    assert np.corrcoef([r.z[0] for r in got], z[:, 0])[0, 1] > 0.6
+    assert abs(np.corrcoef([r.z[0] for r in got], z[:, 0])[0, 1]) > 0.6
     model = joint.JointModel(x, y, ids, fits)
     q = model.start(np.random.default_rng(1)) + 0.1
     lp, g = model.value(q)
