@@ -80,6 +80,20 @@ def from_summary(r: np.ndarray, bhat: np.ndarray, n: float, y_var: float = 1.0)
     return Moments(n, gram, np.concatenate([[0.0], n * bhat]), n * y_var)
 
 
+def right_vectors(m: Moments, rank: int) -> np.ndarray:
+    """The design's leading right singular vectors (intercept included), from its Gram matrix."""
+    e, v = np.linalg.eigh(m.gram)
+    return v[:, np.argsort(e)[::-1][:rank]]
+
+
+def truncate(m: Moments, rank: int) -> tuple[Moments, float]:
+    """Moments of the rank-l design, and the relative Frobenius error of the design; X'y stays exact."""
+    v = right_vectors(m, rank)
+    low = v @ (v.T @ m.gram @ v) @ v.T
+    lost = max(0.0, float(np.trace(m.gram) - np.trace(low)))
+    return Moments(m.n, low, m.xty, m.yty), float(np.sqrt(lost / np.trace(m.gram)))
+
+
 def gram_long(df: DataFrame, columns: list[str], weight=None) -> DataFrame:
     """(i, j, v): weighted sums of products of columns, each pair once, by native aggregates in one pass."""
     w = F.lit(1.0) if weight is None else weight
@@ -102,10 +116,12 @@ def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(*[(F.when(F.col(f"_s{columns.index(c)}") > 0, (F.col(c) - F.col(f"_m{columns.index(c)}")) / F.col(f"_s{columns.index(c)}")).otherwise(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def weighted_rows(rows: DataFrame, beta: np.ndarray, link) -> tuple[np.ndarray, np.ndarray, float]:
+def weighted_rows(rows: DataFrame, beta: np.ndarray, link, vectors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """X'WX, X'Wz and a summed statistic for one IRLS step.
 
-    ``link(eta, y, off)`` gives (w, w * z, statistic) by row, in NumPy.
+    ``link(eta, y, off)`` gives (w, w * z, statistic) by row, in NumPy.  With
+    the leading right singular ``vectors`` X'WX is that of the rank-l design,
+    from l-by-l partial sums.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +131,14 @@ def weighted_rows(rows: DataFrame, beta: np.ndarray, link) -> tuple[np.ndarray,
                 y, x, off = np.asarray(b.column(0), dtype=float), matrix(b.column(1)), np.asarray(b.column(2), dtype=float)
                 x = np.column_stack([np.ones(len(y)), x])
                 w, wz, stat = link(x @ beta, y, off)
-                part = np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ wz, [np.sum(stat)]])
+                u = x if vectors is None else x @ vectors
+                part = np.concatenate([((u * w[:, None]).T @ u).ravel(), x.T @ wz, [np.sum(stat)]])
                 total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
     sums = rows.select("y", "x", "off").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.array([r.v for r in sorted(sums, key=lambda r: r.i)])
-    p = len(beta)
-    return flat[: p * p].reshape(p, p), flat[p * p : p * p + p], float(flat[-1])
+    k = len(beta) if vectors is None else vectors.shape[1]
+    gram = flat[: k * k].reshape(k, k)
+    return gram if vectors is None else vectors @ gram @ vectors.T, flat[k * k : -1], float(flat[-1])

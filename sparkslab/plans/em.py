@@ -170,11 +170,12 @@ def negbin_r(rows: DataFrame, beta: np.ndarray, bounds: tuple[float, float] = (1
     return float(math.exp(grid[best]))
 
 
-def em_glm(rows: DataFrame, wr: np.ndarray, family: str, prior: Prior = Prior(), beta: np.ndarray | None = None, sigma2: float = 1.0, r: float = 10.0, r_fixed: bool = False, max_iter: int = 200, tol: float = 1e-7, firth: bool = False) -> Fit:
+def em_glm(rows: DataFrame, wr: np.ndarray, family: str, prior: Prior = Prior(), beta: np.ndarray | None = None, sigma2: float = 1.0, r: float = 10.0, r_fixed: bool = False, max_iter: int = 200, tol: float = 1e-7, firth: bool = False, vectors: np.ndarray | None = None) -> Fit:
     """Bernoulli, Poisson or negative-binomial response on wide rows (y, x, off), one aggregate an iteration.
 
     Persist ``rows`` before.  ``firth`` (Bernoulli only) adds the leverage term
-    of Firth's penalised score, at a second pass an iteration.
+    of Firth's penalised score, at a second pass an iteration.  ``vectors`` are
+    the leading right singular vectors of a rank-l design (``right_vectors``).
     """
     fam, p1 = Family(family), len(wr) + 1
     beta = np.zeros(p1) if beta is None else beta
@@ -184,7 +185,7 @@ def em_glm(rows: DataFrame, wr: np.ndarray, family: str, prior: Prior = Prior(),
         sigma2 = float((0.5 * np.sum(beta**2 * prec) + prior.lam) / (p1 / 2 + prior.nu + 1))
         if family == "negbin" and not r_fixed:
             r = negbin_r(rows, beta)
-        gram, v, _ = weighted_rows(rows, beta, lambda eta, y, off, r=r: fam.step(eta, y, off, r))
+        gram, v, _ = weighted_rows(rows, beta, lambda eta, y, off, r=r: fam.step(eta, y, off, r), vectors)
         m = gram + np.diag(prec / sigma2)
         if firth:
             v = v + firth_term(rows, beta, np.linalg.inv(m))

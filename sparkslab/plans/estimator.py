@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkslab.operators import factor
 from sparkslab.operators.affinity import resolve_affinity
 from sparkslab.operators.blocks import determine_blocks
-from sparkslab.operators.suffstats import moments, weighted_rows
+from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows
 from sparkslab.plans import dynamic, em, gibbs, validate
 from sparkslab.plans.stage import stage
 from sparkslab.sources.tables import load_model, save_model
@@ -149,6 +149,8 @@ class SlabEstimator:
         outer = {"filter_frac": self.filter_frac, "min_features": self.min_features, "max_outer": self.max_outer, "patience": self.patience}
         if self.family == "gaussian":
             m = moments(design)
+            if self.rank:
+                m, self.rank_error_ = truncate(m, self.rank)
             if self.fit_method == "em_filter":
                 folds = moments(design.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(self.cv_folds))), by="fold") if self.cv_folds else None
                 return em.em_filter_gaussian(m, wr, prior, tau=self.tau, folds=folds, **outer)
@@ -159,7 +161,8 @@ class SlabEstimator:
             return em.em_filter_glm(design, wr, self.family, prior, self.r_init, **outer)
         if self.fit_method == "gibbs":
             return self._from_draws(gibbs.gibbs_glm(design, wr, self.family, prior, self.n_samples, self.burn_in, self.thin, self.random_state, self.r_init))
-        return em.em_glm(design, wr, self.family, prior, r=self.r_init, firth=self.firth)
+        vectors = right_vectors(moments(design), self.rank) if self.rank else None
+        return em.em_glm(design, wr, self.family, prior, r=self.r_init, firth=self.firth, vectors=vectors)
 
     def _from_draws(self, d: gibbs.Draws) -> em.Fit:
         self.draws_ = d

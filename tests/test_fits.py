@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from sparkslab.operators import factor
-from sparkslab.operators.suffstats import moments
+from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows
 from sparkslab.plans import dynamic, em, gibbs, joint, latent, validate
 from sparkslab.plans.estimator import SlabClassifier, SlabCountRegressor, SlabRegressor
 from sparkslab.sources.tables import from_arrays, gaussian_data
@@ -38,6 +38,15 @@ def test_sumstats_equals_raw(spark):
         assert np.allclose(a.beta, b.beta, rtol=1e-4, atol=1e-6)
 
 
+def test_full_rank_is_exact(spark, rows):
+    m = moments(rows)
+    low, error = truncate(m, 21)
+    assert np.allclose(low.gram, m.gram) and error < 1e-6 and truncate(m, 5)[1] > 0.1
+    beta, link = np.zeros(21), em.Family("bernoulli")
+    step = lambda v: weighted_rows(rows, beta, lambda eta, y, off: link.step(eta, y, off, 1.0), v)
+    assert np.allclose(step(None)[0], step(right_vectors(m, 21))[0])
+
+
 def test_glms(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 4))
