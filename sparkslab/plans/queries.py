@@ -231,17 +231,24 @@ def blocks_glasso(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- sufficient statistics and fits
 
+_SCALED = "(SELECT l_quantity, l_extendedprice / 1000 AS l_extendedprice, l_discount, l_tax FROM lineitem)"
 
-@query(" UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(sum({_COLUMNS[i]} * {_COLUMNS[j]}), 2) AS v FROM lineitem" for i in range(4) for j in range(i, 4)))
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
+    """The line items' numbers, prices in thousands."""
+    return table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("l_extendedprice"), "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(sum({_COLUMNS[i]} * {_COLUMNS[j]}), 2) AS v FROM {_SCALED}" for i in range(4) for j in range(i, 4)))
 def gram(spark: SparkSession, d: str) -> DataFrame:
     """A1: sums of products of the line items' numbers."""
-    return rounded(suffstats.gram_long(table(spark, d, "lineitem"), _COLUMNS), "v", digits=2)
+    return rounded(suffstats.gram_long(_scaled(spark, d), _COLUMNS), "v", digits=2)
 
 
-@query(" UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(sum({_COLUMNS[i]} * {_COLUMNS[j]} / l_quantity), 2) AS v FROM lineitem" for i in range(4) for j in range(i, 4)))
+@query(" UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(sum({_COLUMNS[i]} * {_COLUMNS[j]} / l_quantity), 2) AS v FROM {_SCALED}" for i in range(4) for j in range(i, 4)))
 def weighted_gram(spark: SparkSession, d: str) -> DataFrame:
     """A1: the same, weighted."""
-    return rounded(suffstats.gram_long(table(spark, d, "lineitem"), _COLUMNS, 1 / F.col("l_quantity")), "v", digits=2)
+    return rounded(suffstats.gram_long(_scaled(spark, d), _COLUMNS, 1 / F.col("l_quantity")), "v", digits=2)
 
 
 @query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}" for c in ("l_quantity", "l_discount")) + " FROM lineitem")
