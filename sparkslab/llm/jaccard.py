@@ -4,12 +4,10 @@ Equal shingle sets are collapsed first.  Each remaining set's signature is cut
 into ``trees`` strings of ``depth`` values; a tree is the trie of these
 strings, and two sets meet where their strings share a prefix.  The prefix is
 shortened until a pair at the threshold meets in some tree with at least the
-target recall.  A small node gives all its pairs; a large one (a group of
-copies, above all) gives each member's pair with the node's first member, at
-every prefix length, so the longest matches are tried along with the shorter.
-All pairs are verified exactly, and linked sets are one class.  Large nodes
-are then tried with fresh pivots, for members that are not yet in the pivot's
-class, until a round links nothing new.
+target recall.  All pairs that meet are verified exactly, and linked sets are
+one class.  A small node gives its pairs as rows.  A large one (a group of near
+copies, above all) is dealt into blocks, and each block is verified against each
+other; a block gives only what its members have in it, not the pairs.
 """
 
 from __future__ import annotations
@@ -31,8 +29,12 @@ TREES = 20
 DEPTH = 6
 #: A pair at the threshold is to meet with at least this probability.
 RECALL = 0.9999
-#: A node of at most so many sets gives all its pairs.
+#: A node of at most so many sets gives all its pairs as rows; a larger one is verified block by block.
 SMALL = 16
+#: About the sets, and the bytes of their hashes, in a block of a large node.
+BLOCK_SETS, BLOCK_BYTES = 1024, 16 << 20
+#: Pairs of two blocks up to which they are verified one by one, and hashes counted in one product beyond.
+FEW, SLICE = 1000, 4096
 #: Ids of documents to verify up to which the list of them is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SEED = 41
@@ -91,6 +93,81 @@ def _verify(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(found[found >= threshold])], names=["src", "dst", "similarity"])
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each left set shares with each right set."""
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    if not len(shared):
+        return out
+    placed = []
+    for f, side in zip(flat, (left, right), strict=True):
+        at = np.minimum(np.searchsorted(shared, f), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == f)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        placed.append((at[hit], np.repeat(np.arange(len(side)), [len(x) for x in side])[hit], len(side)))
+    for i in range(0, len(shared), SLICE):
+        dense = []
+        for at, row, n in placed:
+            lo, hi = np.searchsorted(at, (i, i + SLICE))
+            m = np.zeros((n, min(SLICE, len(shared) - i)), np.float32)
+            m[row[lo:hi], at[lo:hi] - i] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _linked(threshold: float, want: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which of the wanted pairs reach the threshold."""
+    rows, cols = np.nonzero(want)
+    if len(rows) <= FEW:
+        out = np.zeros(want.shape, bool)
+        out[rows, cols] = [shingles.jaccard(left[i], right[j]) >= threshold for i, j in zip(rows, cols, strict=True)]
+        return out
+    both = _common(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
+    return want & (both / (sizes - both) >= threshold)
+
+
+def _roots(ids: np.ndarray, adjacent: np.ndarray) -> np.ndarray:
+    """The smallest id that each member reaches by the links."""
+    root, seen = ids.copy(), np.zeros(len(ids), bool)
+    for s in np.argsort(ids):
+        front = np.array([] if seen[s] else [s], int)
+        seen[s] = True
+        while len(front):
+            root[front] = ids[s]
+            front = np.flatnonzero(adjacent[front].any(axis=0) & ~seen)
+            seen[front] = True
+    return root
+
+
+def _crowd(threshold: float):
+    """Two blocks of a large node (or one with itself) to a row for each linked member: its root here and its links.
+
+    A pair that shares several large nodes counts in the one with the smallest prefix only.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        p, i, j = (k.as_py() for k in key)
+        block, ids = (np.asarray(table.column(c)) for c in ("block", "node"))
+        hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+        tops = [np.array([t for t in x if t < p], np.int64) for x in table.column("tops").to_pylist()]
+        l, r = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        adjacent = np.zeros((len(ids), len(ids)), bool)
+        if len(l) and len(r):
+            want = _common([tops[k] for k in l], [tops[k] for k in r]) == 0
+            if i == j:
+                want = np.triu(want, 1)
+            adjacent[np.ix_(l, r)] = _linked(threshold, want, [hashes[k] for k in l], [hashes[k] for k in r])
+            adjacent |= adjacent.T
+        links = adjacent.sum(axis=1)
+        some = links > 0
+        return pa.table({"src": ids[some], "dst": _roots(ids[some], adjacent[np.ix_(some, some)]), "links": links[some].astype(np.int64)})
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1000):
@@ -112,67 +189,63 @@ class JaccardJoin:
         self.groups = stage(self.signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("sig").alias("sig")), "jaccard-groups")
 
     def forest(self) -> DataFrame:
-        """(node, p_length .. p_depth): each set's prefixes in each tree, hashed with the tree's number."""
+        """(node, p): each set's prefix in each tree, hashed with the tree's number."""
         prefixes = ", ".join(f"p{d + 1} long" for d in range(self.depth))
         made = self.groups.select("node", "sig").mapInArrow(_values(self.trees, self.depth), f"node long, {prefixes}")
-        return made.select("node", *(f"p{d}" for d in range(self.length, self.depth + 1)))
+        return made.select("node", F.col(f"p{self.length}").alias("p"))
 
     def meeting(self) -> DataFrame:
-        """The forest's rows whose shortest prefix is shared, with the number of rows there and their first node."""
-        forest, top = stage(self.forest(), "jaccard-forest"), f"p{self.length}"
-        tops = forest.groupBy(top).agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-        return stage(forest.join(tops, top), "jaccard-meeting")
-
-    def candidates(self, meeting: DataFrame) -> DataFrame:
-        """(a, b), a < b, of distinct sets that meet in the forest."""
-        top = f"p{self.length}"
-        small = meeting.where(F.col("n") <= SMALL).groupBy(top).agg(F.sort_array(F.collect_set("node")).alias("all")).select("all").distinct()
-        pairs = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-        large = meeting.where(F.col("n") > SMALL)
-        pairs = pairs.union(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        for d in range(self.length + 1, self.depth + 1):
-            tops = large.groupBy(f"p{d}").agg(F.count("*").alias("m"), F.min("node").alias("a")).where(F.col("m") > SMALL)
-            pairs = pairs.union(large.join(tops, f"p{d}").select("a", F.col("node").alias("b")))
-        return self._ordered(pairs)
-
-    @staticmethod
-    def _ordered(pairs: DataFrame) -> DataFrame:
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(src, dst, similarity) of the pairs that reach the threshold, by their whole shingle sets."""
-        pairs = stage(pairs, f"jaccard-pairs-{name}")
-        needed = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"jaccard-needed-{name}")
+        """The forest's rows whose prefix is shared, with the number of rows there."""
+        forest = stage(self.forest(), "jaccard-forest")
+        tops = forest.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
+        return stage(forest.join(tops, "p"), "jaccard-meeting")
+
+    def candidates(self, meeting: DataFrame, tops: DataFrame) -> DataFrame:
+        """(a, b), a < b, of distinct sets that meet in small nodes and in no large one."""
+        small = meeting.where(F.col("n") <= SMALL).groupBy("p").agg(F.sort_array(F.collect_set("node")).alias("all")).select("all").distinct()
+        pairs = small.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b")).distinct()
+        left, right = (tops.select(F.col("node").alias(c), F.col("tops").alias(f"tops_{c}")) for c in "ab")
+        met = F.coalesce(F.arrays_overlap("tops_a", "tops_b"), F.lit(False))
+        return pairs.join(left, "a", "left").join(right, "b", "left").where(~met).select("a", "b")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, hashes): the whole shingle sets of the nodes."""
+        needed = stage(nodes.distinct(), "jaccard-needed")
         if needed.count() <= BROADCAST_IDS:
             needed = F.broadcast(needed)
         # rows that share an id are one document: its node's text is the one that named the group
         text = self.docs.join(needed, "doc_id", "left_semi")
-        sets = stage(text.mapInArrow(_sets, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), f"jaccard-sets-{name}")
+        return stage(text.mapInArrow(_sets, "node long, hashes binary").groupBy("node").agg(F.min("hashes").alias("hashes")), "jaccard-sets")
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst, similarity) of the pairs that reach the threshold, by their whole shingle sets."""
         left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
         right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         threshold = self.threshold
-        return stage(both.mapInArrow(lambda it: _verify(threshold, it), "src long, dst long, similarity double"), f"jaccard-links-{name}")
+        return stage(both.mapInArrow(lambda it: _verify(threshold, it), "src long, dst long, similarity double"), "jaccard-links")
+
+    def crowded(self, large: DataFrame, tops: DataFrame, sets: DataFrame) -> DataFrame:
+        """(src, dst, links): what all pairs of each large node give, by blocks; see ``_crowd``."""
+        sized = large.join(sets.select("node", F.length("hashes").alias("bytes")), "node")
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+        dealt = large.join(sized.groupBy("p").agg(blocks.alias("blocks")), "p").select("p", "node", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+        dealt = dealt.select("p", "node", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+        dealt = dealt.select("p", "node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        full = dealt.join(sets, "node").join(tops, "node").select("p", "i", "j", "block", "node", "hashes", "tops")
+        return stage(full.groupBy("p", "i", "j").applyInArrow(_crowd(self.threshold), "src long, dst long, links long"), "jaccard-crowds")
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """All verified links between different sets, and the components they make."""
+        """(node, degree) of all verified links between different sets, and the components they make."""
         meeting = self.meeting()
-        links = self.verified(self.candidates(meeting), "first")
-        parts = connected_components(links)
-        d, turn = self.length, 0
-        crowd = meeting.where(F.col("n") > SMALL).select("node", f"p{d}")
-        while not crowd.isEmpty():
-            turn += 1
-            held = crowd.join(parts, "node", "left").select("node", f"p{d}", F.coalesce("component", "node").alias("component"))
-            pivot = F.struct(F.xxhash64("node", f"p{d}", F.lit(turn)).alias("h"), "node", "component")
-            tops = held.groupBy(f"p{d}").agg(F.min(pivot).alias("pivot"))
-            apart = held.join(tops, f"p{d}").where("component <> pivot.component")
-            fresh = self.verified(self._ordered(apart.select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))), f"turn{turn}")
-            if fresh.isEmpty():
-                break
-            links = stage(links.union(fresh).dropDuplicates(["src", "dst"]), "jaccard-links")
-            parts = connected_components(links)
-        return links, parts
+        large = meeting.where(F.col("n") > SMALL).select("p", "node").distinct()
+        tops = stage(large.groupBy("node").agg(F.collect_set("p").alias("tops")), "jaccard-tops")
+        pairs = stage(self.candidates(meeting, tops), "jaccard-pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(tops.select("node")))
+        few, many = self.verified(pairs, sets), self.crowded(large, tops, sets)
+        ends = few.select(F.explode(F.array("src", "dst")).alias("node"), F.lit(1).cast("long").alias("links"))
+        degree = ends.union(many.select("src", "links")).groupBy("node").agg(F.sum("links").alias("degree"))
+        return degree, connected_components(few.select("src", "dst").union(many.select("src", "dst")))
 
     def classes(self) -> DataFrame:
         """doc_id, class_id, n_links, n_copies: one row for each row of the documents.
@@ -183,8 +256,7 @@ class JaccardJoin:
         plus its verified links to other sets.  A text without words is a class
         of its own, without links; a null id has no class.
         """
-        links, parts = self.links()
-        degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        degree, parts = self.links()
         named = self.groups.join(parts, "node", "left").join(degree, "node", "left").select("key", "copies", F.coalesce("component", "node").alias("class_id"), F.coalesce("degree", F.lit(0)).alias("degree"))
         joined = self.signed.select("doc_id", "key").join(named, "key", "left")
         return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"))

@@ -273,6 +273,37 @@ def test_jaccard(spark, corpus, empty):
     assert 1 - (1 - 0.8 ** jaccard.prefix_length()) ** jaccard.TREES >= jaccard.RECALL
 
 
+@pytest.fixture(scope="module")
+def star(spark):
+    """400 near copies of one text, each with about 15 other shingles (0.86 to it, mostly 0.75 to each other), exact copies, and the true links."""
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(204)]
+    texts = []
+    for i in range(400):
+        t = list(base)
+        for j, k in enumerate(rng.sample(range(5, 200, 5), 3)):
+            t[k + rng.randrange(3)] = f"c{i}x{j}"
+        texts.append(" ".join(t))
+    texts += [" ".join(base), " ".join(base), texts[0]] + [prose(rng, 50) for _ in range(30)]
+    sets = [shingles.shingle_hashes(t) for t in texts]
+    linked = np.zeros((len(sets), len(sets)), bool)
+    for a in range(len(sets)):
+        for b in range(a):
+            linked[a, b] = linked[b, a] = shingles.jaccard(sets[a], sets[b]) >= 0.8
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), linked
+
+
+@pytest.fixture(scope="module")
+def star_found(star):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "BLOCK_SETS", 100, raising=False)
+        return {r.doc_id: r for r in jaccard.near_duplicate_classes(star[0]).collect()}
+
+
+def test_jaccard_star_is_one_class(star_found):
+    assert all(r.class_id == (0 if i < 403 else i) for i, r in star_found.items()) and len(star_found) == 433
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
