@@ -57,6 +57,12 @@ def test_components(spark, edges):
     assert {r.node: r.component for r in got.collect()} == label
 
 
+def test_components_of_a_long_path(spark):
+    ids = np.random.default_rng(1).permutation(1000).tolist()
+    got = connected_components(spark.createDataFrame(list(zip(ids, ids[1:])), "src long, dst long"))
+    assert [r.component for r in got.collect()] == [0] * 1000
+
+
 def test_copula(spark):
     v = [3.0, 1.0, 1.0, 7.0, 5.0, 3.0, 3.0]
     df = spark.createDataFrame([(x,) for x in v], "v double")
