@@ -304,6 +304,14 @@ def test_jaccard_star_is_one_class(star_found):
     assert all(r.class_id == (0 if i < 403 else i) for i, r in star_found.items()) and len(star_found) == 433
 
 
+def test_jaccard_counts_every_link(star, star_found):
+    linked = star[1]
+    copies = {400: 401, 401: 400, 0: 402, 402: 0}
+    for i, r in star_found.items():
+        others = {min(j, copies.get(j, j)) for j in np.flatnonzero(linked[i])} - {min(i, copies.get(i, i))}
+        assert (r.n_links, r.n_copies) == (len(others) + (i in copies), 1 + (i in copies))
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
