@@ -2,9 +2,9 @@
 
 Equal shingle sets are collapsed first.  Each remaining set's signature is cut
 into ``trees`` strings of ``depth`` values; a tree is the trie of these
-strings, and two sets meet where their strings share a prefix.  The prefix is
-shortened until a pair at the threshold meets in some tree with at least the
-target recall.  All pairs that meet are verified exactly, and linked sets are
+strings, and two sets meet where their strings share a prefix.  The prefix has
+one length, set by a formula before any data are seen: the longest at which a
+pair at the threshold meets in some tree with the target recall.  All pairs that meet are verified exactly, and linked sets are
 one class.  A small node gives its pairs as rows.  A large one (a group of near
 copies, above all) is dealt into blocks, and each block is verified against each
 other; a block gives only what its members have in it, not the pairs.
