@@ -8,7 +8,8 @@ tested once.  Each window and item has a 64-bit SimHash of its shingles; the
 fingerprints are cut into blocks, the items' blocks are indexed with all their
 neighbours, and windows look their blocks up among items of their size, which
 finds every pair within the radius.  Pairs found are verified by the exact
-weighted similarity of their shingles.
+weighted similarity of their shingles.  An item of fewer than five words is
+found wherever a document has its words in a row.
 """
 
 from __future__ import annotations
@@ -49,6 +50,16 @@ def shingle_list(words: Column) -> Column:
     return let(words, of)
 
 
+def short_runs(words: Column, lengths: list[int]) -> Column:
+    """The distinct runs of these numbers of words, joined by blanks."""
+
+    def runs(w: Column, n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return let(words, lambda w: F.array_distinct(F.flatten(F.array(*[runs(w, n) for n in lengths]))))
+
+
 def simhash(shingles: Column) -> Column:
     """Bit k is set where more of the shingles have it set than not."""
     half = F.size(shingles) / 2.0
@@ -92,13 +103,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored.  Null, empty and blank texts hold nothing and are held by
-    nothing.  A text of fewer than five words is one shingle, and a document
-    shorter than an item is one window.  Rows that share a doc_id count as one
+    nothing.  An item of fewer than five words is held, with similarity 1, where
+    its words stand in a row.  A document shorter than an item is one window.  Rows that share a doc_id count as one
     document, and repeated items are found under each of their ids.  A row
     without an id is left out.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingle_list(word_list(F.col("text").cast("string"))).alias("s"))
-    items = stage(items.select("item_id", F.array_sort("s").alias("s"), F.size("s").alias("len"), simhash(F.col("s")).alias("print")), "decon-items").where("len > 0")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_list(F.col("text").cast("string")).alias("words"))
+    items = items.select("item_id", F.when(F.size("words") < WORDS, F.col("words")).alias("short"), shingle_list(F.col("words")).alias("s"))
+    items = stage(items.select("item_id", "short", F.array_sort("s").alias("s"), F.size("s").alias("len"), simhash(F.col("s")).alias("print")), "decon-items").where("len > 0")
+    short = items.where("short is not null").select("item_id", F.array_join("short", " ").alias("run"), F.size("short").alias("n"))
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())
+    items = items.where("short is null").drop("short")
     seeds = items.select(F.explode(F.array_distinct("s")).alias("h"), "len").distinct()
     if seeds.count() <= BROADCAST_SHINGLES:
         seeds = F.broadcast(seeds)
@@ -121,7 +136,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     theirs = items.select("item_id", F.col("s").alias("item"), F.col("print").alias("item_print"))
     near = pairs.join(prints.select("wid", "w", "print"), "wid").join(theirs, "item_id").where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
     hits = stage(near.select("wid", "item_id", weighted_similarity(F.col("w"), F.col("item")).alias("similarity")).where(F.col("similarity") >= threshold), "decon-hits")
-    return windows.select("doc_id", "wid").join(hits, "wid").groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+    held = windows.select("doc_id", "wid").join(hits, "wid").select("doc_id", "item_id", "similarity")
+    if lengths:
+        if short.count() <= BROADCAST_SHINGLES:
+            short = F.broadcast(short)
+        runs = rows.select("doc_id", F.explode(short_runs(word_list(F.col("text")), lengths)).alias("run"))
+        held = held.union(runs.join(short, "run").select("doc_id", "item_id", F.lit(1.0).alias("similarity")))
+    return held.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -198,6 +198,14 @@ def test_decontamination(spark, corpus, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_in_longer_documents(spark):
+    items = [(1, "Alpha"), (2, "beta  gamma"), (3, "one two three"), (4, "a b c d"), (5, "beta delta"), (6, None)]
+    docs = [(1, "x beta gamma y z alpha w"), (2, "one two three"), (3, "u v w a b C d e f g"), (4, "a b c"), (5, "beta x delta alphabet one two 3"), (6, ""), (7, None)]
+    bench, texts = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.contaminated(texts, bench).collect()}
+    assert got == {(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (3, 4, 1.0)}
+
+
 def test_near_keys_find_all_within_the_radius(spark):
     rng = random.Random(4)
     rows = []
