@@ -26,6 +26,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select button textarea datalist head title".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
 _CLOSES_P = _BLOCK
+#: Elements that leave an open head open; any other start tag ends it, since </head> may be left out.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("table ul ol dl article section main body div aside nav footer header form blockquote".split())
 _CHROME = frozenset("nav aside footer form menu dialog search fieldset".split())
@@ -114,6 +116,8 @@ def blocks(html: str) -> list[Block]:
                 if not block and stack[k].tag in _BLOCK:
                     break
             continue
+        if stack[-1].tag == "head" and tag not in _IN_HEAD:
+            stack.pop()
         if block:
             # a paragraph ends where a block begins, and formatting left open in it with it
             for k in range(len(stack) - 1, 0, -1):

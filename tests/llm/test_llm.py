@@ -166,6 +166,13 @@ text<br>goes on.<p>Second.</article><script>if (a<b) document.write("<p>no</p>")
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_without_end_of_head():
+    body = "<article><p>First paragraph of the text.<p>Second.</article>"
+    for start in ("<body>", "", "<main>"):
+        head = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><style>p{}</style><template><p>Not shown at all.</p></template>"
+        assert html.main_text(head + start + body) == html.main_text(head + "</head>" + start + body) == "First paragraph of the text.\nSecond."
+
+
 def brute_windows(text, item):
     shingle = lambda t: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if (w := (t or "").lower().split()) else []
     x, y = shingle(text), shingle(item)
