@@ -15,6 +15,7 @@ once.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from sparkslab.plans.stage import new_path
 
 #: Ids after which a segment is closed (a document is never divided).
 SEGMENT_IDS = 1 << 19
-#: Words kept by a worker with their ids; when full, the table starts anew.
-CACHE_WORDS = 700_000
+#: Words kept by a worker with their ids, in each of two generations.
+CACHE_WORDS = 500_000
 #: Longer pieces are encoded each time.
 CACHE_CHARS = 48
 
@@ -39,14 +40,33 @@ SEGMENT = "shard long, segment long, base long, n_ids long, doc_ids array<long>,
 DECODED = "doc_id long, shard long, start_in_shard long, n_tokens long, ids_crc32 long"
 
 
-class Encoder(dict):
-    """Encodes whole texts piece by piece, and is the table of the pieces' ids.
+# The normaliser and splitter under which a text may be encoded piece by piece (see ``Encoder``).
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    White space never joins two tokens in the vocabularies meant here (it is
-    removed before the merges), so a text's ids are those of its pieces between
-    blanks, and a piece that occurs again needs no new merge.  The vocabulary
-    is of lower-case text, and a comma or full stop after a letter is a token
-    of its own, so pieces that differ only in these are merged once.
+def splits_at_blanks(tokenizer) -> bool:
+    """Whether a tokenizer is known to drop white space and to start anew behind it, on lower-case text.
+
+    Its normaliser, its splitter and its special tokens are compared with the
+    ones for which that was established; any other tokenizer gets whole texts.
+    """
+    spec = json.loads(tokenizer.to_str())
+    first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    known = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and first.get("pattern") == {"Regex": _SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    special = all("<" in t["content"] and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    return known and special and spec["truncation"] is None and spec["padding"] is None and spec["post_processor"] is None
+
+
+class Encoder(dict):
+    """Encodes whole texts, and is the table of the ids of their pieces between blanks.
+
+    Where white space always ends a token (``splits_at_blanks``), a text's ids
+    are those of its pieces, and a piece that occurs again needs no new merge.
+    An ASCII letter and a comma or full stop after it are never one token, nor
+    does normalisation join them, so the mark is taken off such a piece; ASCII
+    pieces go by their lower case.  All else goes to the library as it stands.
+    When the table is full, pieces not asked for since it was half full go.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,28 +74,35 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_piece = splits_at_blanks(self.tokenizer)
+        self.older: dict[str, bytes] = {}
         self.ends = {x: self._merge(x) for x in ",."}
-        self[""] = b""
 
     def _merge(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1] in ",." and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self.ends[piece[-1]]
-        elif piece.isascii() and "<" not in piece and not piece.islower() and (low := piece.lower()) != piece:
-            ids = self[low]
-        else:
-            ids = self._merge(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            if not piece:
+                ids = b""
+            elif piece[-1] in ",." and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
+                ids = self[piece[:-1]] + self.ends[piece[-1]]
+            elif piece.isascii() and "<" not in piece and not piece.islower() and (low := piece.lower()) != piece:
+                ids = self[low]
+            else:
+                ids = self._merge(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
-                self[""] = b""
             self[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian 32-bit integers; null is empty."""
+        if not self.by_piece:
+            return self._merge(text or "")
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 

@@ -67,6 +67,21 @@ def test_tokens(spark, corpus, empty):
     e = tokens.Encoder(path)
     for t in odd:
         assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    rng = random.Random(12)
+    hard = "aAzZ09.,,..'<|>  \t\n\u0130\u0131\u0307\u0301\u00c9\u00e9\u1e9e\u03a3\u03c2\u00a0\u2009\u3000\u200b\ufb1d\u05b4\ufb01\u1100\u1161\u65e5\u0660\u00b2\u2164\U0001f600\U00010400"
+    e = tokens.Encoder(path)
+    assert e.by_piece
+    for i in range(20_000):
+        t = "".join(rng.choice(hard) for _ in range(rng.randint(1, 12)))
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(tokens, "CACHE_WORDS", 50)  # pieces are dropped and found again
+        for _ in range(2000):
+            t = " ".join(rng.choice(WORDS) + rng.choice(["", ",", ".", "\u0130."]) for _ in range(9))
+            assert np.frombuffer(e.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    other = tokens.Encoder(queries.tokenizer_file("byte_bpe_50k.json"))  # blanks count there, so texts go whole
+    t = "  Two  words,\nand more. "
+    assert not other.by_piece and np.frombuffer(other.encode(t), "<u4").tolist() == other.tokenizer.encode(t, add_special_tokens=False).ids
     got = sorted(tokens.token_output(corpus, path).collect(), key=lambda r: r.start)
     want = sorted(((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in corpus.collect()), key=lambda x: x[0])
     assert [r.doc_id if r.doc_id is not None else -1 for r in got] == [i for i, _ in want]
@@ -285,7 +300,44 @@ def test_jaccard(spark, corpus, empty):
     assert {i: {root(i)} for i in docs} == {i: c for i, c in got.items() if i is not None}
     assert len({root(i) for i in range(84, 109)}) == 1 and got[None] == {None}
     assert jaccard.near_duplicate_classes(empty).count() == 0
-    assert 1 - (1 - 0.8 ** jaccard.prefix_length()) ** jaccard.TREES >= jaccard.RECALL
+    lengths = jaccard.prefix_lengths()
+    assert len(lengths) > 1 and jaccard.chance(0.8, lengths[-1], jaccard.TREES) >= jaccard.RECALL > jaccard.chance(0.8, lengths[0], jaccard.TREES)
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, b + " more"), (9, b + " more"), (9, prose(rng, 20)), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"rid": F.lit(1), "first": F.lit(2), "key": F.lit(3)})
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard.near_duplicate_classes(docs).collect() if r.doc_id is not None)
+    assert got == [(5, 5, 1, 1), (5, 5, 1, 1), (7, 5, 1, 1), (8, 5, 3, 3), (9, 5, 3, 3), (9, 5, 3, 3), (9, 9, 0, 1)]
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, a), (5, a), (5, b), (9, rows[6][1])])
+
+
+def test_jaccard_groups_of_many_sizes(spark):
+    """Every class and every count of links is brute force's, with nodes of 100 sets in several clusters, and few sets settled early."""
+    rng = random.Random(8)
+    head = [f"h{i}" for i in range(60)]
+    texts = []
+    for c in range(6):  # clusters share half their words, which meets often and links nothing
+        own = [f"c{c}x{i}" for i in range(90)]
+        for _ in range(20 + 15 * (c % 2)):
+            t = head + own
+            for k in rng.sample(range(60, 150), rng.choice([0, 1, 1, 2, 3])):
+                t[k] = rng.choice(WORDS)
+            texts.append(" ".join(t))
+    sets = [shingles.shingle_hashes(t) for t in texts]
+    unlike = {x.tobytes() for x in sets}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "BLOCK_SETS", 30)
+        got = {r.doc_id: r for r in jaccard.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    links = {i: {y.tobytes() for y in sets if shingles.jaccard(x, y) >= 0.8} - {x.tobytes()} for i, x in enumerate(sets)}
+    assert len(unlike) > 100 and all(got[i].n_links == len(links[i]) + sum(x.tobytes() == y.tobytes() for y in sets) - 1 for i, x in enumerate(sets))
+    for i, x in enumerate(sets):
+        assert all(got[i].class_id == got[j].class_id for j, y in enumerate(sets) if y.tobytes() in links[i])
+    assert len({r.class_id for r in got.values()}) >= 6
 
 
 @pytest.fixture(scope="module")
