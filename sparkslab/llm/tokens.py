@@ -16,6 +16,8 @@ once.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -58,15 +60,22 @@ def splits_at_blanks(tokenizer) -> bool:
     return known and special and spec["truncation"] is None and spec["padding"] is None and spec["post_processor"] is None
 
 
+#: ASCII marks but the apostrophe, what stands between them, and marks again.
+_MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^!-/:-@\[-`{-~](?:.*[^!-/:-@\[-`{-~])?)([!-&(-/:-@\[-`{-~]*)", re.S).fullmatch
+#: Letters of the Latin blocks, of which those that normalisation leaves alone but for their case are merged directly.
+_LATIN = [chr(i) for i in range(0x41, 0x250) if chr(i).isalpha()]
+
+
 class Encoder(dict):
     """Encodes whole texts, and is the table of the ids of their pieces between blanks.
 
     Where white space always ends a token (``splits_at_blanks``), a text's ids
     are those of its pieces, and a piece that occurs again needs no new merge.
-    An ASCII letter and a comma or full stop after it are never one token, nor
-    does normalisation join them, so the mark is taken off such a piece; ASCII
-    pieces go by their lower case.  All else goes to the library as it stands.
-    When the table is full, pieces not asked for since it was half full go.
+    Marks before or after a word of plain Latin letters are tokens of their own
+    (but for an apostrophe, and where a special token may stand).  A word of
+    such letters only is one input of the library's merges, as it normalises and
+    maps each letter; all else goes through the library as it stands.  When the
+    table is full, pieces not asked for since it was half full go.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,22 +85,31 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = splits_at_blanks(self.tokenizer)
         self.older: dict[str, bytes] = {}
-        self.ends = {x: self._merge(x) for x in ",."}
+        self.plain = {}
+        if self.by_piece:
+            for c in _LATIN:
+                low = self.tokenizer.normalizer.normalize_str(c)
+                mapped = self.tokenizer.pre_tokenizer.pre_tokenize_str(low)
+                if unicodedata.normalize("NFC", c) == c and len(low) == 1 and low.isalpha() and len(mapped) == 1:
+                    self.plain[ord(c)] = mapped[0][0]
+            letters = "".join(map(chr, self.plain))
+            self.word = re.compile(f"[{letters}]+").fullmatch
+            self.merges = self.tokenizer.model.tokenize
 
     def _merge(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _new(self, piece: str) -> bytes:
+        if self.word(piece):
+            return array("I", [t.id for t in self.merges(piece.translate(self.plain))]).tobytes()
+        if piece and "<" not in piece and (m := _MARKED(piece)) and (m[1] or m[3]) and self.word(m[2][0]) and self.word(m[2][-1]):
+            return (self[m[1]] if m[1] else b"") + self[m[2]] + (self[m[3]] if m[3] else b"")
+        return self._merge(piece)
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            if not piece:
-                ids = b""
-            elif piece[-1] in ",." and piece[-2:-1].isascii() and piece[-2:-1].isalpha():
-                ids = self[piece[:-1]] + self.ends[piece[-1]]
-            elif piece.isascii() and "<" not in piece and not piece.islower() and (low := piece.lower()) != piece:
-                ids = self[low]
-            else:
-                ids = self._merge(piece)
+            ids = self._new(piece)
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
