@@ -242,15 +242,51 @@ def test_near_keys_find_all_within_the_radius(spark):
 
 
 def test_media(spark, corpus, empty):
-    got = collections.defaultdict(set)
     out = media.media(corpus).collect()
-    assert len(out) == corpus.count()
-    for r in out:
-        got[r.doc_id].add((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32))
+    want = collections.Counter()
     for r in corpus.collect():
         raw = (r.text or "").encode()
         data = raw + b"\xff" * (max(1, math.ceil(len(raw) / 576)) * 576 - len(raw))
-        assert (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:])) in got[r.doc_id]
+        cut, at = [], 0
+        for i in range(1, len(data) + 1):  # byte by byte
+            h = sum(int(media._GEAR[data[i - 1 - k]]) << k for k in range(min(16, i))) >> 5
+            if i == len(data) or i - at == media.MOST or (i - at >= media.LEAST and h % 1024 == 0):
+                cut.append(data[at:i])
+                at = i
+        sha = hashlib.sha256(data).digest()
+        stored = b"CDC2" + sha + b"".join(len(x).to_bytes(4, "little") for x in [cut, *cut]) + b"".join(hashlib.sha256(c).digest()[:16] for c in cut)
+        p = np.bincount(list(data), minlength=256) / len(data)
+        mean = sum(k * x for k, x in enumerate(p))
+        sd = math.sqrt(sum(x * (k - mean) ** 2 for k, x in enumerate(p)))
+        signs = sum((x >= 128) != (y >= 128) for x, y in zip(data, data[1:]))
+        text = f"mean={mean:.4f};sd={sd:.4f};entropy={-sum(x * math.log2(x) for x in p if x):.4f};crossings={signs}"
+        want[r.doc_id, len(raw), len(data), sha.hex(), zlib.crc32(data[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), text] += 1
+    assert want == collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in out)
+
+
+def test_media_shares_chunks(spark, empty):
+    """Each distinct chunk is stored once, also one that many objects want, and lost bytes are found out."""
+    rng = random.Random(10)
+    passage = prose(rng, 3000)
+    docs = spark.createDataFrame([(i, prose(rng, 200) + passage + prose(rng, 200)) for i in range(30)] + [(99, passage)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(media, "SPREAD", 4)
+        _, objects = media.store(docs, media.Codec())
+        got = media.media(docs).collect()
+    assert {(r.doc_id, r.payload_sha256) for r in got} == {(r.doc_id, hashlib.sha256(media.payload(r.text)).hexdigest()) for r in docs.collect()}
+    kept, all_of = [], set()
+    for row in (r.asDict(recursive=True) for r in objects.collect()):
+        _, lens, digests = media.unpack_list(bytes(row["manifest"]))
+        own = media._own_chunks({**row, "blob": bytes(row["blob"])}, lens, media.Codec())
+        assert all(media.digest(c) == digests[i] for i, c in own.items())
+        kept += own.values()
+        all_of |= set(digests)
+    assert len(kept) == len(set(kept)) == len(all_of) and sum(map(len, kept)) < 31 * 3000 * 2
+    row = {"key": b"k", "manifest": media.pack_list(b"0" * 32, [3], [media.digest(b"abc")]), "others": [], "blob": media.Codec().compress(b"abd"), "fetched": None}
+    import pyarrow as pa
+
+    with pytest.raises(ValueError, match="damaged"):
+        list(media._rebuilt(media.Codec(), [pa.RecordBatch.from_pylist([row])]))
     rng = random.Random(9)
     a, b = rng.randbytes(40_000), rng.randbytes(3_000)
     assert b"".join(media.chunks(a)) == a and all(len(c) <= media.MOST for c in media.chunks(a))
