@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -188,6 +189,35 @@ def test_html_without_end_of_head():
         assert html.main_text(head + start + body) == html.main_text(head + "</head>" + start + body) == "First paragraph of the text.\nSecond."
 
 
+def test_html_cut_decides_where_blocks_say_little():
+    """A page without telling names or elements: the cut flips short lines of the text in, and of the menu out."""
+    long = "This sentence goes on with many plain words so that it is a paragraph of the text, as any reader sees at once."
+    menu = "".join(f"<div><a href=x>Place {i}</a></div>" for i in range(6))
+    page = f"<body><div>{menu}<div>Read all news now.</div>{menu}</div><div><div>{long}</div><div>Then this</div><div>{long} {long}</div><div>and that</div><div>{long}</div></div><div>{menu}</div>"
+    found = html.blocks(page)
+    keep, drop, edges = html.graph(found)
+    alone = [d > k for k, d in zip(keep, drop)]
+    cut = mincut.labels(keep, drop, edges)
+    truth = [not b.linked and not b.text.startswith("Read") for b in found]
+    assert cut == truth and sum(x != y for x, y in zip(alone, truth)) >= 2
+    assert html.main_text(page) == "\n".join([long, "Then this", f"{long} {long}", "and that", long])
+
+
+def test_html_names_are_evidence_not_verdicts():
+    long = "This sentence goes on with many plain words so that it is a paragraph of the text, as any reader sees at once."
+    for start in ('<div class="post comments-open">', '<div id="page-header-wrap">', '<article><section id="related">', '<div class="no-sidebar">', '<form action=x><div class="content">'):
+        assert html.main_text(f"<body>{start}<p>{long}</p><p>{long}</p>") == f"{long}\n{long}", start
+    for start in ('<div class="comments-area">', '<div class="site-footer">', "<aside>", '<div class="ad">', '<section id="comments">', '<div class="cookieNotice">'):
+        assert html.main_text(f"<body><article><p>{long}</p></article>{start}<p>{long}</p>") == long, start
+
+
+@pytest.mark.parametrize("page", ["<b " * 350_000, "<div>x" * 170_000, "<p>a<li>b" * 110_000, '<a href="x> y ' * 70_000, "<div>" * 30_000 + "</p>x" * 170_000, "<b>" + "<i>" * 50_000 + "</b>x" * 170_000, "<script></script " * 60_000, "<ul><li>a b c." * 70_000, "<!-- x " * 150_000, "<p>Read on now.</p><li><a href=x>link here</a></li>" * 20_000])
+def test_html_of_a_megabyte_ends(page):
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 60
+
+
 def brute_windows(text, item):
     shingle = lambda t: [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if (w := (t or "").lower().split()) else []
     x, y = shingle(text), shingle(item)
