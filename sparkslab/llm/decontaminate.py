@@ -14,6 +14,8 @@ found wherever a document has its words in a row.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +92,26 @@ def neighbour_keys(fingerprint: Column, blocks: int = BLOCKS, radius: int = RADI
     return F.flatten(F.transform(block_keys(fingerprint, blocks), lambda key: F.transform(F.array(*[F.lit(m).cast("long") for m in near]), lambda m: key.bitwiseXOR(m))))
 
 
+def _repeats(x: Column) -> Column:
+    """Of a sorted list, what is left when each value goes once."""
+    return F.filter(x, lambda v, i: (i > 0) & (F.get(x, i - 1) == v))
+
+
+def _shared(x: Column, y: Column, levels: int = 3) -> Column:
+    """How many values two sorted lists share, each as often as both have it.
+
+    Each level counts the distinct values of both by hashing and goes on with
+    their repeats; the last one counts those that stand more often one by one.
+    """
+    if levels:
+        return F.size(F.array_intersect(x, y)) + let(_repeats(x), lambda u: F.when(F.size(u) == 0, 0).otherwise(let(_repeats(y), lambda v: F.when(F.size(v) == 0, 0).otherwise(_shared(u, v, levels - 1)))))
+    count = lambda of, h: F.size(F.filter(of, lambda v: v == h))
+    return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda acc, h: acc + F.least(count(x, h), count(y, h)))
+
+
 def weighted_similarity(x: Column, y: Column) -> Column:
     """Sum of least over sum of largest counts, of two sorted shingle lists."""
-    shared = F.array_distinct(F.array_intersect(x, y))
-    count = lambda of, h: F.size(F.filter(of, lambda v: v == h))
-    both = F.aggregate(shared, F.lit(0), lambda acc, h: acc + F.least(count(x, h), count(y, h)))
-    return let(both, lambda n: n / (F.size(x) + F.size(y) - n))
+    return let(_shared(x, y), lambda n: n / (F.size(x) + F.size(y) - n))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -146,6 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns; a row without an id stays."""
-    hit = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")
+    """The rows of ``docs`` that hold no item, with all their columns, of any name; a row without an id stays."""
+    hit = f"hit_{uuid.uuid4().hex}"
+    hits = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, docs["doc_id"].cast("long") == F.col(hit), "left_anti")

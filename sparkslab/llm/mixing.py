@@ -4,14 +4,19 @@ Source shares p are raised to an exponent in 0..1 and normalised.  The exponent
 is bisected until the weights meet a target: an entropy, or the most often a
 source may be repeated.  A source's target tokens are then taken as whole
 passes over it and one partial pass: its documents stand in blocks of about
-equal size, each pass is a seeded permutation of the blocks, and the partial
-pass takes blocks in that order until its budget is met, the last one document
-by document.
+equal size, each pass is a seeded permutation of the blocks (and of the
+documents in each), and the partial pass takes blocks in that order until its
+budget is met, the last one document by document.  ``schedule`` says where each
+use of a document stands.
+
+Rows alike in id, text and source are one unit with that many copies, so the
+edge of the budget may fall between them and reruns agree.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,18 +91,23 @@ def bisect_exponent(sources: DataFrame, entropy: float | None = None, max_repeat
     return low if by_entropy else high
 
 
-def plan(docs: DataFrame, budget: float | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``docs`` (doc_id, text, source) as doc_id, source, n_tokens, weight, repeats: how often each document is used.
+def _rid(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
 
-    Without a ``budget`` (tokens) it is the least one with which every source is
-    used at least once, so that no document goes.  Null sources are one source
-    of their own; a document without tokens is used once for each whole pass of
-    its source; a source without tokens has weight 0 and is used once.  A tie of
-    hashes is broken by doc_id and text.
+def plan(docs: DataFrame, budget: float | None = None, entropy: float | None = None, max_repeats: float = MAX_REPEATS, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``docs`` (doc_id, text, source) as units: rid, doc_id, source, n_tokens, copies, weight, whole, extra, block.
+
+    A unit is used ``whole`` times for each of its copies, and ``extra`` of the
+    copies once more.  Without a ``budget`` (tokens) it is the least one with
+    which every source is used at least once, so that no document goes.  Null
+    sources are one source of their own; a document without tokens goes with the
+    documents before it; a source without tokens has weight 0 and is used once.
+    Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), token_count(F.col("text").cast("string")).alias("n"), F.xxhash64("doc_id", "text").alias("rid"))
-    rows = stage(rows, "mix-rows")
-    sums = rows.groupBy("source", "no_source").agg(F.sum("n").alias("tokens"))
+    rows = docs.select(_rid(docs).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), token_count(F.col("text").cast("string")).alias("n"))
+    units = stage(rows.groupBy("rid", "doc_id", "source", "no_source").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "mix-units")
+    sums = units.groupBy("source", "no_source").agg(F.sum(F.col("n") * F.col("copies")).alias("tokens"))
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     sources = stage(sums.withColumn("total", F.lit(max(total, 1)).cast("double")), "mix-sources")
     a = bisect_exponent(sources, entropy, None if entropy is not None else max_repeats)
@@ -107,26 +117,65 @@ def plan(docs: DataFrame, budget: float | None = None, entropy: float | None = N
     spend = budget if budget is not None else (norm.b or 0.0) * z
     passes = F.when(F.col("tokens") > 0, F.lit(float(spend)) * raw / z / F.col("tokens")).otherwise(1.0)
     shares = sources.select("source", "no_source", "tokens", (raw / z).alias("weight"), F.round(passes, 9).alias("passes"))
-    shares = stage(shares.select("*", F.floor("passes").cast("long").alias("whole"), F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / block_tokens))).cast("long").alias("blocks")), "mix-shares")
-    keyed = rows.join(shares, ["source", "no_source"]).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("blocks")))
-    keyed = keyed.withColumn("left", F.round((F.col("passes") - F.col("whole")) * F.col("tokens")).cast("long"))
-    blocks = stage(keyed.groupBy("source", "no_source", "block", "whole", "left").agg(F.sum("n").alias("size")), "mix-blocks")
-    # the partial pass: its number in the seed makes it another permutation than the passes before
-    order = F.xxhash64("block", "source", "whole", F.lit(seed))
-    before = Window.partitionBy("source", "no_source").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select("*", F.floor("passes").cast("long").alias("whole"), F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("tokens") / block_tokens))).cast("long").alias("blocks"))
+    shares = stage(shares.withColumn("left", F.round((F.col("passes") - F.col("whole")) * F.col("tokens")).cast("long")), "mix-shares")
+    keyed = units.join(shares, ["source", "no_source"]).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("blocks"))).withColumn("all", F.col("n") * F.col("copies"))
+    blocks = stage(keyed.groupBy("source", "no_source", "block", "whole", "left").agg(F.sum("all").alias("size")), "mix-blocks")
+    # the partial pass takes its permutation's first blocks
+    before = Window.partitionBy("source", "no_source").orderBy(_order(F.col("whole"), seed), "block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.select("source", "no_source", "block", "size", (F.col("left") - F.coalesce(F.sum("size").over(before), F.lit(0))).alias("room"))
-    inside = Window.partitionBy("source", "no_source", "block").orderBy(F.xxhash64("rid", F.lit(seed + 1)), "doc_id", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = keyed.join(placed, ["source", "no_source", "block"])
     edge = (F.col("room") > 0) & (F.col("room") < F.col("size"))
-    cut = used.where(edge).withColumn("extra", (F.sum("n").over(inside) <= F.col("room")).cast("long"))
-    rest = used.where(~edge).withColumn("extra", (F.col("room") >= F.greatest(F.col("size"), F.lit(1))).cast("long"))
-    out = cut.unionByName(rest)
-    return out.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), F.col("n").alias("n_tokens"), "weight", (F.col("whole") + F.col("extra")).alias("repeats"), "rid")
+    inside = Window.partitionBy("source", "no_source", "block").orderBy(_turn(F.col("whole"), seed), "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    cut = used.where(edge).withColumn("room", F.col("room") - F.coalesce(F.sum("all").over(inside), F.lit(0)))
+    fits = F.when(F.col("n") > 0, F.greatest(F.lit(0), F.least(F.col("copies"), F.floor(F.col("room") / F.col("n"))))).when(F.col("room") >= 0, F.col("copies")).otherwise(0)
+    cut = cut.withColumn("extra", fits.cast("long"))
+    rest = used.where(~edge).withColumn("extra", F.when(F.col("room") >= F.greatest(F.col("size"), F.lit(1)), F.col("copies")).otherwise(0).cast("long"))
+    return cut.unionByName(rest).select("rid", "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), F.col("n").alias("n_tokens"), "copies", "weight", "whole", "extra", "block")
+
+
+def _order(number: Column, seed: int) -> Column:
+    """What a source's blocks are sorted by in a pass."""
+    return F.xxhash64("block", "source", number, F.lit(seed))
+
+
+def _turn(number: Column, seed: int) -> Column:
+    """What a block's documents are sorted by in a pass."""
+    return F.xxhash64("rid", number, F.lit(seed + 1))
+
+
+def schedule(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+    """doc_id, source, n_tokens, weight, pass, place, turn: one row for each use of each row of ``docs``.
+
+    Passes are numbered from 0.  Within a pass over its source, a use stands in
+    the block at ``place`` (from 1) and in this by ``turn``, doc_id and copy.
+    See ``plan`` for nulls and repeated rows.
+    """
+    units = stage(plan(docs, seed=seed, **how), "mix-plan")
+    whole = F.transform(F.expr("if(whole > 0, sequence(0L, whole - 1), array())"), lambda i: F.struct(i.cast("long").alias("number"), F.col("copies").alias("times")))
+    last = F.when(F.col("extra") > 0, F.array(F.struct(F.col("whole").alias("number"), F.col("extra").alias("times")))).otherwise(F.array().cast("array<struct<number:bigint,times:bigint>>"))
+    uses = units.select("*", F.explode(F.concat(whole, last)).alias("use")).select("*", F.col("use.number").alias("pass"), F.col("use.times").alias("times"))
+    known = uses.select("source", "block", "pass").distinct()
+    place = known.select(F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"), "block", "pass")
+    place = place.withColumn("place", F.row_number().over(Window.partitionBy("source", "no_source", "pass").orderBy(_order(F.col("pass"), seed), "block")))
+    uses = uses.withColumn("no_source", F.col("source").isNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    out = uses.join(place, ["source", "no_source", "block", "pass"]).withColumn("copy", F.explode(F.expr("sequence(1L, times)")))
+    return out.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "n_tokens", "weight", "pass", "place", _turn(F.col("pass"), seed).alias("turn"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with every row as often as ``plan`` uses it; all columns stay."""
-    used = plan(docs, **how).select("rid", "repeats").groupBy("rid").agg(F.first("repeats").alias("_repeats"))
-    keyed = docs.withColumn("_rid", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    joined = keyed.join(used, keyed["_rid"] == used["rid"]).withColumn("_copy", F.explode(F.expr("sequence(1, _repeats)")))
-    return joined.where("_repeats > 0").select(*[keyed[c] for c in docs.columns])
+    """``docs`` with every row as often as ``plan`` uses it; all columns stay, of any name."""
+    fresh = uuid.uuid4().hex
+    name = lambda c: f"{c}_{fresh}"
+    units = stage(plan(docs, **how), "mix-plan")
+    used = units.select(*[F.col(c).alias(name(c)) for c in ("rid", "doc_id", "source", "copies", "whole", "extra")])
+    same = (_rid(docs) == used[name("rid")]) & docs["doc_id"].cast("long").eqNullSafe(used[name("doc_id")]) & docs["source"].cast("string").eqNullSafe(used[name("source")])
+    joined = docs.join(used, same)
+    halved = (F.col(name("extra")) > 0) & (F.col(name("extra")) < F.col(name("copies")))
+    times = F.col(name("whole")) + (F.col(name("extra")) > 0).cast("long")
+    out = joined.where(~halved).withColumn(name("times"), times)
+    if not units.where("extra > 0 and extra < copies").isEmpty():  # at most one unit of a source
+        number = F.row_number().over(Window.partitionBy(name("rid"), name("doc_id"), name("source")).orderBy(name("rid")))
+        some = joined.where(halved).withColumn(name("times"), number)
+        out = out.unionByName(some.withColumn(name("times"), F.col(name("whole")) + (F.col(name("times")) <= F.col(name("extra"))).cast("long")))
+    return out.where(F.col(name("times")) > 0).withColumn(name("copy"), F.explode(F.expr(f"sequence(1L, `{name('times')}`)"))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -62,8 +62,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is used in a temperature mixture of the sources."""
-    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens", "weight", "repeats")
+    """Every use of every document in a temperature mixture of the sources, with its pass and place."""
+    return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:

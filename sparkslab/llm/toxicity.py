@@ -11,6 +11,7 @@ apart.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -184,8 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return fit_machine([np.array(at, dtype=np.int64) for at, _ in rows], np.array([t for _, t in rows], dtype=float), terms)
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with score and predicted: every row, its whole text (null: empty), no shuffle.
+def score(docs: DataFrame, machine: Machine, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with score and predicted, or what ``names`` calls them: every row, its whole text (null: empty), no shuffle.
 
     Other columns pass through; columns of these two names are replaced.
     """
@@ -196,12 +197,17 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             i = batch.schema.get_field_index("text")
             logits = machine.logits([lookup.places(t) for t in batch.column(i).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            names = [*batch.schema.names, "score", "predicted"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    rows = docs.drop("score", "predicted")
+    rows = docs.drop(*names)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{types}, score double, predicted int")
+    return rows.mapInArrow(run, f"{types}, `{names[0]}` double, `{names[1]}` int")
+
+
+def clean(docs: DataFrame, machine: Machine) -> DataFrame:
+    """The rows that the machine doesn't call toxic, with all their columns, of any name."""
+    fresh = uuid.uuid4().hex
+    return score(docs, machine, (f"score_{fresh}", f"predicted_{fresh}")).where(F.col(f"predicted_{fresh}") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def training_fold(labels: DataFrame) -> DataFrame:

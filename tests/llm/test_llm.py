@@ -123,20 +123,49 @@ def test_lines(spark, corpus, empty):
 
 
 def test_mixing(spark, corpus, empty):
-    p = mixing.plan(corpus, block_tokens=300).collect()
-    assert len(p) == corpus.count() and all(1 <= r.repeats <= 2 for r in p)
-    size, used, weight = collections.Counter(), collections.Counter(), {}
-    for r in p:
-        size[r.source] += r.n_tokens
-        used[r.source] += r.n_tokens * r.repeats
+    rows = corpus.collect()
+    units = mixing.plan(corpus, block_tokens=300).collect()
+    assert sum(r.copies for r in units) == len(rows) and all(r.whole >= 1 and 0 <= r.extra <= r.copies for r in units)
+    size, used, weight, count = collections.Counter(), collections.Counter(), {}, lambda t: len((t or "").split())
+    for r in rows:
+        size[r.source] += count(r.text)
+    for r in units:
+        used[r.source] += r.n_tokens * (r.copies * r.whole + r.extra)
         weight[r.source] = r.weight
-    assert abs(sum(weight.values()) - 1) < 1e-9
-    total = max(size[s] / weight[s] for s in size)
-    largest = max(r.n_tokens for r in p)
+    # the weights are the shares to a power: the smallest power with which no source is repeated more than twice as often as another
+    total = sum(size.values())
+    a = min(x / 4096 for x in range(4097) if (lambda m: max(m) / min(m) <= mixing.MAX_REPEATS + 1e-9)([(n / total) ** (x / 4096 - 1) for n in size.values()]))
+    q = {s: (n / total) ** a for s, n in size.items()}
+    assert all(abs(weight[s] - q[s] / sum(q.values())) < 1e-3 for s in size)
+    spend, largest = max(size[s] / weight[s] for s in size), max(r.n_tokens for r in units)
     for s in size:  # within one document of the target
-        assert -1e-6 <= weight[s] * total - used[s] <= largest + 1
-    assert max(weight[s] * total / size[s] for s in size) <= mixing.MAX_REPEATS + 1e-6
-    assert mixing.mixed(corpus).columns == corpus.columns
+        assert -1e-6 <= weight[s] * spend - used[s] <= largest + 1
+    # the schedule by brute force: every pass is a permutation, the last one is a prefix of its own
+    uses = mixing.schedule(corpus, block_tokens=300).collect()
+    times = collections.Counter((r.doc_id, r.source, r.n_tokens) for r in uses)
+    want = collections.Counter()
+    for r in units:
+        want[r.doc_id, r.source, r.n_tokens] += r.copies * r.whole + r.extra
+    assert times == want
+    by = collections.defaultdict(list)
+    for r in uses:
+        by[r.source, r["pass"]].append(r)
+    for (s, k), mine in by.items():
+        blocks = {r.place for r in mine}
+        assert blocks == set(range(1, len(blocks) + 1))
+        if (s, k + 1) in by:  # a whole pass has every row of the source once
+            assert collections.Counter(r.doc_id for r in mine) == collections.Counter(r.doc_id for r in rows if r.source == s)
+    orders = {k: [r.doc_id for r in sorted(by["s1", k], key=lambda r: (r.place, r.turn, r.doc_id))] for s, k in by if s == "s1"}
+    assert len(orders) < 2 or orders[0][: len(orders[1])] != orders[1]
+    odd = corpus.withColumns({"_rid": F.lit(1), "_repeats": F.lit(2), "times": F.lit(3), "copies": F.lit(4), "use": F.lit(5)})
+    out = mixing.mixed(odd, block_tokens=300)
+    assert out.columns == odd.columns
+    assert collections.Counter((r.doc_id, r.source, count(r.text)) for r in out.collect()) == want
+    # ties: equal rows at the edge of the budget are used in part, and every run alike
+    twins = spark.createDataFrame([(1, "a b c d", "s")] * 10 + [(2, "a b c d", "s")], "doc_id long, text string, source string")
+    for _ in range(2):
+        assert mixing.mixed(twins, budget=58).count() == 11 + 3
+    assert sum(r.copies * r.whole + r.extra for r in mixing.plan(twins, budget=58).collect()) == 14
     src = spark.createDataFrame([("a", 800.0, 1000.0), ("b", 150.0, 1000.0), ("c", 50.0, 1000.0)], "source string, tokens double, total double")
     a = mixing.bisect_exponent(src, entropy=0.9)
     q = np.array([0.8, 0.15, 0.05]) ** a
