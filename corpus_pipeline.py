@@ -8,28 +8,22 @@ again.  All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkslab.llm import decontaminate, jaccard, mixing, queries, tokens, toxicity
-from sparkslab.plans.stage import stage
+from sparkslab.plans.stage import new_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine doesn't call toxic; it learns outside fold 0 of 5."""
-    machine = toxicity.learn(docs, toxicity.training_fold(queries.table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, machine).where("predicted = 0").select(*docs.columns)
+    """Documents that the factorization machine doesn't call toxic; it learns outside fold 0 of 5.
+
+    A null text is scored as an empty one, repeated rows alike.
+    """
+    return toxicity.clean(docs, toxicity.learn(docs, toxicity.training_fold(queries.table(spark, sf_dir, "labels"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; of rows with one id, one. A null id stays."""
-    found = jaccard.near_duplicate_classes(docs)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """The document with the smallest id of each class; of rows alike in id and text, one. A null id stays."""
+    return jaccard.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +32,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture uses them: each at least once, small sources up to twice."""
+    """Documents as often as the mixture uses them: each at least once, small sources up to twice; a null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of the mixture, read back."""
+    """Token shards of the mixture, read back; a null text is empty, a null id comes first."""
     return tokens.token_output(docs, queries.tokenizer_file())
 
 
@@ -60,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from ``documents`` on."""
+    """All stages, from ``documents`` on; what a stage itself has staged goes when its result is written."""
     docs = queries.table(spark, sf_dir, "documents")
     for i, (_, step) in enumerate(STAGES):
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{i + 1}")
+        out = new_path(spark, f"pipeline-{i + 1}")
+        with scratch(spark):
+            made = step(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(out)
+        docs = spark.read.schema(made.schema).parquet(out)
     return docs

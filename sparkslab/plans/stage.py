@@ -8,11 +8,13 @@ setting is absent (tests, local mode).
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only when the session names no checkpoint folder.
+#: Used only when the session names no checkpoint folder, in local mode.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/sparkslab"
 
 _staged: list[str] = []
@@ -21,6 +23,8 @@ _staged: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this cluster, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
     return (folder or LOCAL_CHECKPOINT_DIR).rstrip("/")
 
 
@@ -39,21 +43,23 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every table staged by this driver; returns how many went.
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables staged by this driver, but for the first ``since``; returns how many went.
 
     Call it once the results that read them have been written.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        gone += bool(path.getFileSystem(conf).delete(path, True))
+    while len(_staged) > since:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return gone
 
 
-def drop(df_path: str, spark: SparkSession) -> None:
-    """Delete one staged table that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside when the block ends, also by an error."""
+    since = len(_staged)
+    try:
+        yield
+    finally:
+        release(spark, since)
