@@ -2,10 +2,11 @@
 
 A document's terms are its distinct lower-cased words and their first three,
 four and five letters, each hashed to 64 bits.  The terms whose share of toxic
-documents differs most from the average get a weight and a factor vector; the
-machine adds the weights of the terms present and the inner products of all
-their pairs, so that two terms can count together for more (or less) than
-apart.
+documents differs clearly from the average get a weight and a factor vector,
+and so do those whose share differs among the documents that have one of these:
+a term that says nothing alone may say much beside another.  The machine adds
+the weights of the terms present and the inner products of all their pairs, so
+that two terms can count together for more (or less) than apart.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkslab.llm.langid import fold
+from sparkslab.plans.stage import stage
 
 #: Labelled rows to learn from, about: beyond that a hash of the id thins them out.
 MAX_LABELLED = 20_000
-#: Terms with a weight, at most, and the documents each must be in.
-MAX_TERMS = 4_096
+#: Documents that a term must be in, and standard errors by which its toxic share must differ.
 MIN_DOCS = 3
-#: Standard errors by which a term's toxic share must differ.
 MIN_Z = 5.0
 FACTORS = 8
 STEPS = 200
@@ -36,6 +36,8 @@ RATE = 0.05
 DECAY = 1e-4
 SEED = 7
 _PREFIXES = (3, 4, 5)
+#: Stands for every row among the terms.
+EVERY = 0
 #: Words a worker keeps with their terms; when full, the table starts anew.
 CACHE_WORDS = 400_000
 
@@ -116,18 +118,37 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factor
     return Machine(float(theta[0]), terms, theta[1 : k + 1].copy(), theta[k + 1 :].reshape(k, factors).copy())
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial (term, documents, toxic documents) of a task's rows."""
-    for batch in batches:
-        toxic = batch.column(1).to_pylist()
-        hashes, label = [], []
-        for text, t in zip(batch.column(0).to_pylist(), toxic, strict=True):
-            mine = {h for w in words(text) for h in word_terms(w)}
-            hashes.extend(mine)
-            label.extend([t] * len(mine))
-        if hashes:
-            terms, at = np.unique(np.array(hashes, dtype=np.int64), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at)), pa.array(np.bincount(at, np.array(label)).astype(np.int64))], names=["term", "n", "toxic"])
+def _term_counts(among: np.ndarray | None):
+    """Partial (term, documents, toxic documents) of a task's rows that have a term of ``among``; EVERY stands for each of these rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = None if among is None else _Lookup(among)
+        for batch in batches:
+            hashes, label = [], []
+            for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lookup is not None and not len(lookup.places(text)):
+                    continue
+                mine = {h for w in words(text) for h in word_terms(w)}
+                mine.add(EVERY)
+                hashes.extend(mine)
+                label.extend([t] * len(mine))
+            if hashes:
+                terms, at = np.unique(np.array(hashes, dtype=np.int64), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at)), pa.array(np.bincount(at, np.array(label)).astype(np.int64))], names=["term", "n", "toxic"])
+
+    return run
+
+
+def _differing(sample: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
+    """Sorted hashes of the terms whose toxic share differs from that of all rows (that have a term of ``among``)."""
+    counts = sample.mapInArrow(_term_counts(among), "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    counts = stage(counts.where(F.col("n") >= MIN_DOCS), "toxicity-counts")
+    every = counts.where(F.col("term") == EVERY).first()
+    if every is None:
+        return np.zeros(0, np.int64)
+    share = min(max(every.toxic / every.n, 0.5 / every.n), 1 - 0.5 / every.n)
+    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    return np.sort(np.array([r.term for r in counts.where(F.abs(z) >= MIN_Z).where(F.col("term") != EVERY).select("term").collect()], dtype=np.int64))
 
 
 class _Lookup:
@@ -156,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     Rows with a null id or label are left out, repeated labels of a document
     count once (the larger wins).  About ``max_labelled`` labels are used; that
-    bound is why they can be broadcast, and why the rows can be gathered.
+    bound is why they can be broadcast, and why their terms can be gathered.
     Without labels every score is one half; without terms, the toxic share.
     """
     given = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -166,14 +187,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if n > max_labelled:
         given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) < int(1_000_003 * max_labelled / n))
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(given), "doc_id").select("text", "toxic")
-    totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
-    if not totals.n:
+    sample = stage(sample, "toxicity-sample")
+    if sample.isEmpty():
         return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    share = min(max(totals.toxic / totals.n, 0.5 / totals.n), 1 - 0.5 / totals.n)
-    z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    counts = sample.mapInArrow(_term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    chosen = counts.where(F.col("n") >= MIN_DOCS).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    terms = np.sort(np.array([r.term for r in chosen.select("term").collect()], dtype=np.int64))
+    terms = _differing(sample)
+    terms = np.union1d(terms, _differing(sample, terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(terms)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkslab.plans.stage import stage
 
-#: Captures in a time bucket of a URL: no task has more of one URL than a bucket's.
+#: Time units in a bucket of a URL: no task has more of one URL than it was captured in so much time.
 BUCKET = 4_096
 # Header fields a 304 response may send (RFC 9110, 15.4.5), and query parameters that don't tell pages apart.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -37,7 +37,8 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     etag, last_modified and headers (map of lower-case names).  Status is 'ok',
     'etag_mismatch', 'date_mismatch' or 'no_response'; only 'ok' has merged
     headers, the others keep the revisit's own.  A response at a revisit's very
-    time counts as earlier if its record_id is smaller.  A null url or time
+    time counts as earlier if its record_id is not larger; of responses alike in
+    both, a hash of the validators decides.  A null url or time
     never finds a response; a validator that either side lacks is not checked.
 
     The latest response is carried forward in two steps: between a URL's time
@@ -48,10 +49,10 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = records.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "revisit").alias("revisit"), "etag", "last_modified", "headers")
     rows = stage(rows.select("*", F.floor(F.col("ts") / bucket).alias("bucket"), F.when(~F.col("revisit") & F.col("ts").isNotNull() & F.col("key").isNotNull(), base).alias("full")), "warc-records")
     known = rows.where("key is not null and ts is not null")
-    lasts = known.where("full is not null").groupBy("key", "bucket").agg(F.max_by("full", F.struct("ts", "record_id")).alias("last"))
+    lasts = known.where("full is not null").groupBy("key", "bucket").agg(F.max_by("full", F.struct("ts", "record_id", F.xxhash64("etag", "last_modified"))).alias("last"))
     marks = known.select("key", "bucket").distinct().join(lasts, ["key", "bucket"], "left")
     carried = marks.select("key", "bucket", F.last("last", ignorenulls=True).over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    upto = Window.partitionBy("key", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("key", "bucket").orderBy("ts", "record_id", "revisit", F.xxhash64("etag", "last_modified")).rowsBetween(Window.unboundedPreceding, -1)
     near = known.withColumn("near", F.last("full", ignorenulls=True).over(upto)).where("revisit")
     found = near.join(carried, ["key", "bucket"], "left").select("record_id", "etag", "last_modified", "headers", F.coalesce("near", "carry").alias("base"))
     lost = rows.where("revisit and (key is null or ts is null)").select("record_id", "etag", "last_modified", "headers", F.lit(None).cast(found.schema["base"].dataType).alias("base"))

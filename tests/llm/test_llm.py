@@ -187,6 +187,66 @@ def test_toxicity(spark, corpus, empty):
     assert {r.score for r in toxicity.toxicity(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_machine_is_the_sum_over_all_pairs():
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(0.3, np.arange(6), rng.normal(size=6), rng.normal(size=(6, 4)))
+    docs = [np.array(sorted(rng.choice(6, k, replace=False)), dtype=np.int64) for k in (0, 1, 2, 5, 6)]
+    want = [0.3 + sum(m.weights[i] for i in d) + sum(m.factors[i] @ m.factors[j] for i in d for j in d if i < j) for d in docs]
+    assert np.allclose(m.logits(docs), want)
+    # the gradient that the fit follows lowers the loss it is meant for
+    y = np.array([0, 0, 1, 1, 0.0])
+    loss = lambda m: float(np.logaddexp(0, m.logits(docs) * (1 - 2 * y)).sum())
+    assert loss(toxicity.fit_machine(docs, y, m.terms, steps=200)) < 0.1 * loss(toxicity.fit_machine(docs, y, m.terms, steps=0))
+
+
+def test_toxicity_of_a_term_that_says_nothing_alone(spark):
+    """A group is in as many toxic documents as the average, but beside an insult it decides."""
+    rng = random.Random(2)
+    kinds = [("insultword groupword", 1)] * 100 + [("insultword", 0)] * 100 + [("groupword", 0)] * 300 + [("otherword", 1)] * 100 + [("", 0)] * 200
+    rows = [(i, f"{prose(rng, 15)} {t}", y) for i, (t, y) in enumerate(kinds * 2)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = docs.join(labels, "doc_id").select("text", "toxic")
+    alone = toxicity._differing(sample)
+    group = toxicity._hash("groupword")
+    assert group not in alone and toxicity._hash("insultword") in alone and group in toxicity._differing(sample, alone)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
+    assert np.mean([got[i] == y for i, t, y in rows if i in got and "insultword" in t]) > 0.95
+
+
+def test_language_by_brute_force(spark):
+    """Letter by letter: bind, bundle, compare."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("on the mat", "en"), ("der hund lief", "de"), ("im wald der", "de"), ("Été à", "fr"), (None, "en"), ("42", "de"), ("the dog", None)])]
+    docs = spark.createDataFrame([(*r, r[0] % 4 == 1) for r in rows], "doc_id long, text string, lang string, held_out boolean")
+    d, vectors = 128, {}
+
+    def letter(c):
+        if c not in vectors:
+            vectors[c] = 2.0 * np.random.default_rng([langid.SEED, ord(c)]).integers(0, 2, d) - 1
+        return vectors[c]
+
+    def bundle(text):
+        plain = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = f" {' '.join(plain.split())} " if plain.strip() else ""
+        out = np.zeros(d)
+        for i in range(len(padded) - 2):
+            out += np.prod([np.roll(letter(c), 2 - k) for k, c in enumerate(padded[i : i + 3])], axis=0)
+        return out
+
+    sums = collections.defaultdict(lambda: np.zeros(d))
+    for _, t, lang in rows:
+        if lang:
+            sums[lang] += bundle(t)
+    prototypes = langid.learn_prototypes(docs, d)
+    assert set(prototypes) == set(sums) and all(np.allclose(prototypes[k], v / np.linalg.norm(v), atol=1e-6) for k, v in sums.items())
+    got = {r.doc_id: r for r in langid.predict(docs, prototypes, d).collect()}
+    for i, t, _ in rows:
+        v = bundle(t)
+        cosine = {k: float(p @ v) / max(np.linalg.norm(p) * np.linalg.norm(v), 1e-12) for k, p in sums.items()}
+        best = max(sorted(cosine), key=cosine.get) if v.any() else "und"
+        assert got[i].lang_pred == best and abs(got[i].score - min(max(cosine.get(best, 0.0), 0.0), 1.0)) < 1e-5
+
+
 def test_mincut_is_the_cheapest_labelling():
     rng = random.Random(2)
     for _ in range(60):
