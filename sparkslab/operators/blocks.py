@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkslab.operators.components import connected_components
+from sparkslab.operators.sweep import running
 
 
 def merge_extents(extents: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -16,16 +17,13 @@ def merge_extents(extents: DataFrame, by: list[str] | None = None) -> DataFrame:
     relevance, 0 if there is none.
     """
     by = by or []
-    ends = extents.select(*by, F.col("l").alias("start")).union(extents.select(*by, F.col("r").alias("start"))).distinct()
-    pieces = ends.withColumn("end", F.lead("start").over(Window.partitionBy(*by).orderBy("start"))).where("end is not null")
-    mid = (F.col("start") + F.col("end")) / 2
-    cover = extents.select(*by, "l", "r", "relevance")
-    on = (F.col("l") <= mid) & (mid < F.col("r"))
-    if by:
-        cover = cover.toDF(*[f"_{c}" for c in by], "l", "r", "relevance")
-        for c in by:
-            on = on & (pieces[c] == F.col(f"_{c}"))
-    return pieces.join(cover, on, "left").groupBy(*by, "start", "end").agg(F.coalesce(F.avg("relevance"), F.lit(0.0)).alias("relevance"))
+    # what begins and ends at each end: running sums over the ends are what covers the piece behind it
+    covers = F.col("l") < F.col("r")
+    weight, one = F.when(covers, F.coalesce("relevance", F.lit(0.0))).otherwise(0.0), F.when(covers & F.col("relevance").isNotNull(), 1).otherwise(0)
+    marks = extents.select(*by, F.col("l").alias("start"), weight.alias("w"), one.alias("c")).unionByName(extents.select(*by, F.col("r").alias("start"), (-weight).alias("w"), (-one).alias("c")))
+    ends = marks.where("start is not null").groupBy(*by, "start").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
+    pieces = running(ends, "start", {"total": F.col("w"), "n": F.col("c")}, by, following="end").where("end is not null")
+    return pieces.select(*by, "start", "end", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("relevance"))
 
 
 def threshold_blocks(features: DataFrame, zeta, coord: str = "s", by: list[str] | None = None) -> DataFrame:

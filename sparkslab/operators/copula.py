@@ -1,4 +1,4 @@
-"""Copula marginals: columns to and from the normal scale by windows and joins, not by sorting on the driver."""
+"""Copula marginals: columns to and from the normal scale by sweeps in range buckets, not by sorting on the driver."""
 
 from __future__ import annotations
 
@@ -8,55 +8,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkslab.functions.exprs import lgamma, ndtr, ndtri
+from sparkslab.operators.sweep import group_key, neighbours, running
 
 EPS = 1e-6
+#: Counts up to which the table of their probabilities is broadcast.
+BROADCAST_COUNTS = 100_000
 
 
 def _held(u: Column) -> Column:
     return F.least(F.greatest(u, F.lit(EPS)), F.lit(1 - EPS))
 
 
+def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, c, upto, n): how often each distinct value stands, up to it, and in all."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    summed = running(counts, value, {"upto": F.col("c")}, by).withColumn("_g", group_key(by))
+    totals = counts.groupBy(group_key(by).alias("_g")).agg(F.sum("c").alias("n"))
+    return summed.join(totals, "_g").drop("_g")
+
+
 def to_gaussian_empirical(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
     """``df`` with z: the normal score of each value's Hazen rank (ties take their highest), for each ``by``.
 
-    Ranks come from the distinct values' counts: the window runs over as many
-    rows as a group has distinct values, and the rows are joined back.
+    Ranks come from the distinct values' counts, summed in range buckets, and
+    the rows are joined back; a null value has no score.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    n = F.sum("_c").over(w)
-    scored = counts.select(*by, value, ndtri(_held((F.sum("_c").over(w.orderBy(value)) - 0.5) / n)).alias("z"))
-    return df.join(scored, [*by, value], "left")
+    scored = _counted(df, value, by).select(group_key(by).alias("_g"), F.col(value).alias("_value"), ndtri(_held((F.col("upto") - 0.5) / F.col("n"))).alias("z"))
+    keyed = df.withColumn("_g", group_key(by))
+    return keyed.join(scored, (keyed["_g"] == scored["_g"]) & (keyed[value] == scored["_value"]), "left").select(*[keyed[c] for c in df.columns], "z")
 
 
 def ecdf(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
     """(by, value, u_low, u_high): the lowest and highest Hazen rank of each distinct training value."""
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    n, upto = F.sum("c").over(w), F.sum("c").over(w.orderBy(value))
-    return counts.select(*by, value, ((upto - F.col("c") + 0.5) / n).alias("u_low"), ((upto - 0.5) / n).alias("u_high"))
+    return _counted(df, value, by).select(*by, value, ((F.col("upto") - F.col("c") + 0.5) / F.col("n")).alias("u_low"), ((F.col("upto") - 0.5) / F.col("n")).alias("u_high"))
 
 
 def interpolate(queries: DataFrame, knots: DataFrame, at: str, x: str, low: str, high: str, by: list[str] | None = None) -> DataFrame:
-    """``queries`` with u: linear between the neighbouring knots, held at the ends.
+    """``queries`` with u: linear between the neighbouring knots, held at the ends; null without knots.
 
     An exact hit and a left knot give their ``high`` value, a right knot its
     ``low``: what linear interpolation over repeated knots gives.
     """
     by = by or []
-    q = queries.withColumn("_q", F.monotonically_increasing_id())
-    k = knots.select(*by, F.col(x).alias("_x"), F.col(low).alias("_lo"), F.col(high).alias("_hi"))
-    both = q.select(*by, F.col(at).alias("_at"), "_q", F.lit(None).cast("struct<x:double,lo:double,hi:double>").alias("_k")).unionByName(k.select(*by, F.col("_x").alias("_at"), F.lit(None).cast("long").alias("_q"), F.struct(F.col("_x").cast("double").alias("x"), F.col("_lo").cast("double").alias("lo"), F.col("_hi").cast("double").alias("hi")).alias("_k")))
-    # as-of in both directions over the union
-    order = Window.partitionBy(*by).orderBy("_at")
-    left = F.last("_k", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    right = F.first("_k", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    found = both.select("_q", "_at", left.alias("a"), right.alias("b")).where("_q is not null")
-    part = (F.col("_at") - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
-    u = F.when(F.col("a").isNull(), F.col("b.lo")).when(F.col("b").isNull() | (F.col("a.x") == F.col("_at")), F.col("a.hi")).otherwise(F.col("a.hi") + part * (F.col("b.lo") - F.col("a.hi")))
-    return q.join(found.select("_q", u.alias("u")), "_q").drop("_q")
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    k = knots.select(*by, number(x, "x"), F.struct(number(x, "x"), number(low, "lo"), number(high, "hi")).alias("k"))
+    found = neighbours(queries, at, k, by)
+    place = F.col(at).cast("double")
+    part = (place - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
+    u = F.when(F.col("a").isNull(), F.col("b.lo")).when(F.col("b").isNull() | (F.col("a.x") == place), F.col("a.hi")).otherwise(F.col("a.hi") + part * (F.col("b.lo") - F.col("a.hi")))
+    return found.withColumn("u", F.when(place.isNotNull(), u)).drop("a", "b")
 
 
 def to_gaussian(queries: DataFrame, train: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
@@ -112,7 +114,8 @@ def parametric_scores(df: DataFrame, family: str, p: dict[str, float], value: st
     """``df`` with z under fitted parameters; counts need a ``jitter`` column in 0..1.
 
     A count's distribution function is summed over a table of the counts up to
-    the largest seen, which is broadcast (one row a count).
+    the largest seen, which is broadcast up to ``BROADCAST_COUNTS`` rows and
+    joined by a shuffle beyond.
     """
     v = F.col(value).cast("double")
     if family in ("norm", "lognorm"):
@@ -127,6 +130,6 @@ def parametric_scores(df: DataFrame, family: str, p: dict[str, float], value: st
     counts = spark.range(0, top + 1).select(F.col("id").cast("double").alias("_k"))
     counts = counts.withColumn("_pmf", F.when(F.lit(family == "geom") & (F.col("_k") < 1), 0.0).otherwise(F.exp(log_pmf(F.col("_k"), family, p))))
     counts = counts.withColumn("_below", F.coalesce(F.sum("_pmf").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    out = df.join(F.broadcast(counts), v == F.col("_k"), "left")
+    out = df.join(F.broadcast(counts) if top <= BROADCAST_COUNTS else counts.hint("merge"), v == F.col("_k"), "left")
     u = F.col("_below") + F.col(jitter) * F.greatest(F.col("_pmf"), F.lit(1e-12))
     return out.withColumn("z", ndtri(_held(u))).drop("_k", "_pmf", "_below")

@@ -40,11 +40,17 @@ def matrix(column, width: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), -1 if len(column) else (width or 0))
 
 
+def whole_rows(rows: DataFrame) -> DataFrame:
+    """The rows (y, x) without a null in y or x."""
+    return rows.where(F.col("y").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+
+
 def moments(rows: DataFrame, by: str | None = None) -> dict | Moments:
     """Moments of wide rows (y, x), or a dict of them by a small-domain column such as a fold.
 
     Every task adds up its batches and sends one partial matrix (per group); only
-    p by p numbers reach the driver.
+    p by p numbers reach the driver.  Rows with a null y, x or element of x are
+    left out; without any other row a ValueError says so.
     """
     key = F.col(by).cast("long") if by else F.lit(0).cast("long")
 
@@ -59,13 +65,15 @@ def moments(rows: DataFrame, by: str | None = None) -> dict | Moments:
                     sums[int(k)] = sums.get(int(k), 0) + m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.ravel() for s in sums.values()], pa.list_(pa.float64()))], names=["k", "z"])
 
-    parts = rows.select(key.alias("k"), F.col("y"), F.col("x")).mapInArrow(run, "k long, z array<double>")
+    parts = whole_rows(rows).select(key.alias("k"), F.col("y"), F.col("x")).mapInArrow(run, "k long, z array<double>")
     total = parts.select("k", F.posexplode("z").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     out = {}
     for k in {r.k for r in total}:
         flat = np.array([r.v for r in sorted((r for r in total if r.k == k), key=lambda r: r.i)])
         z = flat.reshape(int(np.sqrt(len(flat))), -1)
         out[k] = Moments(z[0, 0], z[:-1, :-1], z[:-1, -1], float(z[-1, -1]))
+    if not out:
+        raise ValueError("no row has a response and all features")
     return dict(sorted(out.items())) if by else out[0]
 
 
@@ -137,7 +145,9 @@ def weighted_rows(rows: DataFrame, beta: np.ndarray, link, vectors: np.ndarray |
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-    sums = rows.select("y", "x", "off").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    sums = whole_rows(rows).select("y", "x", F.coalesce("off", F.lit(0.0)).alias("off")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    if not sums:
+        raise ValueError("no row has a response and all features")
     flat = np.array([r.v for r in sorted(sums, key=lambda r: r.i)])
     k = len(beta) if vectors is None else vectors.shape[1]
     gram = flat[: k * k].reshape(k, k)

@@ -68,6 +68,8 @@ class SlabEstimator:
             raise ValueError("decorrelation needs the features' places, or blocks")
         if self.fit_method == "gibbs" and self.family == "poisson":
             raise ValueError("there is no Gibbs sampler for a Poisson response")
+        self._reject_unused()
+        self.draws_ = None
         if "off" not in rows.columns:
             rows = rows.withColumn("off", F.lit(0.0))
         if self.family in ("gaussian", "bernoulli"):
@@ -78,7 +80,7 @@ class SlabEstimator:
         if groups is not None or edges is not None:
             for r in resolve_affinity(affinity, features, groups, bandwidth, edges).collect():
                 wr[int(r.feature_id)] = r.wr
-        self.blocks_, self.factors_, self.dynamic_ = None, None, None
+        self.blocks_, self.factors_, self.dynamic_, self.coords_ = None, None, None, None
         if self.decorrelate:
             self.blocks_ = np.asarray(block_id) if block_id is not None else self._blocks(rows, features)
             wr = np.array([wr[self.blocks_ == b].mean() for b in np.unique(self.blocks_)])
@@ -94,6 +96,16 @@ class SlabEstimator:
         self.cov_ = self._covariance(em.take_features(design, self.retained_))
         return self
 
+    def _reject_unused(self) -> None:
+        """Options that the chosen family and method have no use for raise ValueError."""
+        gaussian, method = self.family == "gaussian", self.fit_method
+        if method not in ("em", "em_filter", "gibbs"):
+            raise ValueError(f"unknown method {method!r}")
+        unused = {"cv_folds": not (gaussian and method == "em_filter"), "rank": method == "gibbs" or (not gaussian and method == "em_filter"), "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
+        for name, idle in unused.items():
+            if idle and getattr(self, name):
+                raise ValueError(f"{name} has no effect on a {self.family} response by {method}")
+
     def _blocks(self, rows: DataFrame, features: DataFrame) -> np.ndarray:
         how = {"threshold": {"zeta": self.zeta}, "kmeans": {"seed": self.random_state}}.get(self.block_method, {})
         if self.block_method in ("correlation", "glasso"):
@@ -107,10 +119,9 @@ class SlabEstimator:
 
     def _fit_latents(self, rows: DataFrame, features: DataFrame | None) -> None:
         if self.decorrelate in _STATIC:
-            coords = None
             if self.decorrelate == "sar_shrink":
-                coords = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
-            self.factors_ = factor.block_factors(moments(rows), self.blocks_, self.decorrelate, coords)
+                self.coords_ = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
+            self.factors_ = factor.block_factors(moments(rows), self.blocks_, self.decorrelate, self.coords_)
             return
         series = rows.select("t", "x").orderBy("t").toPandas()  # one trajectory: sequential in time
         x, ids = np.stack(series["x"].to_numpy()), np.unique(self.blocks_)
@@ -250,20 +261,21 @@ class SlabEstimator:
 
     def bootstrap_ci(self, rows: DataFrame, n_boot: int = 200, ci: float = 0.95) -> dict:
         """Percentile intervals from resampled moments, factors and fit made anew in each (Gaussian response)."""
-        if self.family != "gaussian":
-            raise ValueError("resampled moments serve a Gaussian response only")
-        ids, prior, wr = self.blocks_, self._prior(), self.wr_
+        self._check()
+        if self.family != "gaussian" or self.fit_method != "em" or self.dynamic_ is not None:
+            raise ValueError("resampled moments serve a Gaussian response by EM with static factors only")
+        ids, prior, wr, coords = self.blocks_, self._prior(), self.wr_, self.coords_
 
         def fit(m):
             if self.factors_ is not None:
-                fs = factor.block_factors(m, ids, "pls" if self.decorrelate == "pls" else "ppca")
+                fs = factor.block_factors(m, ids, self.decorrelate, coords)
                 a = np.zeros((len(fs) + 1, len(m.xty)))
                 a[0, 0] = 1
                 for k, (b, f) in enumerate(fs.items()):
                     a[1 + k, 1 + np.flatnonzero(ids == b)] = f.coef
                     a[1 + k, 0] = -f.coef @ f.mean
                 m = em.Moments(m.n, a @ m.gram @ a.T, a @ m.xty, m.yty)
-            return em.em_gaussian(m, wr, prior).beta
+            return em.em_gaussian(truncate(m, self.rank)[0] if self.rank else m, wr, prior, tau=self.tau).beta
 
         return validate.bootstrap_ci(rows, fit, n_boot, ci, self.random_state)
 
@@ -290,7 +302,7 @@ class SlabEstimator:
         out.p_, out.retained_, out.wr_ = int(s[3]), np.array(a["retained"], int), np.array(a["wr"])
         out.cov_ = np.array(a["cov"]).reshape(len(out.fit_.beta), -1)
         out.blocks_ = np.array(a["blocks"], int) if "blocks" in a else None
-        out.factors_, out.dynamic_ = None, None
+        out.factors_, out.dynamic_, out.coords_ = None, None, None
         if out.blocks_ is not None:
             out.factors_ = {int(b): factor.Factor(*(np.array(a[f"{k}:{b}"]) for k in ("loading", "coef", "mean", "sigma2")), a[f"z_var:{b}"][0]) for b in np.unique(out.blocks_)}
         return out

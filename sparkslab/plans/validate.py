@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -71,14 +72,30 @@ def cross_validate(rows: DataFrame, fit: Callable[[DataFrame], Callable[[Column]
         predictor = fit(folded.where(F.col("fold") != i))
         held = folded.where(F.col("fold") == i).withColumn("prediction", predictor(F.col("x")))
         scores.append(scoring(held) if scoring else r2_by_fold(held).first().score)
+    folded.unpersist()
     return scores
 
 
+#: P(Poisson(1) <= k), and products of row values in memory at once.
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+_AT_ONCE = 1 << 22
+
+
+def resample_weights(ids: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights (rows by resamples), each from a mix of the row's whole id, the resample's number and the seed."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(n_boot, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed & 0xFFFFFFFF) * np.uint64(0x8CB92BA72F3D8DD7))
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(odd)
+        h ^= h >> np.uint64(31)
+    return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) * 2.0**-53, side="right").astype(float)
+
+
 def bootstrap_moments(rows: DataFrame, n_boot: int, seed: int = 0) -> list[Moments]:
     """Moments of ``n_boot`` Poisson(1) resamples of wide rows (row_id, y, x), all from one pass.
 
     A row's weights come from its row_id and the seed, so results don't depend
-    on partitions.  (Poisson weights vary the sample's size; the reference draws
+    on partitions, and rows with unlike ids have unlike weights.  (Poisson weights vary the sample's size; the reference draws
     exactly n rows.)
     """
 
@@ -88,9 +105,12 @@ def bootstrap_moments(rows: DataFrame, n_boot: int, seed: int = 0) -> list[Momen
             if b.num_rows:
                 ids, y, x = np.asarray(b.column(0)), np.asarray(b.column(1), float), matrix(b.column(2))
                 z = np.column_stack([np.ones(len(y)), x, y])
-                w = np.stack([np.random.default_rng([seed, int(i) & 0x7FFFFFFF]).poisson(1.0, n_boot) for i in ids])
-                part = np.einsum("nb,ni,nj->bij", w, z, z, optimize=True).ravel()
-                total = part if total is None else total + part
+                p = z.shape[1]
+                step = max(1, _AT_ONCE // max(p * p, n_boot))
+                for i in range(0, len(z), step):
+                    some = z[i : i + step]
+                    part = (resample_weights(ids[i : i + step], n_boot, seed).T @ (some[:, :, None] * some[:, None, :]).reshape(len(some), p * p)).ravel()
+                    total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 

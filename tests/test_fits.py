@@ -60,15 +60,16 @@ def test_glms(spark):
 
 
 def test_dynamic_factors():
-    rng = np.random.default_rng(0)
-    z = np.zeros(400)
-    for t in range(1, 400):
-        z[t] = 0.85 * z[t - 1] + rng.normal() * np.sqrt(1 - 0.85**2)
-    x = np.outer(z, [1, 0.8, -0.6, 1.2]) + rng.normal(size=(400, 4)) * 0.3
+    rho, shape = 0.7, np.array([1.5, -0.5, 0.9, 0.7, 1.1])
+    rng = np.random.default_rng(31)
+    shocks = rng.normal(scale=np.sqrt(1 - rho**2), size=600)
+    z = np.array([sum(rho**k * shocks[t - k] for k in range(min(t + 1, 60))) for t in range(600)])
+    x = z[:, None] * shape + rng.normal(scale=0.4, size=(600, 5))
     f = dynamic.fit_dynamic(x)
-    assert abs(f.rho[0] - 0.85) < 0.1 and abs(np.corrcoef(f.z[:, 0], z)[0, 1]) > 0.95
+    assert abs(f.rho[0] - rho) < 0.05 and abs(np.corrcoef(f.z[:, 0], z)[0, 1]) > 0.95
+    assert np.allclose(f.loadings / f.loadings[0], shape / shape[0], atol=0.1)
     assert np.all(np.diff(f.loglik) > -1e-6 * np.abs(f.loglik[:-1]))
-    g = dynamic.fit_dynamic(x, np.zeros(4, int), np.zeros((1, 1)))
+    g = dynamic.fit_dynamic(x, np.zeros(5, int), np.zeros((1, 1)))
     assert abs(g.rho[0] - f.rho[0]) < 0.02 and g.rho[1] == 0.0
     z1, _ = dynamic.filter_dynamic(x[:200], f, smooth=False)
     assert z1.shape == (200, 1)
