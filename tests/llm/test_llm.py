@@ -545,3 +545,18 @@ def test_pipeline(spark, small):
     toxic = {r.doc_id for r in toxicity.toxicity(docs, queries.table(spark, small, "labels")).where("predicted = 1").collect()}
     assert {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, small).collect()} == {r.doc_id for r in docs.collect()} - toxic
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_its_sql(spark, small, name):
+    import glob
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in glob.glob(f"{small}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, small).select(*want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
