@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkslab.functions.exprs import ndtr, squared_distance
+from sparkslab.operators.sweep import gaps
 
 #: Distances in bandwidths beyond which a double's exp(-d * d / 2), or exp(-d), is zero.
 GAUSS_REACH, EXP_REACH = 39.0, 746.0
@@ -22,23 +24,34 @@ def _band(left: DataFrame, at: Column, right: DataFrame, where: Column, width: f
     return near.join(right.withColumn("_b", F.floor(where / width)), "_b").drop("_b")
 
 
-def extent_affinity(features: DataFrame, groups: DataFrame, bandwidth: float, window_sigma: float = 8.0, prune: str = "midpoint") -> DataFrame:
+def _nothing(features: DataFrame, groups: DataFrame) -> DataFrame:
+    schema = T.StructType([features.schema["feature_id"], groups.schema["group_id"], T.StructField("a", T.DoubleType())])
+    return features.sparkSession.createDataFrame([], schema)
+
+
+def extent_affinity(features: DataFrame, groups: DataFrame, bandwidth: float | str, window_sigma: float = 8.0, prune: str = "midpoint") -> DataFrame:
     """(feature_id, group_id, a): normal mass of each extent [l, r] around the feature's place s.
 
     With ``prune="midpoint"`` a pair counts only if the extent's middle is within
     ``window_sigma`` bandwidths, ends included; ``"overlap"`` asks that of the
-    extent.  A bandwidth of 0 or less gives no pair.
+    extent.  ``bandwidth`` may name a column of ``features``: the band is then as
+    wide as the largest asks.  A bandwidth of 0 or less gives no pair.
     """
-    if bandwidth <= 0:
-        return features.crossJoin(groups).where(F.lit(False)).select("feature_id", "group_id", F.lit(0.0).alias("a"))
-    reach = window_sigma * bandwidth
+    if isinstance(bandwidth, str):
+        features = features.withColumn("_phi", F.col(bandwidth).cast("double")).where("_phi > 0")
+        widest, phi = features.agg(F.max("_phi")).first()[0] or 0.0, F.col("_phi")
+    else:
+        widest, phi = bandwidth, F.lit(float(bandwidth))
+    if widest <= 0:
+        return _nothing(features, groups)
+    width, reach = window_sigma * widest, window_sigma * phi
     s, mid = F.col("s"), (F.col("l") + F.col("r")) / 2
     if prune == "midpoint":
-        pairs = _band(features, s, groups.withColumn("mid", mid), F.col("mid"), reach).where((F.col("mid") >= s - reach) & (F.col("mid") <= s + reach))
+        pairs = _band(features, s, groups.withColumn("mid", mid), F.col("mid"), width).where((F.col("mid") >= s - reach) & (F.col("mid") <= s + reach))
     else:
-        tiles = groups.withColumn("_b", F.explode(F.sequence(F.floor((F.col("l") - reach) / reach), F.floor((F.col("r") + reach) / reach))))
-        pairs = features.withColumn("_b", F.floor(s / reach)).join(tiles, "_b").where((F.col("r") >= s - reach) & (F.col("l") <= s + reach))
-    return pairs.select("feature_id", "group_id", (ndtr((F.col("r") - s) / bandwidth) - ndtr((F.col("l") - s) / bandwidth)).alias("a"))
+        tiles = groups.withColumn("_b", F.explode(F.sequence(F.floor((F.col("l") - width) / width), F.floor((F.col("r") + width) / width))))
+        pairs = features.withColumn("_b", F.floor(s / width)).join(tiles, "_b").where((F.col("r") >= s - reach) & (F.col("l") <= s + reach))
+    return pairs.select("feature_id", "group_id", (ndtr((F.col("r") - s) / phi) - ndtr((F.col("l") - s) / phi)).alias("a"))
 
 
 def point_affinity(features: DataFrame, groups: DataFrame, bandwidth: float) -> DataFrame:
@@ -52,7 +65,7 @@ def point_affinity(features: DataFrame, groups: DataFrame, bandwidth: float) ->
 def causal_affinity(features: DataFrame, groups: DataFrame, bandwidth: float) -> DataFrame:
     """(feature_id, group_id, a): exp(-(t - r) / phi) of groups that ended at or before t; the future has no weight."""
     if bandwidth <= 0:
-        return features.crossJoin(groups).where(F.lit(False)).select("feature_id", "group_id", F.lit(0.0).alias("a"))
+        return _nothing(features, groups)
     t, r = F.col("t"), F.col("r")
     pairs = _band(features, t, groups, r, EXP_REACH * bandwidth).where(r <= t)
     return pairs.select("feature_id", "group_id", F.exp(-(t - r) / bandwidth).alias("a")).where("a > 0")
@@ -107,11 +120,16 @@ def contract(features: DataFrame, pairs: DataFrame, groups: DataFrame, normalize
 
 
 def auto_bandwidth(features: DataFrame, coord: str = "s") -> float:
-    """Median gap between neighbouring places."""
-    from pyspark.sql import Window
+    """Median gap between neighbouring places; 1 if no gap is positive."""
+    middle, widest = gaps(features, coord).agg(F.median("gap"), F.max("gap")).first()
+    return float(middle) if widest else 1.0
+
 
-    gaps = features.select((F.col(coord) - F.lag(coord).over(Window.orderBy(coord))).alias("gap")).where("gap is not null")
-    return float(gaps.agg(F.median("gap")).first()[0] or 0.0)
+def correlation_pairs(features: DataFrame, correlations: DataFrame, coord: str = "s") -> DataFrame:
+    """(d, target) for ``fit_bandwidth``: distance and |r| of the pairs (i, j, r), i < j; an undefined r counts as 0."""
+    at = lambda end: features.select(F.col("feature_id").alias(end), F.col(coord).alias(f"_{end}"))
+    pairs = correlations.where("i < j").join(at("i"), "i").join(at("j"), "j")
+    return pairs.select(F.abs(F.col("_i") - F.col("_j")).alias("d"), F.coalesce(F.abs(F.nanvl("r", F.lit(0.0))), F.lit(0.0)).alias("target"))
 
 
 def fit_bandwidth(pairs: DataFrame, bounds: tuple[float, float] = (1.0, 1e8), rounds: int = 4, width: int = 24) -> float:
@@ -131,8 +149,12 @@ def fit_bandwidth(pairs: DataFrame, bounds: tuple[float, float] = (1.0, 1e8), ro
     return (low * high) ** 0.5
 
 
-def resolve_affinity(kind: str, features: DataFrame, groups: DataFrame | None = None, bandwidth: float | None = None, edges: DataFrame | None = None, normalize: bool = True) -> DataFrame:
-    """(feature_id, wr) by the kernel named: gaussian, points, causal or graph (edges src = feature, dst = group)."""
+def resolve_affinity(kind: str, features: DataFrame, groups: DataFrame | None = None, bandwidth: float | None = None, edges: DataFrame | None = None, normalize: bool = True, correlations: DataFrame | None = None) -> DataFrame:
+    """(feature_id, wr) by the kernel named: gaussian, points, causal or graph (edges src = feature, dst = group).
+
+    Without a bandwidth, it is fitted to ``correlations`` (i, j, r) where given,
+    else the median gap of places.
+    """
     if kind == "graph":
         if edges is None:
             raise ValueError("affinity kind 'graph' needs edges")
@@ -145,5 +167,7 @@ def resolve_affinity(kind: str, features: DataFrame, groups: DataFrame | None =
         coord = {"gaussian": "s", "causal": "t"}.get(kind)
         if bandwidth is None and coord is None:
             raise ValueError("point affinity needs a bandwidth")
-        pairs = maker(features, groups, bandwidth if bandwidth is not None else auto_bandwidth(features, coord))
+        if bandwidth is None:
+            bandwidth = fit_bandwidth(correlation_pairs(features, correlations, coord)) if correlations is not None else auto_bandwidth(features, coord)
+        pairs = maker(features, groups, bandwidth)
     return contract(features, pairs, groups, normalize)

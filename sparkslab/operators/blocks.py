@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkslab.operators.components import connected_components
-from sparkslab.operators.sweep import running
+from sparkslab.operators.sweep import gaps, running
 
 
 def merge_extents(extents: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -39,8 +39,7 @@ def threshold_blocks(features: DataFrame, zeta, coord: str = "s", by: list[str]
 
 def gap_percentile(features: DataFrame, q: float = 0.75, coord: str = "s") -> float:
     """A percentile of the gaps between neighbouring places."""
-    gaps = features.select((F.col(coord) - F.lag(coord).over(Window.orderBy(coord))).alias("gap")).where("gap is not null")
-    return float(gaps.agg(F.percentile("gap", q)).first()[0] or 0.0)
+    return float(gaps(features, coord).agg(F.percentile("gap", q)).first()[0] or 0.0)
 
 
 def graph_blocks(nodes: DataFrame, edges: DataFrame) -> DataFrame:

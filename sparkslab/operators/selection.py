@@ -37,6 +37,18 @@ def admit(stability: DataFrame, threshold: float) -> DataFrame:
     return stability.where(F.col("stability") > threshold)
 
 
+def selection_quality(draws: DataFrame, by: list[str]) -> DataFrame:
+    """(by, true_positives, n_selected, power, precision) of (by, selected, is_causal).
+
+    Power is null where nothing is causal, precision where nothing is selected; a
+    null flag counts as false.
+    """
+    chosen, causal = F.coalesce(F.col("selected").cast("int"), F.lit(0)), F.coalesce(F.col("is_causal").cast("int"), F.lit(0))
+    s = draws.groupBy(*by).agg(F.sum(chosen * causal).alias("true_positives"), F.sum(chosen).alias("n_selected"), F.sum(causal).alias("_causal"))
+    share = lambda n: F.when(F.col(n) > 0, F.col("true_positives") / F.col(n))
+    return s.select(*by, "true_positives", "n_selected", share("_causal").alias("power"), share("n_selected").alias("precision"))
+
+
 def frequencies(draws: DataFrame) -> DataFrame:
     """(feature_id, selected, candidate, stability) of (draw, feature_id, selected)."""
     s = F.sum(F.col("selected").cast("int"))

@@ -50,6 +50,12 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str], f
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_c{n}") + F.coalesce(F.sum(f"_v{n}").over(inside), F.lit(0))).alias(n) for n in sums], *more)
 
 
+def gaps(df: DataFrame, value: str) -> DataFrame:
+    """(gap): from each value to the next in order, 0 between equal ones; nulls have none."""
+    rows = running(df.where(F.col(value).isNotNull()).select(F.col(value).alias("v")), "v", {}, [], following="after")
+    return rows.select((F.col("after") - F.col("v")).alias("gap")).where("gap is not null")
+
+
 def neighbours(queries: DataFrame, at: str, knots: DataFrame, by: list[str]) -> DataFrame:
     """``queries`` with a and b: the group's last knot at or before ``at``, and the first at or after it.
 

@@ -36,11 +36,21 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 # ---- affinity joins
 
 _GROUPS = "SELECT p_brand AS group_id, avg(p_retailprice) - stddev_pop(p_retailprice) AS l, avg(p_retailprice) + stddev_pop(p_retailprice) AS r, avg(p_size) AS relevance FROM part GROUP BY p_brand"
-_EXTENT = f"""g AS ({_GROUPS}), f AS (SELECT p_partkey AS feature_id, p_retailprice AS s FROM part),
-z AS (SELECT feature_id, group_id, relevance, (r - s) / 40 AS hi, (l - s) / 40 AS lo FROM f JOIN g ON (l + r) / 2 BETWEEN s - 320 AND s + 320),
+
+
+def _extent_sql(phi: str) -> str:
+    return f"""g AS ({_GROUPS}), f AS (SELECT p_partkey AS feature_id, p_retailprice AS s, {phi} AS phi FROM part),
+z AS (SELECT feature_id, group_id, relevance, (r - s) / phi AS hi, (l - s) / phi AS lo FROM f JOIN g ON (l + r) / 2 BETWEEN s - 8 * phi AND s + 8 * phi),
 a AS (SELECT feature_id, group_id, relevance, {X.ndtr_sql('hi')} - {X.ndtr_sql('lo')} AS a FROM z)"""
 
 
+def _contracted_sql(phi: str) -> str:
+    return f"WITH {_extent_sql(phi)}, w AS (SELECT f.feature_id, coalesce(sum(a.a * relevance), 0) AS wr FROM f LEFT JOIN a USING (feature_id) GROUP BY f.feature_id) SELECT feature_id, round(CASE WHEN max(wr) OVER () > 0 THEN wr / max(wr) OVER () ELSE wr END, 6) AS wr FROM w"
+
+
+_EXTENT = _extent_sql("40")
+
+
 def _prices(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_retailprice").alias("s"), F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("size"))
 
@@ -56,13 +66,26 @@ def affinity_gaussian_extent(spark: SparkSession, d: str) -> DataFrame:
     return rounded(affinity.extent_affinity(_prices(spark, d), _brands(spark, d), 40.0), "a")
 
 
-@query(f"WITH {_EXTENT}, w AS (SELECT f.feature_id, coalesce(sum(a.a * relevance), 0) AS wr FROM f LEFT JOIN a USING (feature_id) GROUP BY f.feature_id) SELECT feature_id, round(CASE WHEN max(wr) OVER () > 0 THEN wr / max(wr) OVER () ELSE wr END, 6) AS wr FROM w")
+@query(_contracted_sql("40"))
 def relevance_contract(spark: SparkSession, d: str) -> DataFrame:
     """Affinity times relevance, normalised."""
     f, g = _prices(spark, d), _brands(spark, d)
     return rounded(affinity.contract(f, affinity.extent_affinity(f, g, 40.0), g), "wr")
 
 
+@query(f"WITH {_extent_sql('(20 + p_size)')} SELECT feature_id, group_id, round(a, 6) + 0.0 AS a FROM a")
+def affinity_by_feature(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a bandwidth for each part."""
+    f = _prices(spark, d).withColumn("phi", 20 + F.col("size"))
+    return rounded(affinity.extent_affinity(f, _brands(spark, d), "phi"), "a")
+
+
+@query(_contracted_sql("(SELECT median(g) FROM (SELECT p_retailprice - lag(p_retailprice) OVER (ORDER BY p_retailprice) AS g FROM part))"))
+def affinity_auto(spark: SparkSession, d: str) -> DataFrame:
+    """Relevance with the bandwidth taken from the gaps of prices."""
+    return rounded(affinity.resolve_affinity("gaussian", _prices(spark, d), _brands(spark, d)), "wr")
+
+
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
     long = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("k", "v"))
     means = long.groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("m"))
@@ -362,7 +385,7 @@ def em_nb(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def em_nb_profile(spark: SparkSession, d: str) -> DataFrame:
     """M6, M7: the same with dispersion by profile likelihood."""
-    fit = em.em_glm(_errors(spark, d).persist(), np.zeros(1), "negbin", _PRIOR, max_iter=3)
+    fit = em.em_glm(_errors(spark, d).persist(), np.zeros(1), "negbin", _PRIOR)
     return coefficients(spark, ["x"], fit).withColumn("r", F.lit(round(fit.r, 4)))
 
 
@@ -616,6 +639,38 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.lit(0).cast("long").alias("series_id"), "t", F.array(*[F.coalesce(c, F.lit(means[c])) for c in names]).alias("x"))
 
 
+_FLIPS = "s AS (SELECT var_pop(l_quantity) AS a, var_pop(l_extendedprice / 1000) AS c, -covar_pop(l_quantity, l_extendedprice / 1000) AS b FROM lineitem)"
+
+
+@query(f"WITH {_FLIPS} SELECT l_orderkey, l_linenumber, round(CASE WHEN b < 0 AND a < c THEN 100 - l_quantity ELSE l_quantity END, 6) AS quantity, round(CASE WHEN b < 0 AND a >= c THEN l_extendedprice / 1000 ELSE 100 - l_extendedprice / 1000 END, 6) AS price FROM lineitem, s")
+def sign_flip(spark: SparkSession, d: str) -> DataFrame:
+    """Features against their block's first component recoded as 100 - v."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit(0.0).alias("y"), F.array(F.col("l_quantity").cast("double"), 100 - F.col("l_extendedprice") / 1000).alias("x"))
+    x = factor.flip(F.col("x"), factor.sign_flips(suffstats.moments(rows), np.zeros(2, int)), 100.0)
+    return rounded(rows.select("l_orderkey", "l_linenumber", x[0].alias("quantity"), x[1].alias("price")), "quantity", "price")
+
+
+@query(f"""WITH t AS (SELECT event_type, value AS x, (sum(count(*)) OVER (PARTITION BY event_type ORDER BY value) - count(*) + 0.5) / sum(count(*)) OVER (PARTITION BY event_type) AS lo, (sum(count(*)) OVER (PARTITION BY event_type ORDER BY value) - 0.5) / sum(count(*)) OVER (PARTITION BY event_type) AS hi FROM events WHERE event_id % 2 = 0 GROUP BY event_type, value),
+n AS (SELECT event_type, x, lo::DOUBLE AS u FROM t UNION SELECT event_type, x, hi::DOUBLE FROM t),
+z AS (SELECT event_id, event_type, (event_id % 601 - 300) / 100 AS z FROM events WHERE event_id % 2 = 1),
+q AS (SELECT event_id, event_type, {X.ndtr_sql('z')} AS p FROM z),
+a AS (SELECT q.*, n.u AS au, n.x AS ax FROM q ASOF LEFT JOIN n ON q.event_type = n.event_type AND q.p >= n.u),
+b AS (SELECT a.*, n.u AS bu, n.x AS bx FROM a ASOF LEFT JOIN n ON a.event_type = n.event_type AND a.p <= n.u)
+SELECT event_id, round(CASE WHEN au IS NULL THEN bx WHEN bu IS NULL OR au = p THEN ax ELSE ax + (p - au) / (bu - au) * (bx - ax) END, 4) + 0.0 AS x FROM b""")
+def copula_inverse(spark: SparkSession, d: str) -> DataFrame:
+    """Normal scores back on the scale of even events."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("value").alias("v"))
+    z = e.where("event_id % 2 = 1").select("event_id", "event_type", ((F.col("event_id") % 601 - 300) / 100).alias("z"))
+    return rounded(copula.from_gaussian(z, e.where("event_id % 2 = 0"), "z", "v", ["event_type"]).select("event_id", "x"), "x", digits=4)
+
+
+@query("SELECT p_partkey, round(ln(1 + exp((p_retailprice - 1400) / 100)), 6) AS loss, round(x * ln(p) + (2 - x) * ln(1 - p), 6) + 0.0 AS loglik FROM (SELECT p_partkey, p_retailprice, p_size % 3 AS x, least(greatest((p_partkey % 97) / 97, 1e-7), 1 - 1e-7) AS p FROM part)")
+def losses(spark: SparkSession, d: str) -> DataFrame:
+    """softplus and the binomial log-likelihood of two trials."""
+    x = X.binomial_loglik(F.col("p_size") % 3, 2.0, F.col("p_partkey") % 97 / 97)
+    return rounded(table(spark, d, "part").select("p_partkey", X.softplus((F.col("p_retailprice") - 1400) / 100).alias("loss"), x.alias("loglik")), "loss", "loglik")
+
+
 @query()
 def ar1_factor_em(spark: SparkSession, d: str) -> DataFrame:
     """An AR(1) factor of the event types."""
@@ -630,7 +685,7 @@ def star_factor_em(spark: SparkSession, d: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         x = np.stack(pdf["x"].to_numpy())
-        f = dynamic.fit_dynamic(x, np.arange(x.shape[1]), factor.sar_matrix(np.arange(float(x.shape[1])), 1.0), n_iter=10)
+        f = dynamic.fit_dynamic(x, np.arange(x.shape[1]), factor.sar_matrix(np.arange(float(x.shape[1])), 1.0))
         return pd.DataFrame({"t": pdf["t"], "z": list(f.z), "rho1": f.rho[0], "rho2": f.rho[1]})
 
     return _types(spark, d).groupBy("series_id").applyInPandas(run, "t long, z array<double>, rho1 double, rho2 double")
@@ -664,7 +719,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Percentile intervals of the EM's coefficients, all resamples from one pass."""
     z = suffstats.zscore(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_COLUMNS[:3]), _COLUMNS[:3])
     rows = z.select(F.xxhash64("l_orderkey", "l_linenumber").alias("row_id"), F.col("l_extendedprice").alias("y"), F.array("l_quantity", "l_discount").alias("x"))
-    out = validate.bootstrap_ci(rows, lambda m: em.em_gaussian(m, np.zeros(2), _PRIOR).beta, n_boot=50)
+    out = validate.bootstrap_ci(rows, lambda m: em.em_gaussian(m, np.zeros(2), _PRIOR).beta)
     return spark.createDataFrame([(k, float(out["lo"][k]), float(out["hi"][k]), float(out["mean"][k])) for k in range(3)], "coef int, lo double, hi double, mean double")
 
 
@@ -684,6 +739,20 @@ def reliability(spark: SparkSession, d: str) -> DataFrame:
     return rounded(validate.reliability(x), "mean_theta", "rate")
 
 
+@query("WITH x AS (SELECT (doc_id * 7919 % 1000) / 1000 AS theta, quality FROM labels), b AS (SELECT count(*) AS n, avg(theta) AS t, avg(quality) AS q FROM x GROUP BY len(list_filter([" + ", ".join(repr(float(e)) for e in np.linspace(0, 1, 11)[1:-1]) + "]::DOUBLE[], lambda e: theta >= e))) SELECT round((SELECT sum(n * abs(t - q)) / sum(n) FROM b), 6) AS ece, round(avg((theta - quality) * (theta - quality)), 6) AS brier FROM x")
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Expected calibration error and Brier score of a score against quality."""
+    x = table(spark, d, "labels").select((F.col("doc_id") * 7919 % 1000 / 1000).alias("theta"), F.col("quality").alias("is_causal"))
+    return rounded(validate.calibration(x), "ece", "brier")
+
+
+@query("SELECT p_size, count(*) FILTER (p_retailprice > 1400 AND p_partkey % 3 = 0) AS true_positives, count(*) FILTER (p_retailprice > 1400) AS n_selected, round(count(*) FILTER (p_retailprice > 1400 AND p_partkey % 3 = 0) / nullif(count(*) FILTER (p_partkey % 3 = 0), 0), 6) AS power, round(count(*) FILTER (p_retailprice > 1400 AND p_partkey % 3 = 0) / nullif(count(*) FILTER (p_retailprice > 1400), 0), 6) AS precision FROM part GROUP BY p_size")
+def selection_quality(spark: SparkSession, d: str) -> DataFrame:
+    """True positives, power and precision of a selection in each group."""
+    x = table(spark, d, "part").select("p_size", (F.col("p_retailprice") > 1400).alias("selected"), (F.col("p_partkey") % 3 == 0).alias("is_causal"))
+    return rounded(selection.selection_quality(x, ["p_size"]), "power", "precision")
+
+
 @query("WITH x AS (SELECT l_orderkey, l_linenumber, 0.5 + 0.02 * l_quantity - 3 * l_discount AS eta, sqrt(0.01 + 0.0001 * l_quantity * l_quantity + l_discount * l_discount) AS sd FROM lineitem) SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-eta)), 6) AS mean, round(1 / (1 + exp(-(eta - 1.959963984540054 * sd))), 6) AS lower, round(1 / (1 + exp(-(eta + 1.959963984540054 * sd))), 6) AS upper FROM x")
 def predict_interval(spark: SparkSession, d: str) -> DataFrame:
     """Intervals through the logistic link, from given coefficients and covariance."""
@@ -702,7 +771,7 @@ def _posterior(spark: SparkSession, draws: gibbs.Draws) -> DataFrame:
 @query()
 def gibbs_gaussian(spark: SparkSession, d: str) -> DataFrame:
     """Posterior inclusion of 64 dimensions, from one pass."""
-    return _posterior(spark, gibbs.gibbs_gaussian(suffstats.moments(_vectors(spark, d)), np.zeros(64), _PRIOR, n_samples=200, burn_in=50, seed=1))
+    return _posterior(spark, gibbs.gibbs_gaussian(suffstats.moments(_vectors(spark, d)), np.zeros(64), _PRIOR, seed=1))
 
 
 @query()
@@ -721,7 +790,7 @@ def gibbs_negbin(spark: SparkSession, d: str) -> DataFrame:
 def gibbs_sumstats(spark: SparkSession, d: str) -> DataFrame:
     """From summary statistics."""
     m = suffstats.moments(_lineitem_z(spark, d))
-    return _posterior(spark, gibbs.gibbs_sumstats(m.gram[1:, 1:] / m.n, m.xty[1:] / m.n, m.n, np.zeros(2), _PRIOR, y_var=m.yty / m.n, n_samples=300, burn_in=50, seed=1))
+    return _posterior(spark, gibbs.gibbs_sumstats(m.gram[1:, 1:] / m.n, m.xty[1:] / m.n, m.n, np.zeros(2), _PRIOR, y_var=m.yty / m.n, seed=1))
 
 
 # ---- estimators, latents, streams
@@ -812,3 +881,40 @@ def stream_gram(spark: SparkSession, d: str) -> DataFrame:
     q = stream.writeStream.foreachBatch(total.update).option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return coefficients(spark, ["l_quantity", "l_discount"], em.em_gaussian(total.total, np.zeros(2), _PRIOR, max_iter=12, tol=0.0))
+
+
+def _event_stream(spark: SparkSession, d: str, at: str) -> DataFrame:
+    from sparkslab.plans.stage import new_path
+
+    source = new_path(spark, "stream-in")
+    rows = table(spark, d, "events").select("event_id", "event_type", "value", F.col("ts").cast("timestamp").alias(at))
+    rows.write.parquet(source)
+    return spark.readStream.schema(rows.schema).parquet(source)
+
+
+@query("SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS t, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type in hourly windows of a stream."""
+    from sparkslab.plans.stage import new_path
+    from sparkslab.streaming.filters import windowed
+
+    out = new_path(spark, "stream-out")
+    found = windowed(_event_stream(spark, d, "ts"))
+    q = found.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.schema(found.schema).parquet(out).select(F.floor(seconds("start") / 3600).alias("t"), "event_type", "n", "mean"), "mean")
+
+
+@query("SELECT e.event_id, g.event_id AS group_id, round(exp(-(epoch_us(e.ts) - epoch_us(g.ts)) / 6e8), 6) AS a FROM events e JOIN events g ON e.event_type = 'purchase' AND g.event_type = 'error' AND g.ts <= e.ts AND g.ts >= e.ts - INTERVAL 3600 SECONDS")
+def stream_causal(spark: SparkSession, d: str) -> DataFrame:
+    """purchases' affinity to the errors of the hour before, a join of two streams."""
+    from sparkslab.plans.stage import new_path
+    from sparkslab.streaming.filters import causal_stream
+
+    out = new_path(spark, "stream-out")
+    events = _event_stream(spark, d, "t").where("event_type = 'purchase'").select("event_id", "t").withWatermark("t", "1 hour")
+    groups = _event_stream(spark, d, "r").where("event_type = 'error'").select(F.col("event_id").alias("group_id"), "r").withWatermark("r", "1 hour")
+    found = causal_stream(events, groups, 600.0, 3600)
+    q = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.schema(found.schema).parquet(out), "a")

@@ -6,7 +6,7 @@ import pytest
 from sparkslab.operators import factor
 from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows
 from sparkslab.plans import dynamic, em, gibbs, joint, latent, validate
-from sparkslab.plans.estimator import SlabClassifier, SlabCountRegressor, SlabRegressor
+from sparkslab.plans.estimator import SlabClassifier, SlabCountRegressor, SlabRegressor, predictor
 from sparkslab.sources.tables import from_arrays, gaussian_data
 
 
@@ -126,3 +126,51 @@ def test_validation(spark, rows):
     assert {r.grp: (r.coverage, r.n) for r in validate.coverage(c).collect()} == {"causal": (1.0, 2), "null": (1.0, 2), "overall": (1.0, 4)}
     t = spark.createDataFrame([(0.3, 1), (0.05, 0), (1.0, 1)], "theta double, is_causal int")
     assert {r.bin: r.n for r in validate.reliability(t).collect() if r.n} == {0: 1, 2: 1, 9: 1}
+
+
+def test_filters_keep_what_matters(spark, rows):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 14))
+    eta = 0.3 + 0.9 * x[:, 2] - 0.8 * x[:, 9]
+    responses = {
+        "bernoulli": (rng.random(900) < 1 / (1 + np.exp(-2 * eta))).astype(float),
+        "poisson": rng.poisson(np.exp(eta)),
+        "negbin": rng.poisson(rng.gamma(6, np.exp(eta) / 6)),
+    }
+    for family, y in responses.items():
+        kept = em.em_filter_glm(from_arrays(spark, x, y).coalesce(2).persist(), np.zeros(14), family, em.Prior(xi0=-1.0, kappa=50.0), min_features=6, max_outer=3)
+        _filtered(kept, {2, 9})
+    _filtered(em.em_filter_gaussian(moments(rows), np.zeros(20), em.Prior(xi0=-1.0, kappa=50.0), tau=50 / 3), {3, 10})
+
+
+def _filtered(fit, causal):
+    """The step of least loss wins, steps get smaller, and the causal features lead it."""
+    sizes = [h["n_features"] for h in fit.history]
+    assert sizes == sorted(set(sizes), reverse=True) and len(sizes) > 1
+    assert len(fit.retained) == min(fit.history, key=lambda h: h["loss"])["n_features"]
+    assert {int(f) for f in fit.retained[np.argsort(-fit.theta, kind="stable")[:2]]} == causal
+
+
+def test_classifier_and_counts(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(800, 4))
+    y = (rng.random(800) < 1 / (1 + np.exp(-3 * x[:, 1]))).astype(float)
+    labelled = from_arrays(spark, x, y).persist()
+    c = SlabClassifier(xi0=-1.0, kappa=50.0).fit(labelled)
+    right = c.predict_label(labelled).selectExpr("avg(CAST(label = y AS double)) AS a").first().a
+    assert right > 0.8 and np.argmax(c.fit_.theta) == 1
+    off = rng.uniform(0, 1, 800)
+    n = rng.poisson(np.exp(0.2 + 0.7 * x[:, 0] + off))
+    for family in ("poisson", "negbin"):
+        m = SlabCountRegressor(family, xi0=-1.0, kappa=50.0).fit(from_arrays(spark, x, n, off).persist())
+        assert np.allclose(m.fit_.beta[:2], [0.2, 0.7], atol=0.15) and m.clone().family == family
+    with pytest.raises(ValueError):
+        SlabCountRegressor("gamma")
+
+
+def test_cross_validate_by_estimator(spark, rows):
+    fit = lambda training: predictor(SlabRegressor(xi0=-1.0, kappa=50.0).fit(training.drop("fold")))
+    scores = validate.cross_validate(rows, fit, 3)
+    assert len(scores) == 3 and min(scores) > 0.5
+    held = spark.createDataFrame([(0.9, 1.0), (0.2, 0.0), (0.6, 0.0), (0.5, 1.0)], "prediction double, y double")
+    assert validate.accuracy(held).first().score == 0.75

@@ -1,5 +1,7 @@
 """Affinity, blocks, components, copula and selection on hand-checked cases."""
 
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkslab.operators import affinity, blocks, copula, factor, relevance, selection
 from sparkslab.operators.components import connected_components
+from sparkslab.sources.tables import write_csv
 
 
 def test_extent_affinity(spark):
@@ -96,3 +99,33 @@ def test_shrunk_direction_needs_only_the_covariance():
     f = factor.sar_shrink(x.mean(0), cov, 300, np.arange(6.0), phi=1.0)
     assert np.all(f.loading > 0) and np.corrcoef(f.loading, np.linspace(0.5, 1.5, 6))[0, 1] > 0.9
     assert np.allclose(factor.sar_matrix(np.arange(3.0), 2.0), factor.sar_matrix(np.arange(3.0)[:, None], 2.0))
+
+
+def test_bandwidth_of_gaps_and_correlations(spark):
+    same = spark.createDataFrame([(0, 5.0), (1, 5.0)], "feature_id long, s double")
+    assert affinity.auto_bandwidth(same) == 1.0 and affinity.auto_bandwidth(same.limit(0)) == 1.0
+    some = spark.createDataFrame([(0, 5.0), (1, 7.0), (2, None), (3, 13.0), (4, 14.0)], "feature_id long, s double")
+    assert affinity.auto_bandwidth(some) == 2.0
+    assert blocks.gap_percentile(some, 1.0) == 6.0
+    places = spark.createDataFrame([(j, float(j)) for j in range(6)], "feature_id long, s double")
+    r = [(i, j, 2 * NormalDist().cdf(-(j - i) / 3.0)) for i in range(6) for j in range(6)] + [(0, 1, float("nan"))]
+    pairs = affinity.correlation_pairs(places, spark.createDataFrame(r[:-1], "i long, j long, r double"))
+    assert pairs.count() == 15 and abs(affinity.fit_bandwidth(pairs, (0.1, 100.0)) - 3.0) < 0.01
+    undefined = affinity.correlation_pairs(places, spark.createDataFrame(r[-1:], "i long, j long, r double"))
+    assert undefined.first().target == 0.0
+
+
+def test_no_bandwidth_no_pairs(spark):
+    f = spark.createDataFrame([(0, 1.0, 1.0, None)], "feature_id long, s double, t double, phi double")
+    g = spark.createDataFrame([("a", 0.0, 2.0)], "group_id string, l double, r double")
+    for got in (affinity.extent_affinity(f, g, 0.0), affinity.extent_affinity(f, g, "phi"), affinity.causal_affinity(f, g, 0.0)):
+        assert got.columns == ["feature_id", "group_id", "a"] and got.count() == 0
+
+
+def test_selection_quality_and_csv(spark, tmp_path):
+    rows = [(0, True, True), (0, False, True), (0, True, None), (1, False, False), (1, None, False)]
+    got = selection.selection_quality(spark.createDataFrame(rows, "draw int, selected boolean, is_causal boolean"), ["draw"])
+    assert {r.draw: (r.true_positives, r.n_selected, r.power, r.precision) for r in got.collect()} == {0: (1, 2, 0.5, 0.5), 1: (0, 0, None, None)}
+    write_csv(got, str(tmp_path / "q"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "q")).count() == 2
+    assert [r.f for r in selection.admit(spark.createDataFrame([("a", 0.6), ("b", 0.5)], "f string, stability double"), 0.5).collect()] == ["a"]
