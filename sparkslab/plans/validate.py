@@ -95,8 +95,8 @@ def bootstrap_moments(rows: DataFrame, n_boot: int, seed: int = 0) -> list[Momen
     """Moments of ``n_boot`` Poisson(1) resamples of wide rows (row_id, y, x), all from one pass.
 
     A row's weights come from its row_id and the seed, so results don't depend
-    on partitions, and rows with unlike ids have unlike weights.  (Poisson weights vary the sample's size; the reference draws
-    exactly n rows.)
+    on partitions, and rows with unlike ids have unlike weights.  (Poisson weights vary
+    the sample's size.)
     """
 
     def run(batches):
