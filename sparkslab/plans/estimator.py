@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from sparkslab.operators import factor
 from sparkslab.operators.affinity import resolve_affinity
 from sparkslab.operators.blocks import determine_blocks
-from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows
-from sparkslab.plans import dynamic, em, gibbs, validate
+from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows, whole_rows
+from sparkslab.plans import dynamic, em, gibbs, joint, latent, validate
 from sparkslab.plans.stage import stage
 from sparkslab.sources.tables import load_model, save_model
 
 _STATIC = ("ppca", "pls", "sar_shrink")
+#: Latents of Binomial features, by the structure of their means.
+_DISCRETE = {"binomial_sar": "sar", "binomial_ar1": "ar1"}
+#: Rows up to which the joint model samples every row's score; more raise ValueError.
+JOINT_ROWS = 20_000
 
 
 class SlabEstimator:
@@ -26,12 +30,14 @@ class SlabEstimator:
     ``fit(rows)`` takes wide rows (row_id, y, x[, off, t]).  ``features`` with
     (feature_id, s or coord or t) gives places, ``groups`` what they are boosted
     by.  ``decorrelate`` is None, ppca, pls, sar_shrink, ar1 or star; the last two
-    order rows by t.
+    order rows by t.  A classifier's features may be Binomial counts of
+    ``n_trials``: binomial_sar or binomial_ar1, by ``fit_method`` em or joint (a
+    posterior over all scores of at most ``JOINT_ROWS`` rows).
     """
 
     family = "gaussian"
 
-    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0) -> None:
+    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0, n_trials: float = 2, tau2: float = 1.0, p0_joint: float | None = None, slab_scale_joint: float = 2.0, practical_joint: float = 0.1) -> None:
         for k, v in locals().items():
             if k not in ("self", "__class__"):
                 setattr(self, k, v)
@@ -62,14 +68,14 @@ class SlabEstimator:
 
     def fit(self, rows: DataFrame, features: DataFrame | None = None, groups: DataFrame | None = None, block_id: np.ndarray | None = None, affinity: str = "gaussian", bandwidth: float | None = None, edges: DataFrame | None = None, names: list[str] | None = None) -> SlabEstimator:
         """Learn from wide rows; see the class for the tables."""
-        if self.decorrelate and self.decorrelate not in (*_STATIC, "ar1", "star"):
+        if self.decorrelate and self.decorrelate not in (*_STATIC, *_DISCRETE, "ar1", "star"):
             raise ValueError(f"unknown decorrelation {self.decorrelate!r}")
         if self.decorrelate and features is None and block_id is None:
             raise ValueError("decorrelation needs the features' places, or blocks")
         if self.fit_method == "gibbs" and self.family == "poisson":
             raise ValueError("there is no Gibbs sampler for a Poisson response")
         self._reject_unused()
-        self.draws_ = None
+        self.draws_, self.latent_, self.flips_ = None, None, None
         if "off" not in rows.columns:
             rows = rows.withColumn("off", F.lit(0.0))
         if self.family in ("gaussian", "bernoulli"):
@@ -84,23 +90,62 @@ class SlabEstimator:
         if self.decorrelate:
             self.blocks_ = np.asarray(block_id) if block_id is not None else self._blocks(rows, features)
             wr = np.array([wr[self.blocks_ == b].mean() for b in np.unique(self.blocks_)])
-            self._fit_latents(rows, features)
+            if self.decorrelate not in _DISCRETE:
+                self._fit_latents(rows, features)
             self.names_ = [f"block{b}" for b in np.unique(self.blocks_)]
         else:
             self.names_ = self.raw_names_
         self.wr_ = wr
-        design = stage(self.design(rows), "design")
-        self.fit_ = self._select(design, wr)
+        if self.decorrelate in _DISCRETE:
+            design = self._fit_discrete(rows, features, wr)
+        else:
+            design = stage(self._noisy(rows), "design")
+            self.fit_ = self._select(design.drop("z_var"), wr)
         self.retained_ = self.fit_.retained if self.fit_.retained is not None else np.arange(len(wr))
         self.names_ = [self.names_[j] for j in self.retained_]
         self.cov_ = self._covariance(em.take_features(design, self.retained_))
         return self
 
+    def _fit_discrete(self, rows: DataFrame, features: DataFrame, wr: np.ndarray) -> DataFrame:
+        """Binomial latents and the fit on them; returns the training design."""
+        coords = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
+        self.flips_ = factor.sign_flips(moments(rows), self.blocks_)
+        rows = rows.withColumn("x", factor.flip(F.col("x"), self.flips_, self.n_trials))
+        structure = _DISCRETE[self.decorrelate]
+        if self.fit_method == "em":
+            out = latent.fit_latent(whole_rows(rows), coords, self.blocks_, wr, self._prior(), self.n_trials, structure=structure, tau2=self.tau2)
+            self.fit_, self.latent_ = out["fit"], (out["fits"], out["deltas"], None)
+            return out["scores"].select("row_id", "y", F.col("z").alias("x"), F.lit(0.0).alias("off"))
+        sample = whole_rows(rows).select("row_id", "y", "x").limit(JOINT_ROWS + 1).collect()
+        if len(sample) > JOINT_ROWS:
+            raise ValueError(f"the joint model serves at most {JOINT_ROWS} rows")
+        sample.sort(key=lambda r: r.row_id)
+        fits = latent.fit_blocks(rows.sparkSession, *factor.covariance(moments(rows)), coords, self.blocks_, self.n_trials, self.tau2, structure)
+        model = joint.JointModel(np.array([r.x for r in sample], float), np.array([r.y for r in sample], float), self.blocks_, fits, self.p0_joint, self.slab_scale_joint)
+        tau, beta, loadings, deltas = joint.posterior(rows.sparkSession, model, seed=self.random_state, warmup=self.burn_in, samples=self.n_samples)
+        chosen = np.abs(beta[:, 1:]) > self.practical_joint
+        self.fit_ = self._from_draws(gibbs.Draws(beta, chosen, tau))
+        self.latent_ = (fits, deltas, loadings)
+        return self._scores(rows)
+
+    def _scores(self, rows: DataFrame) -> DataFrame:
+        """Scores of Binomial rows, already flipped, from their features alone."""
+        fits, deltas, loadings = self.latent_
+        z = latent.infer_scores(rows, fits, self.blocks_, deltas, loadings=loadings)
+        return z.select("row_id", "y", F.col("z").alias("x"), F.lit(0.0).alias("off"))
+
     def _reject_unused(self) -> None:
         """Options that the chosen family and method have no use for raise ValueError."""
         gaussian, method = self.family == "gaussian", self.fit_method
-        if method not in ("em", "em_filter", "gibbs"):
+        if method not in ("em", "em_filter", "gibbs", "joint"):
             raise ValueError(f"unknown method {method!r}")
+        discrete = self.decorrelate in _DISCRETE
+        if discrete and (self.family != "bernoulli" or method not in ("em", "joint")):
+            raise ValueError("Binomial latents serve a Bernoulli response by em or joint")
+        if discrete and (self.rank or self.firth):
+            raise ValueError("rank and firth have no effect on Binomial latents")
+        if method == "joint" and not discrete:
+            raise ValueError("the joint method needs Binomial latents")
         unused = {"cv_folds": not (gaussian and method == "em_filter"), "rank": method == "gibbs" or (not gaussian and method == "em_filter"), "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
         for name, idle in unused.items():
             if idle and getattr(self, name):
@@ -135,10 +180,17 @@ class SlabEstimator:
 
     def design(self, rows: DataFrame) -> DataFrame:
         """(row_id, y, x, off) with latents in the place of features; new rows use what the training rows gave."""
+        return self._noisy(rows).drop("z_var")
+
+    def _noisy(self, rows: DataFrame) -> DataFrame:
+        """``design``; of dynamic latents with z_var, the variances of the row's latents."""
         if "off" not in rows.columns:
             rows = rows.withColumn("off", F.lit(0.0))
         if "y" not in rows.columns:
             rows = rows.withColumn("y", F.lit(None).cast("double"))
+        if self.latent_ is not None:
+            flipped = rows.withColumn("x", factor.flip(F.col("x"), self.flips_, self.n_trials))
+            return self._scores(flipped.withColumn("y", F.col("y").cast("double")))
         if self.factors_ is not None:
             return factor.scores(rows, self.factors_, self.blocks_).select("row_id", "y", "x", "off")
         if self.dynamic_ is not None:
@@ -149,10 +201,11 @@ class SlabEstimator:
 
                 pdf = pdf.sort_values("t")
                 x = np.stack(pdf["x"].to_numpy())
-                z = np.column_stack([dynamic.filter_dynamic(x if len(fits) == 1 else x[:, blocks == b], f)[0] for b, f in zip(np.unique(blocks), fits, strict=False)])
-                return pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "x": list(z), "off": pdf["off"]})
+                got = [dynamic.filter_dynamic(x if len(fits) == 1 else x[:, blocks == b], f) for b, f in zip(np.unique(blocks), fits, strict=False)]
+                z, v = (np.column_stack(parts) for parts in zip(*got, strict=True))
+                return pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "x": list(z), "off": pdf["off"], "z_var": list(v)})
 
-            return rows.select("row_id", "y", "x", "off", "t").groupBy(F.lit(0)).applyInPandas(run, "row_id long, y double, x array<double>, off double")
+            return rows.select("row_id", "y", "x", "off", "t").groupBy(F.lit("all").alias("all")).applyInPandas(run, "row_id long, y double, x array<double>, off double, z_var array<double>")
         return rows.select("row_id", "y", "x", "off")
 
     def _select(self, design: DataFrame, wr: np.ndarray) -> em.Fit:
@@ -180,14 +233,20 @@ class SlabEstimator:
         return em.Fit(d.beta.mean(0), float(d.sigma2.mean()), d.pi, len(d.beta), float(d.sigma_y2.mean()) if d.sigma_y2 is not None else None, float(d.r.mean()) if d.r is not None else None)
 
     def _covariance(self, design: DataFrame) -> np.ndarray:
-        """Laplace approximation; noisy latents widen a Gaussian response's variance by theirs. Of draws, their own."""
+        """Laplace approximation; noisy latents widen a Gaussian response's variance by theirs, row by row where it differs. Of draws, their own."""
         if getattr(self, "draws_", None) is not None:
             return np.cov(self.draws_.beta, rowvar=False)
         f = self.fit_
         prior = np.diag(em.precisions(f.theta, self.kappa) / f.sigma2)
         if self.family == "gaussian":
-            noise = sum(b * b * x.z_var for b, x in zip(f.beta[1:], self.factors_.values(), strict=False)) if self.factors_ and self.fit_.retained is None else 0.0
-            gram = moments(design).gram / (f.sigma_y2 + noise)
+            own = f.sigma_y2
+            if self.dynamic_ is not None:
+                parts = [F.element_at("z_var", int(j) + 1) * float(b * b) for j, b in zip(self.retained_, f.beta[1:], strict=True)]
+                noisy = design.withColumn("off", sum(parts, F.lit(0.0)))
+                gram = weighted_rows(noisy, f.beta, lambda eta, y, extra: (1 / (own + extra), y / (own + extra), extra))[0]
+            else:
+                z_vars = [x.z_var for x in self.factors_.values()] if self.factors_ else np.zeros(len(self.wr_))
+                gram = moments(design).gram / (own + sum(b * b * z_vars[j] for j, b in zip(self.retained_, f.beta[1:], strict=True)))
         else:
             fam, r = em.Family(self.family), f.r
             gram = weighted_rows(design, f.beta, lambda eta, y, off: fam.step(eta, y, off, r))[0]
@@ -280,8 +339,10 @@ class SlabEstimator:
         return validate.bootstrap_ci(rows, fit, n_boot, ci, self.random_state)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Parameters and arrays under ``path``; dynamic factors are not stored."""
+        """Parameters and arrays under ``path``; a model with dynamic or Binomial latents raises ValueError."""
         self._check()
+        if self.dynamic_ is not None or self.latent_ is not None:
+            raise ValueError("models with dynamic or Binomial latents are not stored")
         arrays = {"beta": self.fit_.beta, "theta": self.fit_.theta, "cov": self.cov_.ravel(), "retained": self.retained_, "wr": self.wr_, "scales": [self.fit_.sigma2, self.fit_.sigma_y2 or 0.0, self.fit_.r or 0.0, self.p_, self.fit_.n_iter]}
         if self.factors_:
             arrays["blocks"] = self.blocks_
@@ -302,7 +363,7 @@ class SlabEstimator:
         out.p_, out.retained_, out.wr_ = int(s[3]), np.array(a["retained"], int), np.array(a["wr"])
         out.cov_ = np.array(a["cov"]).reshape(len(out.fit_.beta), -1)
         out.blocks_ = np.array(a["blocks"], int) if "blocks" in a else None
-        out.factors_, out.dynamic_, out.coords_ = None, None, None
+        out.factors_, out.dynamic_, out.coords_, out.latent_, out.flips_, out.draws_ = None, None, None, None, None, None
         if out.blocks_ is not None:
             out.factors_ = {int(b): factor.Factor(*(np.array(a[f"{k}:{b}"]) for k in ("loading", "coef", "mean", "sigma2")), a[f"z_var:{b}"][0]) for b in np.unique(out.blocks_)}
         return out

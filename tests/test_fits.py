@@ -174,3 +174,61 @@ def test_cross_validate_by_estimator(spark, rows):
     assert len(scores) == 3 and min(scores) > 0.5
     held = spark.createDataFrame([(0.9, 1.0), (0.2, 0.0), (0.6, 0.0), (0.5, 1.0)], "prediction double, y double")
     assert validate.accuracy(held).first().score == 0.75
+
+
+def test_binomial_latents_in_the_classifier(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(150, 2))
+    x = rng.binomial(2, 1 / (1 + np.exp(-2 * np.repeat(z, 3, axis=1)))).astype(float)
+    x[:, 2] = 2 - x[:, 2]
+    y = (rng.random(150) < 1 / (1 + np.exp(-3 * z[:, 0]))).astype(float)
+    rows, ids = from_arrays(spark, x, y).coalesce(2).persist(), np.repeat([0, 1], 3)
+    places = spark.createDataFrame([(j, float(j)) for j in range(6)], "feature_id long, s double")
+    model = SlabClassifier(decorrelate="binomial_ar1", fit_method="joint", burn_in=80, n_samples=80).fit(rows, places, block_id=ids)
+    assert list(model.flips_) == [False, False, True, False, False, False] or list(model.flips_[:3]) == [True, True, False]
+    assert model.draws_.beta.shape == (160, 3) and model.cov_.shape == (3, 3)
+    assert abs(model.fit_.beta[1]) > abs(model.fit_.beta[2]) and model.fit_.theta[0] >= model.fit_.theta[1]
+    right = model.predict_label(rows).selectExpr("avg(CAST(label = y AS double)) AS a").first().a
+    assert right > 0.65
+    unseen = model.predict(rows.drop("y"))
+    assert unseen.where("mean is null").count() == 0 and unseen.count() == 150
+    with pytest.raises(ValueError):
+        model.save(spark, "/tmp/never")
+    for bad in ({"fit_method": "gibbs"}, {"firth": True}):
+        with pytest.raises(ValueError):
+            SlabClassifier(decorrelate="binomial_sar", **bad).fit(rows, places, block_id=ids)
+    with pytest.raises(ValueError):
+        SlabRegressor(decorrelate="binomial_sar").fit(rows, places, block_id=ids)
+    with pytest.raises(ValueError):
+        SlabClassifier(fit_method="joint").fit(rows)
+
+
+def test_binomial_latents_by_em(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(150, 2))
+    x = rng.binomial(2, 1 / (1 + np.exp(-2 * np.repeat(z, 2, axis=1)))).astype(float)
+    y = (rng.random(150) < 1 / (1 + np.exp(-3 * z[:, 1]))).astype(float)
+    rows, ids = from_arrays(spark, x, y).coalesce(1).persist(), np.repeat([0, 1], 2)
+    places = spark.createDataFrame([(j, float(j)) for j in range(4)], "feature_id long, s double")
+    short = latent.fit_latent
+    monkeypatch.setattr(latent, "fit_latent", lambda *a, **how: short(*a, **how, n_outer=1, n_inner=2, hyper_steps=20))
+    model = SlabClassifier(decorrelate="binomial_sar", xi0=-1.0, kappa=50.0).fit(rows, places, block_id=ids)
+    assert np.argmax(np.abs(model.fit_.beta[1:])) == 1 and np.all(np.isfinite(model.cov_))
+
+
+def test_variance_of_dynamic_latents_row_by_row(spark):
+    """The covariance against the same sums in NumPy, where the smoother's variance differs between rows."""
+    rng = np.random.default_rng(8)
+    z = np.zeros(120)
+    for t in range(1, 120):
+        z[t] = 0.8 * z[t - 1] + rng.normal(scale=0.6)
+    x = np.column_stack([z + rng.normal(scale=0.5, size=120) for _ in range(3)])
+    rows = from_arrays(spark, x, 2 * z + rng.normal(size=120)).selectExpr("*", "row_id AS t").persist()
+    places = spark.createDataFrame([(j, float(j)) for j in range(3)], "feature_id long, s double")
+    m = SlabRegressor(decorrelate="ar1", xi0=0.0, kappa=50.0).fit(rows, places, block_id=np.zeros(3, int))
+    score, var = dynamic.filter_dynamic(x, m.dynamic_[0])
+    assert var.std() > 0
+    design = np.column_stack([np.ones(120), score])
+    w = 1 / (m.fit_.sigma_y2 + m.fit_.beta[1] ** 2 * var[:, 0])
+    prior = np.diag(em.precisions(m.fit_.theta, 50.0) / m.fit_.sigma2)
+    assert np.allclose(m.cov_, np.linalg.inv((design * w[:, None]).T @ design + prior), rtol=1e-6)
