@@ -232,3 +232,13 @@ def test_variance_of_dynamic_latents_row_by_row(spark):
     w = 1 / (m.fit_.sigma_y2 + m.fit_.beta[1] ** 2 * var[:, 0])
     prior = np.diag(em.precisions(m.fit_.theta, 50.0) / m.fit_.sigma2)
     assert np.allclose(m.cov_, np.linalg.inv((design * w[:, None]).T @ design + prior), rtol=1e-6)
+
+
+def test_coupled_latents_in_the_regressor(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(80, 2)).cumsum(0) * 0.3
+    x = np.repeat(z, 2, axis=1) + rng.normal(scale=0.4, size=(80, 4))
+    rows = from_arrays(spark, x, 2 * z[:, 0] + rng.normal(size=80)).selectExpr("*", "row_id AS t").persist()
+    places = spark.createDataFrame([(j, float(j)) for j in range(4)], "feature_id long, s double")
+    m = SlabRegressor(decorrelate="star", xi0=0.0, kappa=50.0).fit(rows, places, block_id=np.repeat([0, 1], 2))
+    assert m.fit_.beta[1] > 5 * abs(m.fit_.beta[2]) and np.all(np.diag(m.cov_) > 0) and m.predict(rows).count() == 80
