@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkslab.llm import lines, mixing, warc
+from sparkslab.llm import lines, mixing, reassembly, repair, secret_scan, warc
 from sparkslab.llm.decontaminate import contaminated
 from sparkslab.llm.html import extract
 from sparkslab.llm.jaccard import near_duplicate_classes
@@ -76,6 +76,21 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets, by patterns and by novelty to a primed compressor."""
+    return secret_scan.reports(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation, by cost layers."""
+    return repair.reports(repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op13_turn_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Releases, rejections and closings of all conversations' turns, by a stateful stream."""
+    return reassembly.digests(reassembly.reassembled(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_language_id": op2_language_id,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_turn_reassembly": op13_turn_reassembly,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": lines.oracle_sql(), "op9_warc_revisits": warc.ORACLE_SQL}
