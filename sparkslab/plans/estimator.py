@@ -13,7 +13,7 @@ from sparkslab.operators import factor
 from sparkslab.operators.affinity import resolve_affinity
 from sparkslab.operators.blocks import determine_blocks
 from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows, whole_rows
-from sparkslab.plans import dynamic, em, gibbs, joint, latent, validate
+from sparkslab.plans import dynamic, em, gibbs, joint, latent, statespace, validate
 from sparkslab.plans.stage import stage
 from sparkslab.sources.tables import load_model, save_model
 
@@ -24,6 +24,12 @@ _DISCRETE = {"binomial_sar": "sar", "binomial_ar1": "ar1"}
 JOINT_ROWS = 20_000
 
 
+#: Steps of a trajectory up to which a dynamic factor is fitted on the driver; longer ones are scanned.
+GATHERED = 20_000
+#: What is stored of a dynamic factor.
+_DYNAMIC = ("loadings", "noise", "owner", "phi", "q", "mean", "loglik", "rho")
+
+
 class SlabEstimator:
     """Common part of the classifier and the regressors.
 
@@ -80,11 +86,15 @@ class SlabEstimator:
             rows = rows.withColumn("off", F.lit(0.0))
         if self.family in ("gaussian", "bernoulli"):
             rows = rows.withColumn("off", F.lit(0.0))
-        self.p_ = len(rows.select("x").first().x)
+        head = whole_rows(rows.select("y", "x")).first()
+        if head is None:
+            raise ValueError("no row without a null to learn from")
+        self.p_ = len(head.x)
         self.raw_names_ = names or [f"x{j}" for j in range(self.p_)]
         wr = np.zeros(self.p_)
         if groups is not None or edges is not None:
-            for r in resolve_affinity(affinity, features, groups, bandwidth, edges).collect():
+            related = self._correlations(rows) if bandwidth is None and affinity in ("gaussian", "causal") and self.p_ > 1 else None
+            for r in resolve_affinity(affinity, features, groups, bandwidth, edges, correlations=related).collect():
                 wr[int(r.feature_id)] = r.wr
         self.blocks_, self.factors_, self.dynamic_, self.coords_ = None, None, None, None
         if self.decorrelate:
@@ -151,14 +161,21 @@ class SlabEstimator:
             if idle and getattr(self, name):
                 raise ValueError(f"{name} has no effect on a {self.family} response by {method}")
 
+    def _correlation(self, rows: DataFrame) -> np.ndarray:
+        _, cov = factor.covariance(moments(rows))
+        sd = np.sqrt(np.diag(cov)) + 1e-8
+        return cov / np.outer(sd, sd)
+
+    def _correlations(self, rows: DataFrame) -> DataFrame:
+        """(i, j, r) of the features' pairs, i < j."""
+        r = self._correlation(rows)
+        i, j = np.triu_indices(self.p_, 1)
+        return rows.sparkSession.createDataFrame(list(zip(i.tolist(), j.tolist(), r[i, j].tolist(), strict=True)), "i long, j long, r double")
+
     def _blocks(self, rows: DataFrame, features: DataFrame) -> np.ndarray:
         how = {"threshold": {"zeta": self.zeta}, "kmeans": {"seed": self.random_state}}.get(self.block_method, {})
         if self.block_method in ("correlation", "glasso"):
-            _, cov = factor.covariance(moments(rows))
-            sd = np.sqrt(np.diag(cov)) + 1e-8
-            r = cov / np.outer(sd, sd)
-            pairs = [(i, j, float(r[i, j])) for i in range(self.p_) for j in range(i + 1, self.p_)]
-            how = {"covariance": r} if self.block_method == "glasso" else {"rho": self.rho_threshold, "correlations": rows.sparkSession.createDataFrame(pairs, "i long, j long, r double")}
+            how = {"covariance": self._correlation(rows)} if self.block_method == "glasso" else {"rho": self.rho_threshold, "correlations": self._correlations(rows)}
         found = {int(r.feature_id): r.block_id for r in determine_blocks(features, self.block_method, **how).collect()}
         return np.array([found[j] for j in range(self.p_)])
 
@@ -168,15 +185,20 @@ class SlabEstimator:
                 self.coords_ = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
             self.factors_ = factor.block_factors(moments(rows), self.blocks_, self.decorrelate, self.coords_)
             return
-        series = rows.select("t", "x").orderBy("t").toPandas()  # one trajectory: sequential in time
-        x, ids = np.stack(series["x"].to_numpy()), np.unique(self.blocks_)
-        if self.decorrelate == "ar1":
-            self.dynamic_ = [dynamic.fit_dynamic(x[:, self.blocks_ == b]) for b in ids]
-        else:
+        ids, coupling = np.unique(self.blocks_), None
+        owner = np.searchsorted(ids, self.blocks_)
+        if self.decorrelate == "star":
             at = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
             centres = np.array([at[self.blocks_ == b].mean() for b in ids])
             phi = self.phi_star or float(np.median(np.diff(np.sort(centres)))) if len(ids) > 1 else 1.0
-            self.dynamic_ = [dynamic.fit_dynamic(x, np.searchsorted(ids, self.blocks_), factor.sar_matrix(centres, phi))]
+            coupling = factor.sar_matrix(centres, phi)
+        steps = whole_rows(rows.select("t", "x").withColumn("y", F.lit(0.0))).drop("y")
+        few = steps.limit(GATHERED + 1).toPandas()
+        if len(few) > GATHERED:  # a long trajectory: buckets of time
+            self.dynamic_ = statespace.fit_states(steps, owner, coupling)
+            return
+        x = np.stack(few.sort_values("t", kind="stable", na_position="first")["x"].to_numpy())
+        self.dynamic_ = [dynamic.fit_dynamic(x, owner, coupling)] if coupling is not None else [dynamic.fit_dynamic(x[:, owner == b]) for b in range(len(ids))]
 
     def design(self, rows: DataFrame) -> DataFrame:
         """(row_id, y, x, off) with latents in the place of features; new rows use what the training rows gave."""
@@ -194,18 +216,11 @@ class SlabEstimator:
         if self.factors_ is not None:
             return factor.scores(rows, self.factors_, self.blocks_).select("row_id", "y", "x", "off")
         if self.dynamic_ is not None:
-            fits, blocks = self.dynamic_, self.blocks_
-
-            def run(pdf):
-                import pandas as pd
-
-                pdf = pdf.sort_values("t")
-                x = np.stack(pdf["x"].to_numpy())
-                got = [dynamic.filter_dynamic(x if len(fits) == 1 else x[:, blocks == b], f) for b, f in zip(np.unique(blocks), fits, strict=False)]
-                z, v = (np.column_stack(parts) for parts in zip(*got, strict=True))
-                return pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "x": list(z), "off": pdf["off"], "z_var": list(v)})
-
-            return rows.select("row_id", "y", "x", "off", "t").groupBy(F.lit("all").alias("all")).applyInPandas(run, "row_id long, y double, x array<double>, off double, z_var array<double>")
+            f = self.dynamic_[0]
+            if len(self.dynamic_) > 1:
+                f = statespace.joined(self.dynamic_, [np.flatnonzero(self.blocks_ == b) for b in np.unique(self.blocks_)])
+            got = statespace.states(rows.select("row_id", "y", "off", "t", "x"), f, smooth=True)
+            return got.select("row_id", "y", F.col("z").alias("x"), "off", "z_var")
         return rows.select("row_id", "y", "x", "off")
 
     def _select(self, design: DataFrame, wr: np.ndarray) -> em.Fit:
@@ -301,7 +316,7 @@ class SlabEstimator:
         return out.limit(top_n) if top_n else out
 
     def plot_data(self, spark: SparkSession, kind: str, rows: DataFrame | None = None, bins: int = 30) -> DataFrame:
-        """What a plot of this kind shows: inclusion, coefficients, history, residuals (of ``rows``), loadings or latent."""
+        """What a plot of this kind shows: inclusion, coefficients, history, residuals and fitted against actual (of ``rows``), loadings or latent (of all coupled factors; with ``rows``, of these, by row_id)."""
         self._check()
         if kind in ("inclusion", "coefficients"):
             return self.summary_df(spark)
@@ -315,7 +330,17 @@ class SlabEstimator:
         if kind == "loadings" and self.factors_:
             return spark.createDataFrame([(int(b), k, float(v)) for b, f in self.factors_.items() for k, v in enumerate(f.loading)], "block_id long, member int, loading double")
         if kind == "latent" and self.dynamic_:
-            return spark.createDataFrame([(i, t, float(z), float(z - 2 * v**0.5), float(z + 2 * v**0.5)) for i, f in enumerate(self.dynamic_) for t, (z, v) in enumerate(zip(f.z[:, 0], f.z_var[:, 0], strict=True))], "latent int, t int, z double, lower double, upper double")
+            if rows is not None:
+                one = self._noisy(rows).select("row_id", F.posexplode(F.arrays_zip(F.col("x").alias("z"), F.col("z_var"))).alias("latent", "v"))
+                made = one.select("latent", F.col("row_id").alias("t"), F.col("v.z").alias("z"), F.sqrt("v.z_var").alias("sd"))
+            else:
+                if not any(len(f.z) for f in self.dynamic_):
+                    raise ValueError("the states of a long trajectory are not kept: pass its rows")
+                z, v = (np.column_stack([getattr(f, name) for f in self.dynamic_]) for name in ("z", "z_var"))
+                made = spark.createDataFrame([(i, t, float(z[t, i]), float(v[t, i] ** 0.5)) for i in range(z.shape[1]) for t in range(len(z))], "latent int, t long, z double, sd double")
+            return made.select("latent", "t", "z", (F.col("z") - 2 * F.col("sd")).alias("lower"), (F.col("z") + 2 * F.col("sd")).alias("upper"))
+        if kind == "fitted":
+            return self.predict(rows).select("row_id", F.col("mean").alias("fitted"), F.col("y").alias("actual"))
         raise RuntimeError(f"the model has no {kind!r} to show")
 
     def bootstrap_ci(self, rows: DataFrame, n_boot: int = 200, ci: float = 0.95) -> dict:
@@ -339,10 +364,10 @@ class SlabEstimator:
         return validate.bootstrap_ci(rows, fit, n_boot, ci, self.random_state)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Parameters and arrays under ``path``; a model with dynamic or Binomial latents raises ValueError."""
+        """Parameters and arrays under ``path``; of dynamic latents all but the training states. A model with Binomial latents raises ValueError."""
         self._check()
-        if self.dynamic_ is not None or self.latent_ is not None:
-            raise ValueError("models with dynamic or Binomial latents are not stored")
+        if self.latent_ is not None:
+            raise ValueError("models with Binomial latents are not stored")
         arrays = {"beta": self.fit_.beta, "theta": self.fit_.theta, "cov": self.cov_.ravel(), "retained": self.retained_, "wr": self.wr_, "scales": [self.fit_.sigma2, self.fit_.sigma_y2 or 0.0, self.fit_.r or 0.0, self.p_, self.fit_.n_iter]}
         if self.factors_:
             arrays["blocks"] = self.blocks_
@@ -350,6 +375,10 @@ class SlabEstimator:
                 for k in ("loading", "coef", "mean", "sigma2"):
                     arrays[f"{k}:{b}"] = getattr(f, k)
                 arrays[f"z_var:{b}"] = [f.z_var]
+        if self.dynamic_:
+            arrays["blocks"] = self.blocks_
+            for b, f in enumerate(self.dynamic_):
+                arrays |= {f"{k}:{b}": np.ravel(getattr(f, k)) for k in _DYNAMIC}
         save_model(spark, path, type(self).__name__, {"params": self.get_params(), "names": self.names_, "raw_names": self.raw_names_, "family": self.family}, {k: list(np.asarray(v, float)) for k, v in arrays.items()})
 
     @classmethod
@@ -364,7 +393,13 @@ class SlabEstimator:
         out.cov_ = np.array(a["cov"]).reshape(len(out.fit_.beta), -1)
         out.blocks_ = np.array(a["blocks"], int) if "blocks" in a else None
         out.factors_, out.dynamic_, out.coords_, out.latent_, out.flips_, out.draws_ = None, None, None, None, None, None
-        if out.blocks_ is not None:
+        if "phi:0" in a:
+            out.dynamic_ = []
+            while f"phi:{len(out.dynamic_)}" in a:
+                got = {k: np.array(a[f"{k}:{len(out.dynamic_)}"]) for k in _DYNAMIC}
+                k = len(got["q"])
+                out.dynamic_.append(dynamic.Dynamic(**got | {"owner": got["owner"].astype(int), "phi": got["phi"].reshape(k, k), "loglik": got["loglik"].tolist(), "rho": tuple(got["rho"])}, z=np.zeros((0, k)), z_var=np.zeros((0, k))))
+        elif out.blocks_ is not None:
             out.factors_ = {int(b): factor.Factor(*(np.array(a[f"{k}:{b}"]) for k in ("loading", "coef", "mean", "sigma2")), a[f"z_var:{b}"][0]) for b in np.unique(out.blocks_)}
         return out
 

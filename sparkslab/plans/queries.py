@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkslab.functions import exprs as X
 from sparkslab.operators import affinity, blocks, copula, factor, relevance, selection, suffstats
-from sparkslab.plans import dynamic, em, gibbs, validate
+from sparkslab.plans import dynamic, em, gibbs, statespace, validate
 from sparkslab.sources.tables import seconds, table
 
 QUERIES: dict = {}
@@ -639,6 +639,46 @@ def _types(spark: SparkSession, d: str) -> DataFrame:
     return wide.select(F.lit(0).cast("long").alias("series_id"), "t", F.array(*[F.coalesce(c, F.lit(means[c])) for c in names]).alias("x"))
 
 
+# one step of the scalar filter with transition 0.8, innovations 0.2 and noise 0.5, and of its smoother
+_STEP = "0.8e0 * z + (0.64e0 * p + 0.2e0) / (0.64e0 * p + 0.7e0) * (s.v - 0.8e0 * z), 0.5e0 * (0.64e0 * p + 0.2e0) / (0.64e0 * p + 0.7e0), 0.8e0 * z, 0.64e0 * p + 0.2e0"
+_BACK = "f.z + f.p * 0.8e0 / g.pp * (b.z - g.zp), f.p + (f.p * 0.8e0 / g.pp) * (f.p * 0.8e0 / g.pp) * (b.p - g.pp)"
+
+
+def _by_sql(by: str) -> str:
+    return f"""s AS (SELECT {by} AS g, event_id, row_number() OVER (PARTITION BY {by} ORDER BY ts) AS k, value / 50 - 1 AS v FROM events),
+f(g, k, event_id, z, p, zp, pp) AS (SELECT g, k, event_id, v * (0.2e0 / 0.36e0) / (0.2e0 / 0.36e0 + 0.5e0), 0.5e0 * (0.2e0 / 0.36e0) / (0.2e0 / 0.36e0 + 0.5e0), 0e0, 0.2e0 / 0.36e0 FROM s WHERE k = 1
+ UNION ALL SELECT s.g, s.k, s.event_id, {_STEP} FROM f JOIN s ON s.g = f.g AND s.k = f.k + 1)"""
+
+
+#: The scalar model of these queries.
+_SCALAR = dynamic.Dynamic(np.ones(1), np.full(1, 0.5), np.zeros(1, int), np.full((1, 1), 0.8), np.full(1, 0.2), np.zeros(1), np.zeros((0, 1)), np.zeros((0, 1)), [], (0.8, 0.0))
+
+
+def _event_states(spark: SparkSession, d: str, by: str, **how) -> DataFrame:
+    """The state after each event, of trajectories of events in order of time."""
+    rows = table(spark, d, "events").select("event_id", F.col(by), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.array(F.col("value") / 50 - 1).alias("x"))
+    got = statespace.states(rows, _SCALAR, [by], keep=["event_id"], **how)
+    return rounded(got.select("event_id", F.col("z")[0].alias("z"), F.col("z_var")[0].alias("p")), "z", "p")
+
+
+@query(f"WITH RECURSIVE {_by_sql('user_id')} SELECT event_id, round(z, 6) + 0.0 AS z, round(p, 6) AS p FROM f")
+def kalman_by_user(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered states of every user's events, trajectories side by side."""
+    return _event_states(spark, d, "user_id")
+
+
+@query(f"WITH RECURSIVE {_by_sql('event_type')} SELECT event_id, round(z, 6) + 0.0 AS z, round(p, 6) AS p FROM f")
+def kalman_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered states of long trajectories, one for each event type, by the scan over buckets of time."""
+    return _event_states(spark, d, "event_type", per_bucket=500)
+
+
+@query(f"WITH RECURSIVE {_by_sql('event_type')}, n AS (SELECT g, max(k) AS n FROM f GROUP BY g), b(g, k, event_id, z, p) AS (SELECT f.g, k, event_id, z, p FROM f JOIN n ON f.g = n.g AND k = n UNION ALL SELECT f.g, f.k, f.event_id, {_BACK} FROM b JOIN f ON f.g = b.g AND f.k = b.k - 1 JOIN f g ON g.g = b.g AND g.k = b.k) SELECT event_id, round(z, 6) + 0.0 AS z, round(p, 6) AS p FROM b")
+def rts_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed states of the same trajectories, by scans in both directions."""
+    return _event_states(spark, d, "event_type", smooth=True, per_bucket=500)
+
+
 _FLIPS = "s AS (SELECT var_pop(l_quantity) AS a, var_pop(l_extendedprice / 1000) AS c, -covar_pop(l_quantity, l_extendedprice / 1000) AS b FROM lineitem)"
 
 
