@@ -2,11 +2,12 @@
 
 A document's terms are its distinct lower-cased words and their first three,
 four and five letters, each hashed to 64 bits.  The terms whose share of toxic
-documents differs clearly from the average get a weight and a factor vector,
-and so do those whose share differs among the documents that have one of these:
-a term that says nothing alone may say much beside another.  The machine adds
-the weights of the terms present and the inner products of all their pairs, so
-that two terms can count together for more (or less) than apart.
+documents differs clearly from the average get a weight and a factor vector.
+So do those that say nothing alone but much beside one of these: weights alone
+are fitted first, and a term joins if, beside one particular chosen term, what
+the weights leave unexplained is clearly not zero.  The machine adds the weights
+of the terms present and the inner products of all their pairs, so that two
+terms can count together for more (or less) than apart.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ MAX_LABELLED = 20_000
 #: Documents that a term must be in, and standard errors by which its toxic share must differ.
 MIN_DOCS = 3
 MIN_Z = 5.0
+#: Variance of a label, given the weights, from which a row tells about pairs.
+UNSURE = 0.01
+#: Terms, and pairs of them, that are worked on at once.
+BLOCK = 400_000
 FACTORS = 8
 STEPS = 200
 RATE = 0.05
@@ -82,35 +87,69 @@ class Machine:
         return out
 
 
+class _Block:
+    """Rows, as places in the parameters, that are worked on at once."""
+
+    def __init__(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
+        self.y, self.weight = y, weight
+        sizes = np.array([len(d) for d in docs], dtype=np.int64)
+        self.some = np.flatnonzero(sizes)
+        self.at = np.concatenate([docs[i] for i in self.some]) if len(self.some) else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.some)), sizes[self.some])
+        self.starts = np.concatenate([[0], np.cumsum(sizes[self.some])[:-1]]).astype(np.int64) if len(self.some) else self.at
+        self.by_term = np.argsort(self.at, kind="stable")
+        self.terms, self.term_starts = np.unique(self.at[self.by_term], return_index=True)
+
+    def add_gradient(self, bias: float, w: np.ndarray, v: np.ndarray, grad_w: np.ndarray, grad_v: np.ndarray) -> float:
+        """Adds to the gradients of the summed loss; returns the bias's."""
+        logit = np.full(len(self.y), bias)
+        if len(self.some):
+            rows = v[self.at]
+            total = np.add.reduceat(rows, self.starts)
+            logit[self.some] += np.add.reduceat(w[self.at], self.starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((rows**2).sum(1), self.starts))
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - self.y) * self.weight
+        if len(self.some):
+            e = error[self.some][self.of][self.by_term]
+            grad_w[self.terms] += np.add.reduceat(e, self.term_starts)
+            if v.shape[1]:
+                grad_v[self.terms] += np.add.reduceat(e[:, None] * (total[self.of] - rows)[self.by_term], self.term_starts)
+        return float(error.sum())
+
+
+def _blocks(docs: list[np.ndarray], y: np.ndarray) -> list[_Block]:
+    """Equal rows as one with their number as weight; blocks of about ``BLOCK`` terms."""
+    counts: dict[tuple, int] = {}
+    for d, t in zip(docs, y.tolist(), strict=True):
+        key = (d.tobytes(), t)
+        counts[key] = counts.get(key, 0) + 1
+    out, rows, size = [], [], 0
+    for (d, t), n in counts.items():
+        rows.append((np.frombuffer(d, np.int64), t, n))
+        size += len(rows[-1][0]) + 1
+        if size >= BLOCK:
+            out.append(rows)
+            rows, size = [], 0
+    return [_Block([r[0] for r in b], np.array([r[1] for r in b], float), np.array([r[2] for r in b], float)) for b in [*out, rows] if b]
+
+
 def fit_machine(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, seed: int = SEED) -> Machine:
-    """Logistic loss with weight decay, by full-batch Adam; deterministic for given rows in given order."""
+    """Logistic loss with weight decay, by full-batch Adam; deterministic for given rows in given order.
+
+    The gradient is summed over blocks of rows, so what it needs besides the
+    parameters and the rows' places doesn't grow with them.
+    """
     k, n = len(terms), max(len(y), 1)
     rng = np.random.default_rng(seed)
     share = min(max((y.sum() + 0.5) / (n + 1), 1e-3), 1 - 1e-3)
     theta = np.concatenate([[np.log(share / (1 - share))], np.zeros(k), rng.normal(0, 0.01, k * factors)])
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    some = np.flatnonzero(sizes)
-    at = np.concatenate([docs[i] for i in some]) if len(some) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(some)), sizes[some])
-    starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]]).astype(np.int64) if len(some) else at
+    blocks = _blocks([np.asarray(d, np.int64) for d in docs], np.asarray(y, float))
     m, v2 = np.zeros_like(theta), np.zeros_like(theta)
-    by_term = np.argsort(at, kind="stable")
-    term_ids, term_starts = np.unique(at[by_term], return_index=True)
     for step in range(1, steps + 1 if len(y) else 1):
-        w, v = theta[1 : k + 1], theta[k + 1 :].reshape(k, factors)
-        logit = np.full(len(y), theta[0])
         grad = np.zeros_like(theta)
-        if len(some):
-            rows = v[at]
-            total = np.add.reduceat(rows, starts)
-            logit[some] += np.add.reduceat(w[at], starts) + 0.5 * ((total**2).sum(1) - np.add.reduceat((rows**2).sum(1), starts))
-        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / n
-        grad[0] = error.sum()
-        if len(some):
-            e = error[some][of][by_term]
-            grad[1 + term_ids] = np.add.reduceat(e, term_starts)
-            dv = e[:, None] * (total[of] - rows)[by_term]
-            grad[k + 1 :].reshape(k, factors)[term_ids] = np.add.reduceat(dv, term_starts)
+        w, v = theta[1 : k + 1], theta[k + 1 :].reshape(k, factors)
+        for b in blocks:
+            grad[0] += b.add_gradient(theta[0], w, v, grad[1 : k + 1], grad[k + 1 :].reshape(k, factors))
+        grad /= n
         grad[1:] += decay / n * theta[1:] * len(y) * 0.1
         m = 0.9 * m + 0.1 * grad
         v2 = 0.999 * v2 + 0.001 * grad**2
@@ -118,30 +157,23 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, terms: np.ndarray, factor
     return Machine(float(theta[0]), terms, theta[1 : k + 1].copy(), theta[k + 1 :].reshape(k, factors).copy())
 
 
-def _term_counts(among: np.ndarray | None):
-    """Partial (term, documents, toxic documents) of a task's rows that have a term of ``among``; EVERY stands for each of these rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = None if among is None else _Lookup(among)
-        for batch in batches:
-            hashes, label = [], []
-            for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lookup is not None and not len(lookup.places(text)):
-                    continue
-                mine = {h for w in words(text) for h in word_terms(w)}
-                mine.add(EVERY)
-                hashes.extend(mine)
-                label.extend([t] * len(mine))
-            if hashes:
-                terms, at = np.unique(np.array(hashes, dtype=np.int64), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at)), pa.array(np.bincount(at, np.array(label)).astype(np.int64))], names=["term", "n", "toxic"])
-
-    return run
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial (term, documents, toxic documents) of a task's rows; EVERY stands for each of these rows."""
+    for batch in batches:
+        hashes, label = [], []
+        for text, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            mine = {h for w in words(text) for h in word_terms(w)}
+            mine.add(EVERY)
+            hashes.extend(mine)
+            label.extend([t] * len(mine))
+        if hashes:
+            terms, at = np.unique(np.array(hashes, dtype=np.int64), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.bincount(at)), pa.array(np.bincount(at, np.array(label)).astype(np.int64))], names=["term", "n", "toxic"])
 
 
-def _differing(sample: DataFrame, among: np.ndarray | None = None) -> np.ndarray:
-    """Sorted hashes of the terms whose toxic share differs from that of all rows (that have a term of ``among``)."""
-    counts = sample.mapInArrow(_term_counts(among), "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+def _differing(sample: DataFrame) -> np.ndarray:
+    """Sorted hashes of the terms whose toxic share differs from that of all rows."""
+    counts = sample.mapInArrow(_term_counts, "term long, n long, toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     counts = stage(counts.where(F.col("n") >= MIN_DOCS), "toxicity-counts")
     every = counts.where(F.col("term") == EVERY).first()
     if every is None:
@@ -151,6 +183,50 @@ def _differing(sample: DataFrame, among: np.ndarray | None = None) -> np.ndarray
     return np.sort(np.array([r.term for r in counts.where(F.abs(z) >= MIN_Z).where(F.col("term") != EVERY).select("term").collect()], dtype=np.int64))
 
 
+def _beside(sample: DataFrame, linear: Machine) -> np.ndarray:
+    """Sorted hashes of the terms beside which, with one particular term of ``linear``, its residuals don't add up to about zero.
+
+    Only rows count of which ``linear`` isn't sure, whatever their label: by
+    ``UNSURE`` of variance.  A pair needs ``MIN_DOCS`` of them and a sum of
+    ``MIN_Z`` standard errors.
+    """
+    share = 1 / (1 + np.exp(-np.clip(linear.bias, -30, 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _Lookup(linear.terms)
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal held, size
+            pairs, at = np.unique(np.concatenate([h[0] for h in held]), axis=0, return_inverse=True)
+            n, e, v = (np.bincount(at.ravel(), np.concatenate([np.full(len(h[0]), h[i]) for h in held])) for i in (1, 2, 3))
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n), pa.array(e), pa.array(v)], names=["c", "t", "n", "e", "v"])
+
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = lookup.places(text)
+                if not len(at):
+                    continue
+                p = 1 / (1 + np.exp(-np.clip(linear.bias + linear.weights[at].sum(), -30, 30)))
+                if p * (1 - p) < UNSURE:
+                    continue
+                mine = np.array(sorted({h for w in words(text) for h in word_terms(w)}), dtype=np.int64)
+                for c in linear.terms[at]:
+                    held.append((np.column_stack([np.full(len(mine), c), mine]), 1.0, y - p, p * (1 - p)))
+                    size += len(mine)
+                    if size >= BLOCK:
+                        yield packed()
+        if held:
+            yield packed()
+
+    if not len(linear.terms) or not 0 < share < 1:
+        return np.zeros(0, np.int64)
+    sums = sample.mapInArrow(run, "c long, t long, n double, e double, v double").groupBy("c", "t").agg(*[F.sum(x).alias(x) for x in "nev"])
+    clear = sums.where((F.col("n") >= MIN_DOCS) & (F.abs("e") >= MIN_Z * F.sqrt("v"))).select("t").distinct()
+    return np.sort(np.array([r.t for r in stage(clear, "toxicity-beside").collect()], dtype=np.int64))
+
+
 class _Lookup:
     """From words to the places of their selected terms."""
 
@@ -176,7 +252,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Fit to ``labels`` (doc_id, toxic) on the whole texts of ``docs`` (doc_id, text).
 
     Rows with a null id or label are left out, repeated labels of a document
-    count once (the larger wins).  About ``max_labelled`` labels are used; that
+    count once (the larger wins), and so do copies of a text, which would make
+    any of its terms look telling.  About ``max_labelled`` labels are used; that
     bound is why they can be broadcast, and why their terms can be gathered.
     Without labels every score is one half; without terms, the toxic share.
     """
@@ -187,11 +264,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     if n > max_labelled:
         given = given.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) < int(1_000_003 * max_labelled / n))
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(given), "doc_id").select("text", "toxic")
-    sample = stage(sample, "toxicity-sample")
+    sample = stage(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
     if sample.isEmpty():
         return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     terms = _differing(sample)
-    terms = np.union1d(terms, _differing(sample, terms))
+    rows, y = _placed(sample, terms)
+    more = _beside(sample, fit_machine(rows, y, terms, factors=0))
+    if len(np.setdiff1d(more, terms)):
+        terms = np.union1d(terms, more)
+        rows, y = _placed(sample, terms)
+    return fit_machine(rows, y, terms)
+
+
+def _placed(sample: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows' places of ``terms`` and their labels, in a fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(terms)
@@ -200,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
             yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in at], pa.list_(pa.int32())), batch.column(1)], names=["at", "toxic"])
 
     rows = sorted((r.at, r.toxic) for r in sample.mapInArrow(run, "at array<int>, toxic int").collect())
-    return fit_machine([np.array(at, dtype=np.int64) for at, _ in rows], np.array([t for _, t in rows], dtype=float), terms)
+    return [np.array(at, dtype=np.int64) for at, _ in rows], np.array([t for _, t in rows], dtype=float)
 
 
 def score(docs: DataFrame, machine: Machine, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -209,11 +209,38 @@ def test_toxicity_of_a_term_that_says_nothing_alone(spark):
     sample = docs.join(labels, "doc_id").select("text", "toxic")
     alone = toxicity._differing(sample)
     group = toxicity._hash("groupword")
-    assert group not in alone and toxicity._hash("insultword") in alone and group in toxicity._differing(sample, alone)
+    linear = toxicity.fit_machine(*toxicity._placed(sample, alone), alone, factors=0)
+    assert group not in alone and toxicity._hash("insultword") in alone and group in toxicity._beside(sample, linear)
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
     assert np.mean([got[i] == y for i, t, y in rows if i in got and "insultword" in t]) > 0.95
 
 
+def test_toxicity_of_one_particular_partner(spark):
+    """A group decides beside one insult and, the other way round, beside another, so that beside any of them it says nothing."""
+    rng = random.Random(8)
+    kinds = [("firstword groupword", 1)] * 120 + [("firstword", 0)] * 120 + [("secondword groupword", 0)] * 120 + [("secondword", 1)] * 120 + [("groupword", 0)] * 150 + [("", 0)] * 500
+    rows = [(i, f"{prose(rng, 12)} {t}", y) for i, (t, y) in enumerate(kinds)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    sample = docs.join(labels, "doc_id").select("text", "toxic")
+    alone = toxicity._differing(sample)
+    docs_at, y = toxicity._placed(sample, alone)
+    linear = toxicity.fit_machine(docs_at, y, alone, factors=0)
+    sums = {}  # by brute force
+    for text, label in sample.collect():
+        mine = {h for w in toxicity.words(text) for h in toxicity.word_terms(w)}
+        at = [i for i, t in enumerate(alone.tolist()) if t in mine]
+        p = 1 / (1 + math.exp(-(linear.bias + sum(linear.weights[i] for i in at))))
+        for c in at if p * (1 - p) >= toxicity.UNSURE else []:
+            for t in mine:
+                n, e, v = sums.get((c, t), (0, 0, 0))
+                sums[c, t] = n + 1, e + label - p, v + p * (1 - p)
+    want = sorted({t for (_, t), (n, e, v) in sums.items() if n >= toxicity.MIN_DOCS and abs(e) >= toxicity.MIN_Z * v**0.5})
+    assert toxicity._beside(sample, linear).tolist() == want and toxicity._hash("groupword") in want
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).where("held_out").collect()}
+    assert np.mean([got[i] == y for i, t, y in rows if i in got and ("firstword" in t or "secondword" in t)]) > 0.95
+
+
 def test_language_by_brute_force(spark):
     """Letter by letter: bind, bundle, compare."""
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat sat", "en"), ("on the mat", "en"), ("der hund lief", "de"), ("im wald der", "de"), ("Été à", "fr"), (None, "en"), ("42", "de"), ("the dog", None)])]
