@@ -86,13 +86,18 @@ def expit(x: Column) -> Column:
     """Logistic function."""
     return 1 / (1 + F.exp(-x))
 
+def held(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """x within its bounds; null stays null (greatest and least would give the bound)."""
+    out = x if low is None else F.greatest(x, F.lit(low))
+    return F.when(x.isNotNull(), out if high is None else F.least(out, F.lit(high)))
+
 def softplus(x: Column) -> Column:
     """ln(1 + exp(x)), without overflow."""
-    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    return held(x, 0.0) + F.log1p(F.exp(-F.abs(x)))
 
 def clipped_exp(x: Column, bound: float = 30.0) -> Column:
     """exp with its argument held within the bound."""
-    return F.exp(F.least(F.greatest(x, F.lit(-bound)), F.lit(bound)))
+    return F.exp(held(x, -bound, bound))
 
 def lgamma(x: Column) -> Column:
     """ln of the gamma function for x >= 0.5 (Lanczos)."""
@@ -103,7 +108,7 @@ def lgamma(x: Column) -> Column:
 
 def binomial_loglik(x: Column, n: Column | float, p: Column) -> Column:
     """x ln p + (n - x) ln(1 - p), p held within 1e-7 of its ends."""
-    q = F.least(F.greatest(p, F.lit(1e-7)), F.lit(1 - 1e-7))
+    q = held(p, 1e-7, 1 - 1e-7)
     return x * F.ln(q) + (n - x) * F.ln(1 - q)
 
 def theta_local(beta: Column, sigma2, kappa, xi0, xi1, wr) -> Column:
@@ -115,7 +120,7 @@ def theta_pmom(beta: Column, sigma2, tau, xi0, xi1, wr, eps: float = 1e-6) -> Co
     """Inclusion probability under the product-moment slab."""
     s, t = (F.lit(v) if not isinstance(v, Column) else v for v in (sigma2, tau))
     b2 = beta * beta
-    return expit(F.ln(F.greatest(b2, F.lit(eps))) - 1.5 * F.ln(t) - F.ln(s) + b2 / (2 * s) * (1 - 1 / t) + xi0 + xi1 * wr)
+    return expit(F.ln(held(b2, eps)) - 1.5 * F.ln(t) - F.ln(s) + b2 / (2 * s) * (1 - 1 / t) + xi0 + xi1 * wr)
 
 def precision(theta: Column, kappa: Column | float) -> Column:
     """Prior precision of a coefficient with inclusion probability theta."""

@@ -100,12 +100,106 @@ def solve_lyapunov(a: np.ndarray, q: np.ndarray) -> np.ndarray:
     return p
 
 
+#: Where the two forms of the alternating series meet; sums of PG(1, c) are drawn for whole b up to WHOLE.
+_MEET, WHOLE = 0.64, 16
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _normal_cdf(x: np.ndarray) -> np.ndarray:
+    return 0.5 * _erfc(-x / math.sqrt(2)).astype(float)
+
+
+def _inverse_gaussian_below(z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Draws from the inverse Gaussian with mean 1 / z and shape 1, given that they are below ``_MEET``."""
+    out, left = np.zeros(len(z)), np.arange(len(z))
+    while len(left):
+        zz = z[left]
+        x = np.full(len(left), np.inf)
+        small = zz < 1 / _MEET
+        k = int(small.sum())
+        # a mean above the bound: the z = 0 law below the bound, tilted by rejection
+        e, f = rng.exponential(size=k), rng.exponential(size=k)
+        tried = np.where(e * e <= 2 * f / _MEET, _MEET / (1 + _MEET * e) ** 2, np.inf)
+        tried[~(rng.random(k) <= np.exp(-0.5 * zz[small] ** 2 * np.where(np.isfinite(tried), tried, 0)))] = np.inf
+        x[small] = tried
+        # else the law itself, by its root
+        mu = 1 / zz[~small]
+        y = rng.standard_normal(len(mu)) ** 2
+        root = mu + 0.5 * mu * mu * y - 0.5 * mu * np.sqrt(4 * mu * y + (mu * y) ** 2)
+        x[~small] = np.where(rng.random(len(mu)) > mu / (mu + root), mu * mu / root, root)
+        good = x < _MEET
+        out[left[good]] = x[good]
+        left = left[~good]
+    return out
+
+
+def _series_term(n: int, x: np.ndarray) -> np.ndarray:
+    h = math.pi * (n + 0.5)
+    return np.where(x > _MEET, h * np.exp(-0.5 * h * h * x), h * (2 / (math.pi * x)) ** 1.5 * np.exp(-2 * (n + 0.5) ** 2 / x))
+
+
+def polya_gamma_one(c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Exact draws from PG(1, c): a two-piece proposal, accepted by bounds of the density's alternating series."""
+    z = np.abs(np.asarray(c, float)).ravel() / 2
+    rate = math.pi**2 / 8 + z * z / 2
+    above = math.pi / (2 * rate) * np.exp(-rate * _MEET)
+    root, zz = math.sqrt(1 / _MEET), np.minimum(z, 300.0)
+    below = 2 * (np.exp(-z) * _normal_cdf(root * (_MEET * z - 1)) + np.exp(zz) * _normal_cdf(-root * (_MEET * zz + 1)))
+    share = above / (above + below)
+    out, left = np.zeros(len(z)), np.arange(len(z))
+    while len(left):
+        far = rng.random(len(left)) < share[left]
+        x = np.empty(len(left))
+        x[far] = _MEET + rng.exponential(size=int(far.sum())) / rate[left[far]]
+        x[~far] = _inverse_gaussian_below(z[left[~far]], rng)
+        total = _series_term(0, x)
+        bar = rng.random(len(left)) * total
+        accepted, undecided, n = np.zeros(len(left), bool), np.ones(len(left), bool), 0
+        while undecided.any():
+            n += 1
+            total = total + (-1) ** n * _series_term(n, x)
+            if n % 2:
+                accepted |= undecided & (bar <= total)
+                undecided &= bar > total
+            else:
+                undecided &= bar <= total
+        out[left[accepted]] = x[accepted] / 4
+        left = left[~accepted]
+    return out.reshape(np.shape(c))
+
+
+def _polya_gamma_series(b: np.ndarray, c: np.ndarray, rng: np.random.Generator, terms: int) -> np.ndarray:
+    """The first terms of the series of gamma variables; the rest is one gamma variable of its mean and variance."""
+    a = np.abs(c) / (2 * math.pi)
+    k = np.arange(1, terms + 1) - 0.5
+    draw = (rng.gamma(np.maximum(b, 1e-12)[..., None], 1.0, (*b.shape, terms)) / (k**2 + a[..., None] ** 2)).sum(-1)
+    # sums over the terms left out are integrals by the midpoint rule, with its first correction
+    t, q = float(terms), (a / terms) ** 2
+    safe = np.maximum(a, 1e-9)
+    turn = np.arctan(safe / t)
+    series = [sum((-1) ** j * w(j) * q**j for j in range(16)) for w in (lambda j: 1 / (2 * j + 1), lambda j: (j + 1) / (2 * j + 3))]
+    one = np.where(q < 0.1, series[0] / t, turn / safe)
+    two = np.where(q < 0.1, series[1] / t**3, (turn - safe * t / (t * t + safe**2)) / (2 * safe**3))
+    mean = b * (one - t / 12 / (t * t + a * a) ** 2)
+    var = b * (two - t / 6 / (t * t + a * a) ** 3)
+    return (draw + rng.gamma(np.maximum(mean * mean / var, 1e-12)) * var / mean) / (2 * math.pi**2)
+
+
 def polya_gamma(b: np.ndarray, c: np.ndarray, rng: np.random.Generator, terms: int = 64) -> np.ndarray:
-    """Draws from PG(b, c) by its series of gamma variables; the rest of the series is replaced by its mean."""
+    """Draws from PG(b, c), b > 0.
+
+    Whole b up to ``WHOLE`` are sums of exact PG(1, c) draws.  For any other b
+    the series of gamma variables is drawn for ``terms`` terms, and what is left
+    of it, a share of about 1e-5 of the variance, as a gamma variable with its
+    very mean and variance.
+    """
     b, c = np.broadcast_arrays(np.asarray(b, float), np.asarray(c, float))
-    k = np.arange(1, terms + 1) - 0.5
-    denominator = k**2 + (c[..., None] / (2 * math.pi)) ** 2
-    draw = (rng.gamma(np.maximum(b, 1e-12)[..., None], 1.0, (*b.shape, terms)) / denominator).sum(-1) / (2 * math.pi**2)
-    half = np.abs(c) / 2
-    mean = np.where(half > 1e-6, np.tanh(half) / np.maximum(2 * np.abs(c), 1e-12), 0.25)
-    return draw + b * np.maximum(mean - (1 / denominator).sum(-1) / (2 * math.pi**2), 0)
+    whole = (b == np.floor(b)) & (b <= WHOLE) & (b > 0)
+    out = np.zeros(b.shape)
+    for n in np.unique(b[whole]).astype(int):
+        at = whole & (b == n)
+        out[at] = polya_gamma_one(np.repeat(c[at], n), rng).reshape(-1, n).sum(1)
+    if not whole.all():
+        out[~whole] = _polya_gamma_series(b[~whole], c[~whole], rng, terms)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkslab.functions.exprs import ndtr, squared_distance
-from sparkslab.operators.sweep import gaps
+from sparkslab.operators.sweep import gaps, running
 
 #: Distances in bandwidths beyond which a double's exp(-d * d / 2), or exp(-d), is zero.
 GAUSS_REACH, EXP_REACH = 39.0, 746.0
@@ -44,18 +44,24 @@ def extent_affinity(features: DataFrame, groups: DataFrame, bandwidth: float | s
         widest, phi = bandwidth, F.lit(float(bandwidth))
     if widest <= 0:
         return _nothing(features, groups)
-    width, reach = window_sigma * widest, window_sigma * phi
-    s, mid = F.col("s"), (F.col("l") + F.col("r")) / 2
+    width = window_sigma * widest
+    # only what is needed, by names of our own: either side may have columns of any name
+    features = features.select("feature_id", F.col("s").cast("double").alias("_s"), phi.alias("_phi"))
+    groups = groups.select("group_id", F.col("l").cast("double").alias("_l"), F.col("r").cast("double").alias("_r"), ((F.col("l") + F.col("r")) / 2).alias("_mid"))
+    phi = F.col("_phi")
+    reach, s = window_sigma * phi, F.col("_s")
     if prune == "midpoint":
-        pairs = _band(features, s, groups.withColumn("mid", mid), F.col("mid"), width).where((F.col("mid") >= s - reach) & (F.col("mid") <= s + reach))
+        pairs = _band(features, s, groups, F.col("_mid"), width).where((F.col("_mid") >= s - reach) & (F.col("_mid") <= s + reach))
     else:
-        tiles = groups.withColumn("_b", F.explode(F.sequence(F.floor((F.col("l") - width) / width), F.floor((F.col("r") + width) / width))))
-        pairs = features.withColumn("_b", F.floor(s / width)).join(tiles, "_b").where((F.col("r") >= s - reach) & (F.col("l") <= s + reach))
-    return pairs.select("feature_id", "group_id", (ndtr((F.col("r") - s) / phi) - ndtr((F.col("l") - s) / phi)).alias("a"))
+        tiles = groups.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_l") - width) / width), F.floor((F.col("_r") + width) / width))))
+        pairs = features.withColumn("_b", F.floor(s / width)).join(tiles, "_b").where((F.col("_r") >= s - reach) & (F.col("_l") <= s + reach))
+    return pairs.select("feature_id", "group_id", (ndtr((F.col("_r") - s) / phi) - ndtr((F.col("_l") - s) / phi)).alias("a"))
 
 
 def point_affinity(features: DataFrame, groups: DataFrame, bandwidth: float) -> DataFrame:
     """(feature_id, group_id, a): exp(-|f - c|^2 / (2 phi^2)) of arrays f and c; pairs that underflow are left out."""
+    if bandwidth <= 0:
+        return _nothing(features, groups)
     reach = GAUSS_REACH * bandwidth
     pairs = _band(features, F.col("f")[0].cast("double"), groups, F.col("c")[0].cast("double"), reach)
     a = F.exp(-0.5 * squared_distance(F.col("f"), F.col("c")) / (bandwidth * bandwidth))
@@ -71,6 +77,39 @@ def causal_affinity(features: DataFrame, groups: DataFrame, bandwidth: float) ->
     return pairs.select("feature_id", "group_id", F.exp(-(t - r) / bandwidth).alias("a")).where("a > 0")
 
 
+#: Decays of one piece of time: its sums of e^(r / phi) stay far from a double's limits.
+PIECE = 300.0
+
+
+def causal_relevance(features: DataFrame, groups: DataFrame, bandwidth: float, normalize: bool = True) -> DataFrame:
+    """(feature_id, wr): ``contract`` over ``causal_affinity`` without its pairs.
+
+    Time is cut into pieces of ``PIECE`` bandwidths.  Inside a piece the groups'
+    relevance times e^((r - start) / phi) is a running sum, in range buckets; of
+    the pieces before, up to where the kernel underflows, one total each goes on.
+    So work is in proportion to features and groups, however many ended before.
+    Rows without a time have no part in sums; such a feature gets 0.
+    """
+    if bandwidth <= 0:
+        return contract(features, _nothing(features, groups), groups, normalize)
+    width = PIECE * bandwidth
+    fresh = "_causal_"
+    points = features.select(F.lit(True).alias("_feature"), F.col("feature_id").alias("_id"), F.col("t").cast("double").alias("_at"), F.lit(0.0).alias("_w"))
+    sources = groups.where("r is not null").select(F.lit(False).alias("_feature"), F.lit(None).cast(points.schema["_id"].dataType).alias("_id"), F.col("r").cast("double").alias("_at"), F.coalesce(F.col("relevance").cast("double"), F.lit(1.0)).alias("_w"))
+    both = points.where("_at is not null").unionByName(sources).withColumn("_piece", F.floor(F.col("_at") / width))
+    inside = F.col("_w") * F.exp((F.col("_at") - F.col("_piece") * width) / bandwidth)
+    summed = running(both, "_at", {fresh: inside}, ["_piece"]).where("_feature")
+    # each piece's total, as it is at the piece's end, is seen from the next ones
+    totals = both.where(~F.col("_feature")).groupBy("_piece").agg(F.sum(F.col("_w") * F.exp((F.col("_at") - (F.col("_piece") + 1) * width) / bandwidth)).alias("_total"))
+    seen = totals.select(F.col("_piece").alias("_from"), "_total", F.explode(F.array(*[F.col("_piece") + k for k in range(1, int(EXP_REACH // PIECE) + 2)])).alias("_piece"))
+    seen = seen.groupBy("_piece").agg(F.sum(F.col("_total") * F.exp((F.col("_from") + 1 - F.col("_piece")) * PIECE)).alias("_before"))
+    since = (F.col("_at") - F.col("_piece") * width) / bandwidth
+    sums = summed.join(seen, "_piece", "left").select(F.col("_id").alias("feature_id"), (F.exp(-since) * (F.col(fresh) + F.coalesce("_before", F.lit(0.0)))).alias("wr"))
+    nowhere = features.where("t is null").select("feature_id", F.lit(0.0).alias("wr"))
+    out = sums.unionByName(nowhere)
+    return largest_is_one(out) if normalize else out
+
+
 def graph_affinity(edges: DataFrame, bandwidth: float) -> DataFrame:
     """(src, dst, a): exp(-d / phi) along given edges."""
     return edges.select("src", "dst", F.exp(-F.col("d") / bandwidth).alias("a"))
@@ -113,8 +152,11 @@ def contract(features: DataFrame, pairs: DataFrame, groups: DataFrame, normalize
     weighed = pairs.join(groups.select("group_id", F.coalesce(F.col("relevance"), F.lit(1.0)).alias("rel")), "group_id")
     sums = weighed.groupBy("feature_id").agg(F.sum(F.col("a") * F.col("rel")).alias("wr"))
     out = features.select("feature_id").join(sums, "feature_id", "left").select("feature_id", F.coalesce("wr", F.lit(0.0)).alias("wr"))
-    if not normalize:
-        return out
+    return largest_is_one(out) if normalize else out
+
+
+def largest_is_one(out: DataFrame) -> DataFrame:
+    """(feature_id, wr) divided by the largest if that is above 0."""
     top = out.agg(F.max("wr").alias("top"))
     return out.join(F.broadcast(top)).select("feature_id", F.when(F.col("top") > 0, F.col("wr") / F.col("top")).otherwise(F.col("wr")).alias("wr"))
 
@@ -158,7 +200,7 @@ def resolve_affinity(kind: str, features: DataFrame, groups: DataFrame | None =
     if kind == "graph":
         if edges is None:
             raise ValueError("affinity kind 'graph' needs edges")
-        phi = bandwidth if bandwidth is not None else float(edges.where("d > 0").agg(F.median("d")).first()[0])
+        phi = bandwidth if bandwidth is not None else float(edges.where("d > 0").agg(F.median("d")).first()[0] or 1.0)
         pairs = graph_affinity(edges, phi).select(F.col("src").alias("feature_id"), F.col("dst").alias("group_id"), "a")
     else:
         maker = {"gaussian": extent_affinity, "points": point_affinity, "causal": causal_affinity}.get(kind)
@@ -169,5 +211,7 @@ def resolve_affinity(kind: str, features: DataFrame, groups: DataFrame | None =
             raise ValueError("point affinity needs a bandwidth")
         if bandwidth is None:
             bandwidth = fit_bandwidth(correlation_pairs(features, correlations, coord)) if correlations is not None else auto_bandwidth(features, coord)
+        if kind == "causal":
+            return causal_relevance(features, groups, bandwidth, normalize)
         pairs = maker(features, groups, bandwidth)
     return contract(features, pairs, groups, normalize)

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkslab.functions.exprs import lgamma, ndtr, ndtri
-from sparkslab.operators.sweep import group_key, neighbours, running
+from sparkslab.functions.exprs import held, lgamma, ndtr, ndtri
+from sparkslab.operators.sweep import AFTER, BEFORE, group_key, neighbours, running
 
 EPS = 1e-6
 #: Counts up to which the table of their probabilities is broadcast.
@@ -16,7 +16,7 @@ BROADCAST_COUNTS = 100_000
 
 
 def _held(u: Column) -> Column:
-    return F.least(F.greatest(u, F.lit(EPS)), F.lit(1 - EPS))
+    return held(u, EPS, 1 - EPS)
 
 
 def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def to_gaussian_empirical(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
-    """``df`` with z: the normal score of each value's Hazen rank (ties take their highest), for each ``by``.
+    """``df`` with z (replaced if there is one): the normal score of each value's Hazen rank (ties take their highest), for each ``by``.
 
     Ranks come from the distinct values' counts, summed in range buckets, and
     the rows are joined back; a null value has no score.
@@ -36,7 +36,7 @@ def to_gaussian_empirical(df: DataFrame, value: str = "v", by: list[str] | None
     by = by or []
     scored = _counted(df, value, by).select(group_key(by).alias("_g"), F.col(value).alias("_value"), ndtri(_held((F.col("upto") - 0.5) / F.col("n"))).alias("z"))
     keyed = df.withColumn("_g", group_key(by))
-    return keyed.join(scored, (keyed["_g"] == scored["_g"]) & (keyed[value] == scored["_value"]), "left").select(*[keyed[c] for c in df.columns], "z")
+    return keyed.join(scored, (keyed["_g"] == scored["_g"]) & (keyed[value] == scored["_value"]), "left").select(*[keyed[c] for c in df.columns if c != "z"], scored["z"])
 
 
 def ecdf(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
@@ -45,8 +45,8 @@ def ecdf(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFr
     return _counted(df, value, by).select(*by, value, ((F.col("upto") - F.col("c") + 0.5) / F.col("n")).alias("u_low"), ((F.col("upto") - 0.5) / F.col("n")).alias("u_high"))
 
 
-def interpolate(queries: DataFrame, knots: DataFrame, at: str, x: str, low: str, high: str, by: list[str] | None = None) -> DataFrame:
-    """``queries`` with u: linear between the neighbouring knots, held at the ends; null without knots.
+def interpolate(queries: DataFrame, knots: DataFrame, at: str, x: str, low: str, high: str, by: list[str] | None = None, out: str = "u") -> DataFrame:
+    """``queries`` with ``out`` (replaced if there is one): linear between the neighbouring knots, held at the ends; null without knots or place.
 
     An exact hit and a left knot give their ``high`` value, a right knot its
     ``low``: what linear interpolation over repeated knots gives.
@@ -55,30 +55,31 @@ def interpolate(queries: DataFrame, knots: DataFrame, at: str, x: str, low: str,
     number = lambda c, name: F.col(c).cast("double").alias(name)
     k = knots.select(*by, number(x, "x"), F.struct(number(x, "x"), number(low, "lo"), number(high, "hi")).alias("k"))
     found = neighbours(queries, at, k, by)
-    place = F.col(at).cast("double")
-    part = (place - F.col("a.x")) / (F.col("b.x") - F.col("a.x"))
-    u = F.when(F.col("a").isNull(), F.col("b.lo")).when(F.col("b").isNull() | (F.col("a.x") == place), F.col("a.hi")).otherwise(F.col("a.hi") + part * (F.col("b.lo") - F.col("a.hi")))
-    return found.withColumn("u", F.when(place.isNotNull(), u)).drop("a", "b")
+    place, a, b = F.col(at).cast("double"), F.col(BEFORE), F.col(AFTER)
+    part = (place - a["x"]) / (b["x"] - a["x"])
+    u = F.when(a.isNull(), b["lo"]).when(b.isNull() | (a["x"] == place), a["hi"]).otherwise(a["hi"] + part * (b["lo"] - a["hi"]))
+    return found.select(*[F.col(f"`{c}`") for c in queries.columns if c != out], F.when(place.isNotNull(), u).alias(out))
 
 
 def to_gaussian(queries: DataFrame, train: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
-    """New values on the training sample's normal scale, as column z."""
-    out = interpolate(queries, ecdf(train, value, by), value, value, "u_low", "u_high", by)
-    return out.withColumn("z", ndtri(_held(F.col("u")))).drop("u")
+    """New values on the training sample's normal scale, as column z (replaced if there is one); null stays null."""
+    out = interpolate(queries, ecdf(train, value, by), value, value, "u_low", "u_high", by, out="_rank")
+    return out.withColumn("z", ndtri(_held(F.col("_rank")))).drop("_rank")
 
 
 def from_gaussian(queries: DataFrame, train: DataFrame, z: str = "z", value: str = "v", by: list[str] | None = None) -> DataFrame:
-    """Normal-scale values back on the training sample's scale, as column x."""
+    """Normal-scale values back on the training sample's scale, as column x (replaced if there is one)."""
     e = ecdf(train, value, by)
     ends = e.select(*(by or []), value, F.explode(F.array_distinct(F.array("u_low", "u_high"))).alias("_u"))
-    out = interpolate(queries.withColumn("_p", ndtr(F.col(z))), ends, "_p", "_u", value, value, by)
-    return out.withColumnRenamed("u", "x").drop("_p")
+    return interpolate(queries.withColumn("_p", ndtr(F.col(z))), ends, "_p", "_u", value, value, by, out="x").drop("_p")
 
 
 def fit_parametric(df: DataFrame, family: str, value: str = "v") -> dict[str, float]:
     """Parameters of a family from one pass: moments for counts, maximum likelihood for the rest."""
     v = F.col(value).cast("double")
     s = df.where(v.isNotNull()).agg(F.avg(v).alias("m"), F.var_pop(v).alias("s2"), F.max(v).alias("top"), F.min(v).alias("low"), F.avg(F.when(v > 0, F.ln(v))).alias("lm"), F.var_pop(F.when(v > 0, F.ln(v))).alias("ls2")).first()
+    if s.m is None:
+        raise ValueError("no value to fit a marginal to")
     if family == "poisson":
         return {"mu": max(s.m, 1e-6)}
     if family == "nbinom":
@@ -113,6 +114,7 @@ def log_pmf(k: Column, family: str, p: dict[str, float]) -> Column:
 def parametric_scores(df: DataFrame, family: str, p: dict[str, float], value: str = "v", jitter: str | None = None, support: int | None = None) -> DataFrame:
     """``df`` with z under fitted parameters; counts need a ``jitter`` column in 0..1.
 
+    A null has no score, nor has what isn't a count where counts are asked for.
     A count's distribution function is summed over a table of the counts up to
     the largest seen, which is broadcast up to ``BROADCAST_COUNTS`` rows and
     joined by a shuffle beyond.

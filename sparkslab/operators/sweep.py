@@ -56,8 +56,12 @@ def gaps(df: DataFrame, value: str) -> DataFrame:
     return rows.select((F.col("after") - F.col("v")).alias("gap")).where("gap is not null")
 
 
+#: What ``neighbours`` calls the two knots.
+BEFORE, AFTER = "_knot_before", "_knot_after"
+
+
 def neighbours(queries: DataFrame, at: str, knots: DataFrame, by: list[str]) -> DataFrame:
-    """``queries`` with a and b: the group's last knot at or before ``at``, and the first at or after it.
+    """``queries`` with BEFORE and AFTER: the group's last knot at or before ``at``, and the first at or after it.
 
     ``knots`` has the ``by`` columns, x and k (a struct that begins with x).
     """
@@ -75,4 +79,4 @@ def neighbours(queries: DataFrame, at: str, knots: DataFrame, by: list[str]) ->
     right = Window.partitionBy("_g", "_bucket").orderBy(F.desc("_at"), F.col("_k").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("_a", F.last("_k", ignorenulls=True).over(left)).withColumn("_b", F.last("_k", ignorenulls=True).over(right)).where("_row is not null")
     out = near.join(carried, ["_g", "_bucket"])
-    return out.select("_row.*", F.coalesce("_a", "_before").alias("a"), F.coalesce("_b", "_after").alias("b"))
+    return out.select("_row.*", F.coalesce("_a", "_before").alias(BEFORE), F.coalesce("_b", "_after").alias(AFTER))

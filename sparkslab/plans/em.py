@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkslab.functions.linalg import EigenSurrogate, effective_rank, minimize, woodbury_solve
-from sparkslab.operators.suffstats import Moments, from_summary, matrix, moments, weighted_rows
+from sparkslab.operators.suffstats import Moments, from_summary, matrix, moments, weighted_rows, whole_rows
 
 
 @dataclass(frozen=True)
@@ -163,7 +163,7 @@ def negbin_r(rows: DataFrame, beta: np.ndarray, bounds: tuple[float, float] = (1
                         total[k] += np.sum(gammas[at] - r * np.log1p(mu / r) + y * (np.log(np.maximum(mu, 1e-300)) - np.log(r + mu)))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-        found = {x.i: x.v for x in rows.select("y", "x", "off").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        found = {x.i: x.v for x in whole_rows(rows).select("y", "x", F.coalesce("off", F.lit(0.0)).alias("off")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
         ll = np.array([found[i] for i in range(len(grid))])
         best = int(ll.argmax())
         low, high = grid[max(0, best - 1)], grid[min(len(grid) - 1, best + 1)]
@@ -261,11 +261,11 @@ def em_filter_gaussian(m: Moments, wr: np.ndarray, prior: Prior = Prior(), tau:
     def held_out(idx, fitted):
         loss = 0.0
         for part in folds.values():
-            f = em_gaussian(m.minus(part).take(idx), wr[idx], prior, beta=fitted.beta, sigma2=fitted.sigma2, sigma_y2=fitted.sigma_y2)
+            f = em_gaussian(m.minus(part).take(idx), wr[idx], prior, tau=tau, beta=fitted.beta, sigma2=fitted.sigma2, sigma_y2=fitted.sigma_y2)
             loss += part.take(idx).ssr(f.beta) + part.n * f.sigma_y2
         return loss
 
-    return em_filter(fit, len(wr), 2 * m.n * var, score=held_out if folds and tau is None else None, **how)
+    return em_filter(fit, len(wr), 2 * m.n * var, score=held_out if folds else None, **how)
 
 
 def em_filter_glm(rows: DataFrame, wr: np.ndarray, family: str, prior: Prior = Prior(), r: float = 10.0, folds: str | None = None, n_folds: int = 5, **how) -> Fit:

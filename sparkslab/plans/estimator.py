@@ -156,7 +156,7 @@ class SlabEstimator:
             raise ValueError("rank and firth have no effect on Binomial latents")
         if method == "joint" and not discrete:
             raise ValueError("the joint method needs Binomial latents")
-        unused = {"cv_folds": not (gaussian and method == "em_filter"), "rank": method == "gibbs" or (not gaussian and method == "em_filter"), "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
+        unused = {"cv_folds": method != "em_filter", "rank": not gaussian and method == "em_filter", "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
         for name, idle in unused.items():
             if idle and getattr(self, name):
                 raise ValueError(f"{name} has no effect on a {self.family} response by {method}")
@@ -228,18 +228,21 @@ class SlabEstimator:
         outer = {"filter_frac": self.filter_frac, "min_features": self.min_features, "max_outer": self.max_outer, "patience": self.patience}
         if self.family == "gaussian":
             m = moments(design)
+            if self.fit_method == "gibbs":
+                return self._from_draws(gibbs.gibbs_gaussian(m, wr, prior, self.n_samples, self.burn_in, self.thin, self.random_state, rank=self.rank))
             if self.rank:
                 m, self.rank_error_ = truncate(m, self.rank)
             if self.fit_method == "em_filter":
                 folds = moments(design.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(self.cv_folds))), by="fold") if self.cv_folds else None
                 return em.em_filter_gaussian(m, wr, prior, tau=self.tau, folds=folds, **outer)
-            if self.fit_method == "gibbs":
-                return self._from_draws(gibbs.gibbs_gaussian(m, wr, prior, self.n_samples, self.burn_in, self.thin, self.random_state))
             return em.em_gaussian(m, wr, prior, tau=self.tau)
         if self.fit_method == "em_filter":
-            return em.em_filter_glm(design, wr, self.family, prior, self.r_init, **outer)
+            folds = {"folds": "_fold", "n_folds": self.cv_folds} if self.cv_folds else {}
+            if folds:
+                design = design.withColumn("_fold", F.pmod(F.xxhash64("row_id"), F.lit(self.cv_folds)))
+            return em.em_filter_glm(design, wr, self.family, prior, self.r_init, **folds, **outer)
         if self.fit_method == "gibbs":
-            return self._from_draws(gibbs.gibbs_glm(design, wr, self.family, prior, self.n_samples, self.burn_in, self.thin, self.random_state, self.r_init))
+            return self._from_draws(gibbs.gibbs_glm(design, wr, self.family, prior, self.n_samples, self.burn_in, self.thin, self.random_state, self.r_init, rank=self.rank))
         vectors = right_vectors(moments(design), self.rank) if self.rank else None
         return em.em_glm(design, wr, self.family, prior, r=self.r_init, firth=self.firth, vectors=vectors)
 

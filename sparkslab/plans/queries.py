@@ -113,6 +113,17 @@ def affinity_causal(spark: SparkSession, d: str) -> DataFrame:
     return rounded(affinity.causal_affinity(f, g, 24.0), "a")
 
 
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) / 3600000000 AS t, value FROM events),
+a AS (SELECT f.event_id AS feature_id, sum(g.value * exp(-(f.t - g.t) / 6)) AS wr FROM e f JOIN e g ON g.t <= f.t AND g.t >= f.t - 6 * 746 WHERE g.event_type = 'purchase' GROUP BY 1),
+w AS (SELECT event_id AS feature_id, coalesce(wr, 0) AS wr FROM e LEFT JOIN a ON event_id = feature_id)
+SELECT feature_id, round(wr / (SELECT max(wr) FROM w), 6) + 0.0 AS wr FROM w""")
+def relevance_causal(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's relevance by the purchases before it, decaying over hours, by running sums."""
+    e = table(spark, d, "events").select("event_id", "event_type", (seconds("ts") / 3600).alias("t"), "value")
+    g = e.where("event_type = 'purchase'").select(F.col("event_id").alias("group_id"), F.col("t").alias("r"), F.col("value").alias("relevance"))
+    return rounded(affinity.resolve_affinity("causal", e.select(F.col("event_id").alias("feature_id"), "t"), g, 6.0), "wr")
+
+
 _DISTANCES = f"{_CENTROIDS}, d AS (SELECT a.label AS src, b.label AS dst, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM c a JOIN c b ON a.k = b.k AND a.label < b.label GROUP BY 1, 2)"
 
 
@@ -814,6 +825,14 @@ def gibbs_gaussian(spark: SparkSession, d: str) -> DataFrame:
     return _posterior(spark, gibbs.gibbs_gaussian(suffstats.moments(_vectors(spark, d)), np.zeros(64), _PRIOR, seed=1))
 
 
+@query()
+def gibbs_gaussian_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior inclusion of 64 dimensions in the rank-16 design, by l-by-l draws."""
+    rows = _vectors(spark, d)
+    m = suffstats.moments(rows)
+    return _posterior(spark, gibbs.gibbs_gaussian(m, np.zeros(len(m.xty) - 1), _PRIOR, n_samples=500, burn_in=100, seed=1, rank=16))
+
+
 @query()
 def gibbs_bernoulli(spark: SparkSession, d: str) -> DataFrame:
     """Quality on length with Polya-Gamma variables."""

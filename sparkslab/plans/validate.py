@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkslab.operators.suffstats import Moments, matrix
+from sparkslab.functions.exprs import clipped_exp, held
+from sparkslab.operators.suffstats import Moments, matrix, whole_rows
 
 
 def with_folds(df: DataFrame, k: int, seed: int = 0, stratify: str | None = None, order: str | None = None) -> DataFrame:
@@ -95,7 +96,8 @@ def bootstrap_moments(rows: DataFrame, n_boot: int, seed: int = 0) -> list[Momen
     """Moments of ``n_boot`` Poisson(1) resamples of wide rows (row_id, y, x), all from one pass.
 
     A row's weights come from its row_id and the seed, so results don't depend
-    on partitions, and rows with unlike ids have unlike weights.  (Poisson weights vary
+    on partitions, and rows with unlike ids have unlike weights.  Rows with a
+    null id, y, x or element of x are left out.  (Poisson weights vary
     the sample's size.)
     """
 
@@ -114,7 +116,7 @@ def bootstrap_moments(rows: DataFrame, n_boot: int, seed: int = 0) -> list[Momen
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["i", "v"])
 
-    found = {r.i: r.v for r in rows.select("row_id", "y", "x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    found = {r.i: r.v for r in whole_rows(rows.where("row_id is not null")).select("row_id", "y", "x").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     flat = np.array([found[i] for i in range(len(found))]).reshape(n_boot, -1)
     p = int(np.sqrt(flat.shape[1]))
     return [Moments(z[0, 0], z[:-1, :-1], z[:-1, -1], float(z[-1, -1])) for z in flat.reshape(n_boot, p, p)]
@@ -176,7 +178,7 @@ def eta_sd(x: Column, cov: np.ndarray) -> Column:
     one = F.concat(F.array(F.lit(1.0)), x)
     rows = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in cov])
     inner = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda u, v: u + v)
-    return F.sqrt(F.greatest(inner(one, F.transform(rows, lambda r: inner(r, one))), F.lit(0.0)))
+    return F.sqrt(held(inner(one, F.transform(rows, lambda r: inner(r, one))), 0.0))
 
 
 def predict_interval(rows: DataFrame, beta: np.ndarray, cov: np.ndarray, link: str = "identity", ci: float = 0.95, points: int = 20) -> DataFrame:
@@ -186,11 +188,11 @@ def predict_interval(rows: DataFrame, beta: np.ndarray, cov: np.ndarray, link: s
     deviation is by Gauss-Hermite quadrature, with no random numbers.
     """
     z = NormalDist().inv_cdf((1 + ci) / 2)
-    g = {"identity": lambda e: e, "logit": lambda e: 1 / (1 + F.exp(-e)), "log": lambda e: F.exp(F.least(F.greatest(e, F.lit(-30.0)), F.lit(30.0)))}[link]
+    g = {"identity": lambda e: e, "logit": lambda e: 1 / (1 + F.exp(-e)), "log": clipped_exp}[link]
     out = rows.withColumn("_eta", linear(F.col("x"), beta)).withColumn("_sd", eta_sd(F.col("x"), cov))
     nodes, weights = np.polynomial.hermite_e.hermegauss(points)
     weights = weights / weights.sum()
     at = [g(F.col("_eta") + float(t) * F.col("_sd")) for t in nodes]
     first = sum((float(w) * v for w, v in zip(weights, at, strict=True)), F.lit(0.0))
     second = sum((float(w) * v * v for w, v in zip(weights, at, strict=True)), F.lit(0.0))
-    return out.select(*rows.columns, g(F.col("_eta")).alias("mean"), F.sqrt(F.greatest(second - first * first, F.lit(0.0))).alias("std"), g(F.col("_eta") - z * F.col("_sd")).alias("lower"), g(F.col("_eta") + z * F.col("_sd")).alias("upper"))
+    return out.select(*rows.columns, g(F.col("_eta")).alias("mean"), F.sqrt(held(second - first * first, 0.0)).alias("std"), g(F.col("_eta") - z * F.col("_sd")).alias("lower"), g(F.col("_eta") + z * F.col("_sd")).alias("upper"))

@@ -4,6 +4,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkslab.functions import exprs, linalg
@@ -50,3 +51,32 @@ def test_lyapunov_and_minimum():
     p = linalg.solve_lyapunov(a, q)
     assert np.allclose(p, a @ p @ a.T + q)
     assert abs(linalg.minimize(lambda x: (x - 1.3) ** 2, -5, 5) - 1.3) < 1e-4
+
+
+@pytest.mark.parametrize("b", [0.3, 0.7, 1.0, 2.0, 2.5, 7.0, 13.2, 40.0, 200.0])
+def test_polya_gamma_moments(b):
+    n = 60_000
+    for c in (0.0, 0.4, 3.0, 12.0, 90.0):
+        w = linalg.polya_gamma(np.full(n, b), np.full(n, c), np.random.default_rng(int(10 * b + c)))
+        mean = b / 4 if c == 0 else b * math.tanh(c / 2) / (2 * c)
+        var = b / 24 if c == 0 else b * (math.tanh(c / 2) / (2 * c**3) - 1 / (4 * c**2 * math.cosh(c / 2) ** 2))
+        assert w.min() > 0 and abs(w.mean() - mean) < 5 * math.sqrt(var / n), (b, c)
+        spread = np.mean((w - w.mean()) ** 4) / w.var() ** 2 - 1  # of the sample variance, by the fourth moment
+        assert abs(w.var() / var - 1) < 6 * math.sqrt(spread / n), (b, c)
+
+
+def test_polya_gamma_exact_and_series_have_one_law():
+    rng, n = np.random.default_rng(3), 40_000
+    for c in (0.0, 1.5, 8.0):
+        exact = np.sort(linalg.polya_gamma_one(np.full(n, c), rng))
+        series = np.sort(linalg._polya_gamma_series(np.ones(n), np.full(n, c), rng, 200))
+        both = np.concatenate([exact, series])
+        gap = np.abs(np.searchsorted(exact, both, side="right") - np.searchsorted(series, both, side="right")).max() / n
+        assert gap < 1.95 * math.sqrt(2 / n)  # Kolmogorov and Smirnov, one in a thousand
+
+
+def test_nulls_stay_null(spark):
+    df = spark.createDataFrame([(None,), (0.5,)], "x double")
+    row = df.where("x is null").select(exprs.held(F.col("x"), 0.0, 1.0).alias("a"), exprs.softplus(F.col("x")).alias("b"), exprs.clipped_exp(F.col("x")).alias("c"), exprs.binomial_loglik(F.lit(1.0), 2.0, F.col("x")).alias("d"), exprs.theta_pmom(F.col("x"), 1.0, 1.0, 0.0, 0.0, 0.0).alias("e")).first()
+    assert all(v is None for v in row)
+    assert df.where("x is not null").select(exprs.held(F.col("x"), 0.7)).first()[0] == 0.7
