@@ -908,7 +908,7 @@ def joint_blocks(spark: SparkSession, d: str) -> DataFrame:
     # the joint posterior is over every row's score: its input is gathered, as the method asks
     pdf = rows.toPandas()
     model = joint.JointModel(np.stack(pdf["x"].to_numpy()), pdf["y"].to_numpy(), ids, fits)
-    return joint.association(joint.run_joint(spark, model, chains=2, warmup=20, samples=20, leaps=8))
+    return joint.association(joint.run_joint(spark, model, chains=2, warmup=50, samples=50))
 
 
 @query(ORACLE_SQL["kalman_filter"])

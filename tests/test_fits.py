@@ -91,7 +91,7 @@ def test_latent_and_joint(spark):
         e = np.zeros(model.size)
         e[i] = 1e-5
         assert abs((model.value(q + e)[0] - model.value(q - e)[0]) / 2e-5 - g[i]) < 1e-3 * (1 + abs(g[i]))
-    draws = joint.hmc(model, 60, 60, leaps=10)
+    draws = joint.nuts(model, 60, 60).draws
     assert np.mean(np.abs(draws[:, 0])) > np.mean(np.abs(draws[:, 1]))
     with pytest.raises(ValueError):
         joint.tau0(3, 100, 3.0)
