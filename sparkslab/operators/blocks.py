@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkslab.operators.components import connected_components
+from sparkslab.operators.factor import covariance as covariance_of
+from sparkslab.operators.suffstats import Moments
 from sparkslab.operators.sweep import gaps, running
 
 
@@ -71,47 +77,97 @@ def kmeans_blocks(features: DataFrame, per_block: int = 8, n_blocks: int | None
     return KMeans(k=k, seed=seed).fit(rows).transform(rows).select("feature_id", F.col("prediction").alias("block_id"))
 
 
-def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """Sparse precision matrix of covariance ``s`` by block coordinate descent (driver side: p by p)."""
+def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float = 1e-4, start: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Sparse precision matrix of covariance ``s`` by block coordinate descent (driver side: p by p), and where it ended, to start the next alpha from.
+
+    The diagonal isn't penalised.
+    """
     p = len(s)
-    w = s + alpha * np.eye(p)
-    b = np.zeros((p, p))
-    for _ in range(max_iter):
+    if start is None:
+        w, b = 0.95 * s, np.zeros((p, p))
+    else:
+        w, b = start[0].copy(), start[1].copy()
+    np.fill_diagonal(w, np.diag(s))
+    scale = np.abs(s - np.diag(np.diag(s))).mean() if p > 1 else 0.0
+    for _ in range(max_iter if p > 1 else 0):
         before = w.copy()
         for j in range(p):
-            rest = np.arange(p) != j
-            v, t, x = w[np.ix_(rest, rest)], s[rest, j], b[rest, j]
+            rest = np.flatnonzero(np.arange(p) != j)
+            v, x = w[np.ix_(rest, rest)], b[rest, j].copy()
+            left, own = s[rest, j] - v @ x, np.diag(v)
             for _ in range(50):
                 moved = 0.0
                 for k in range(p - 1):
-                    r = t[k] - v[k] @ x + v[k, k] * x[k]
-                    new = np.sign(r) * max(abs(r) - alpha, 0) / v[k, k]
-                    moved, x[k] = max(moved, abs(new - x[k])), new
+                    r = left[k] + own[k] * x[k]
+                    new = (r - alpha if r > alpha else r + alpha if r < -alpha else 0.0) / own[k]
+                    if new != x[k]:
+                        step = new - x[k]
+                        left -= v[k] * step
+                        x[k], moved = new, max(moved, abs(step))
                 if moved < 1e-6:
                     break
             b[rest, j] = x
             w[rest, j] = w[j, rest] = v @ x
-        if np.abs(w - before).mean() < tol * np.abs(s - np.diag(np.diag(s))).mean() + 1e-12:
+        if np.abs(w - before).mean() < tol * scale + 1e-12:
             break
     theta = np.zeros((p, p))
     for j in range(p):
         rest = np.arange(p) != j
-        theta[j, j] = 1 / (w[j, j] - w[rest, j] @ b[rest, j])
+        theta[j, j] = 1 / max(w[j, j] - w[rest, j] @ b[rest, j], 1e-12)
         theta[rest, j] = -b[rest, j] * theta[j, j]
-    return (theta + theta.T) / 2
+    return (theta + theta.T) / 2, (w, b)
+
+
+def _fold_losses(train: np.ndarray, test: np.ndarray, alphas: list[float]) -> list[float]:
+    """Minus the held-out Gaussian log-likelihood (twice, by row) along falling alphas, each started from the one before."""
+    out, at = [], None
+    for alpha in alphas:
+        theta, at = graphical_lasso(train, alpha, start=at)
+        sign, logdet = np.linalg.slogdet(theta)
+        out.append(float(np.sum(test * theta) - logdet) if sign > 0 else math.inf)
+    return out
+
+
+def glasso_alpha(spark: SparkSession, folds: dict[int, Moments], rounds: int = 3, width: int = 6) -> float:
+    """The penalty with the least held-out loss, of the standardised features' moments by fold (``moments(rows, by=fold)``: one pass over the rows).
+
+    Alphas fall geometrically from the least that leaves no edge; each round
+    narrows to the best one's neighbours.  Folds go side by side, one small task
+    each, on p-by-p matrices.
+    """
+    whole = functools.reduce(lambda a, b: a.minus(Moments(-b.n, -b.gram, -b.xty, -b.yty)), folds.values())
+    _, cov = covariance_of(whole)
+    sd = np.sqrt(np.diag(cov)) + 1e-8
+    pairs = [(covariance_of(whole.minus(part))[1] / np.outer(sd, sd), covariance_of(part)[1] / np.outer(sd, sd)) for part in folds.values()]
+    r = np.abs(cov / np.outer(sd, sd))
+    np.fill_diagonal(r, 0)
+    high = float(r.max()) or 1.0
+    low = 0.01 * high
+    alphas: list[float] = []
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"v": [_fold_losses(*pairs[int(k)], alphas) for k in pdf["id"]]})
+
+    for _ in range(rounds):
+        alphas = np.geomspace(high, low, width).tolist()
+        found = spark.range(len(pairs)).groupBy("id").applyInPandas(run, "v array<double>").collect()
+        loss = np.sum([x.v for x in found], axis=0)
+        best = int(np.argmin(loss))
+        high, low = alphas[max(0, best - 1)], alphas[min(width - 1, best + 1)]
+    return alphas[best]
 
 
 def glasso_blocks(nodes: DataFrame, covariance: np.ndarray, alpha: float, max_features: int = 200) -> DataFrame:
     """Components of the non-zero entries (above 1e-8) of the graphical lasso's precision matrix."""
     if len(covariance) > max_features:
         raise ValueError(f"{len(covariance)} features; graphical lasso takes at most {max_features}")
-    precision = graphical_lasso(covariance, alpha)
+    precision = graphical_lasso(covariance, alpha)[0]
     linked = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.abs(precision) > 1e-8), strict=True) if i < j]
     return graph_blocks(nodes, nodes.sparkSession.createDataFrame(linked, "src long, dst long"))
 
 
-def determine_blocks(nodes: DataFrame, method: str = "threshold", zeta: float | None = None, percentile: float = 0.75, correlations: DataFrame | None = None, distances: DataFrame | None = None, rho: float = 0.3, covariance: np.ndarray | None = None, alpha: float = 0.1, **kmeans) -> DataFrame:
-    """(feature_id, block_id) by the method named; zeta defaults to a percentile of gaps or distances."""
+def determine_blocks(nodes: DataFrame, method: str = "threshold", zeta: float | None = None, percentile: float = 0.75, correlations: DataFrame | None = None, distances: DataFrame | None = None, rho: float = 0.3, covariance: np.ndarray | None = None, alpha: float | str = 0.1, folds: dict[int, Moments] | None = None, **kmeans) -> DataFrame:
+    """(feature_id, block_id) by the method named; zeta defaults to a percentile of gaps or distances, ``alpha="cv"`` chooses by the moments of ``folds``."""
     if method == "threshold" and distances is not None:
         return distance_blocks(nodes, distances, zeta if zeta is not None else float(distances.where("d > 0").agg(F.percentile("d", percentile)).first()[0]))
     if method == "threshold":
@@ -119,6 +175,10 @@ def determine_blocks(nodes: DataFrame, method: str = "threshold", zeta: float |
     if method == "correlation":
         return correlation_blocks(nodes, correlations, rho)
     if method == "glasso":
+        if alpha == "cv":
+            if not folds or len(folds) < 2:
+                raise ValueError("a cross-validated penalty needs the moments of two folds or more")
+            alpha = glasso_alpha(nodes.sparkSession, folds)
         return glasso_blocks(nodes, covariance, alpha)
     if method == "kmeans":
         return kmeans_blocks(nodes, **kmeans)

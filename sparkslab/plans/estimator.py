@@ -43,7 +43,7 @@ class SlabEstimator:
 
     family = "gaussian"
 
-    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0, n_trials: float = 2, tau2: float = 1.0, p0_joint: float | None = None, slab_scale_joint: float = 2.0, practical_joint: float = 0.1) -> None:
+    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0, n_trials: float = 2, tau2: float = 1.0, p0_joint: float | None = None, slab_scale_joint: float = 2.0, practical_joint: float = 0.1, alpha: float | str = 0.1) -> None:
         for k, v in locals().items():
             if k not in ("self", "__class__"):
                 setattr(self, k, v)
@@ -156,7 +156,7 @@ class SlabEstimator:
             raise ValueError("rank and firth have no effect on Binomial latents")
         if method == "joint" and not discrete:
             raise ValueError("the joint method needs Binomial latents")
-        unused = {"cv_folds": method != "em_filter", "rank": not gaussian and method == "em_filter", "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
+        unused = {"cv_folds": method != "em_filter" and self.alpha != "cv", "rank": not gaussian and method == "em_filter", "firth": gaussian or method != "em", "tau": not gaussian or method == "gibbs"}
         for name, idle in unused.items():
             if idle and getattr(self, name):
                 raise ValueError(f"{name} has no effect on a {self.family} response by {method}")
@@ -175,7 +175,8 @@ class SlabEstimator:
     def _blocks(self, rows: DataFrame, features: DataFrame) -> np.ndarray:
         how = {"threshold": {"zeta": self.zeta}, "kmeans": {"seed": self.random_state}}.get(self.block_method, {})
         if self.block_method in ("correlation", "glasso"):
-            how = {"covariance": self._correlation(rows)} if self.block_method == "glasso" else {"rho": self.rho_threshold, "correlations": self._correlations(rows)}
+            folds = moments(rows.withColumn("fold", F.pmod(F.xxhash64("row_id"), F.lit(self.cv_folds or 5))), by="fold") if self.alpha == "cv" else None
+            how = {"covariance": self._correlation(rows), "alpha": self.alpha, "folds": folds} if self.block_method == "glasso" else {"rho": self.rho_threshold, "correlations": self._correlations(rows)}
         found = {int(r.feature_id): r.block_id for r in determine_blocks(features, self.block_method, **how).collect()}
         return np.array([found[j] for j in range(self.p_)])
 

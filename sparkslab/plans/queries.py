@@ -255,7 +255,8 @@ def blocks_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return blocks.kmeans_blocks(table(spark, d, "embeddings").select(F.col("vec_id").alias("feature_id"), F.col("embedding").alias("coord")), n_blocks=10, seed=1)
 
 
-@query()
+# the components of a graphical lasso's precision matrix are those of the correlations above its penalty
+@query(f"WITH RECURSIVE {_CORRS}, l AS (SELECT i, j FROM c WHERE abs(r) > 0.1), {_CC}")
 def blocks_glasso(spark: SparkSession, d: str) -> DataFrame:
     """K3: components of a sparse precision matrix of the dimensions."""
     _, cov = factor.covariance(suffstats.moments(_vectors(spark, d)))
@@ -268,6 +269,16 @@ def blocks_glasso(spark: SparkSession, d: str) -> DataFrame:
 _SCALED = "(SELECT l_quantity, l_extendedprice / 1000 AS l_extendedprice, l_discount, l_tax FROM lineitem)"
 
 
+@query()
+def blocks_glasso_cv(spark: SparkSession, d: str) -> DataFrame:
+    """K3: the same with the penalty of the least held-out loss over five folds."""
+    rows = _vectors(spark, d)
+    folds = suffstats.moments(rows, by="fold")
+    _, cov = factor.covariance(suffstats.moments(rows))
+    sd = np.sqrt(np.diag(cov)) + 1e-8
+    return blocks.determine_blocks(spark.range(len(sd)).withColumnRenamed("id", "feature_id"), "glasso", covariance=cov / np.outer(sd, sd), alpha="cv", folds=folds)
+
+
 def _scaled(spark: SparkSession, d: str) -> DataFrame:
     """The line items' numbers, prices in thousands."""
     return table(spark, d, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("l_extendedprice"), "l_discount", "l_tax")
