@@ -13,7 +13,7 @@ from sparkslab.operators import factor
 from sparkslab.operators.affinity import resolve_affinity
 from sparkslab.operators.blocks import determine_blocks
 from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows, whole_rows
-from sparkslab.plans import dynamic, em, gibbs, joint, latent, statespace, validate
+from sparkslab.plans import dynamic, em, gibbs, joint, latent, resample, statespace, validate
 from sparkslab.plans.stage import stage
 from sparkslab.sources.tables import load_model, save_model
 
@@ -187,12 +187,13 @@ class SlabEstimator:
             self.factors_ = factor.block_factors(moments(rows), self.blocks_, self.decorrelate, self.coords_)
             return
         ids, coupling = np.unique(self.blocks_), None
+        self.coupling_ = None
         owner = np.searchsorted(ids, self.blocks_)
         if self.decorrelate == "star":
             at = np.array([r.s for r in features.orderBy("feature_id").collect()], float)
             centres = np.array([at[self.blocks_ == b].mean() for b in ids])
             phi = self.phi_star or float(np.median(np.diff(np.sort(centres)))) if len(ids) > 1 else 1.0
-            coupling = factor.sar_matrix(centres, phi)
+            self.coupling_ = coupling = factor.sar_matrix(centres, phi)
         steps = whole_rows(rows.select("t", "x").withColumn("y", F.lit(0.0))).drop("y")
         few = steps.limit(GATHERED + 1).toPandas()
         if len(few) > GATHERED:  # a long trajectory: buckets of time
@@ -348,23 +349,47 @@ class SlabEstimator:
         raise RuntimeError(f"the model has no {kind!r} to show")
 
     def bootstrap_ci(self, rows: DataFrame, n_boot: int = 200, ci: float = 0.95) -> dict:
-        """Percentile intervals from resampled moments, factors and fit made anew in each (Gaussian response)."""
+        """Percentile intervals with factors and fit made anew in each resample: of moments for a Gaussian response, by reweighted passes for the others, of moving blocks of time for dynamic factors."""
         self._check()
-        if self.family != "gaussian" or self.fit_method != "em" or self.dynamic_ is not None:
-            raise ValueError("resampled moments serve a Gaussian response by EM with static factors only")
+        if self.fit_method != "em" or self.latent_ is not None or self.firth:
+            raise ValueError("resampling serves fits by EM, without Binomial latents and Firth's correction")
+        if self.family != "gaussian" and (self.dynamic_ is not None or self.rank):
+            raise ValueError("resampling with dynamic factors or a rank serves a Gaussian response")
         ids, prior, wr, coords = self.blocks_, self._prior(), self.wr_, self.coords_
 
+        def scores(m):
+            """[1, x] to [1, the blocks' scores]."""
+            fs = factor.block_factors(m, ids, self.decorrelate, coords)
+            a = np.zeros((len(fs) + 1, len(m.xty)))
+            a[0, 0] = 1
+            for k, (b, f) in enumerate(fs.items()):
+                a[1 + k, 1 + np.flatnonzero(ids == b)] = f.coef
+                a[1 + k, 0] = -f.coef @ f.mean
+            return a
+
+        rank, tau = self.rank, self.tau
+
+        def on_moments(m):
+            return em.em_gaussian(truncate(m, rank)[0] if rank else m, wr, prior, tau=tau).beta
+
         def fit(m):
             if self.factors_ is not None:
-                fs = factor.block_factors(m, ids, self.decorrelate, coords)
-                a = np.zeros((len(fs) + 1, len(m.xty)))
-                a[0, 0] = 1
-                for k, (b, f) in enumerate(fs.items()):
-                    a[1 + k, 1 + np.flatnonzero(ids == b)] = f.coef
-                    a[1 + k, 0] = -f.coef @ f.mean
+                a = scores(m)
                 m = em.Moments(m.n, a @ m.gram @ a.T, a @ m.xty, m.yty)
-            return em.em_gaussian(truncate(m, self.rank)[0] if self.rank else m, wr, prior, tau=self.tau).beta
+            return on_moments(m)
 
+        if self.dynamic_ is not None:
+            few = whole_rows(rows.select("t", "x", "y")).limit(GATHERED + 1).toPandas().sort_values("t", kind="stable", na_position="first")
+            if len(few) > GATHERED:
+                raise ValueError(f"moving blocks serve trajectories of at most {GATHERED} steps")
+            owner = np.searchsorted(np.unique(ids), ids)
+            x, y = np.stack(few["x"].to_numpy()).astype(float), few["y"].to_numpy(float)
+            return validate.intervals(resample.dynamic_resampled(rows.sparkSession, x, y, owner, self.coupling_, on_moments, n_boot, self.random_state), ci)
+        if self.family != "gaussian":
+            if "off" not in rows.columns or self.family == "bernoulli":
+                rows = rows.withColumn("off", F.lit(0.0))
+            maps = [scores(m) for m in validate.bootstrap_moments(rows, n_boot, self.random_state)] if self.factors_ is not None else None
+            return validate.intervals(resample.em_glm_resampled(rows, wr, self.family, prior, n_boot, self.random_state, self.fit_.r or self.r_init, maps), ci)
         return validate.bootstrap_ci(rows, fit, n_boot, ci, self.random_state)
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -785,6 +785,17 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(out["lo"][k]), float(out["hi"][k]), float(out["mean"][k])) for k in range(3)], "coef int, lo double, hi double, mean double")
 
 
+@query()
+def bootstrap_bernoulli(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals of a Bernoulli response from 50 reweighted resamples that advance together."""
+    from sparkslab.plans.resample import em_glm_resampled
+
+    j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), F.col("n_chars").cast("double").alias("c"))
+    rows = suffstats.zscore(j, ["c"]).select(F.col("doc_id").alias("row_id"), "y", F.array("c").alias("x"), F.lit(0.0).alias("off"))
+    got = validate.intervals(em_glm_resampled(rows, np.zeros(1), "bernoulli", _PRIOR, n_boot=50, seed=1))
+    return spark.createDataFrame([(j, float(got["lo"][j]), float(got["hi"][j]), float(got["mean"][j])) for j in range(2)], "term int, lo double, hi double, mean double")
+
+
 @query("WITH x AS (SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size / 10 ELSE 0 END AS b, p_retailprice / 1000 - 1 AS e FROM part), i AS (SELECT CASE WHEN b <> 0 THEN 'causal' ELSE 'null' END AS grp, (b BETWEEN b + e - 0.5 AND b + e + 0.5)::INT::DOUBLE AS inside FROM x) SELECT coalesce(grp, 'overall') AS grp, round(avg(inside), 6) AS coverage, count(*) AS n, 1e0 AS mean_width FROM i GROUP BY ROLLUP (grp)")
 def ci_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of unit intervals, causal, null and overall."""

@@ -130,7 +130,13 @@ def bootstrap_ci(rows: DataFrame, fit: Callable[[Moments], np.ndarray], n_boot:
             draws.append(fit(m))
         except np.linalg.LinAlgError:
             failed += 1
-    d = np.array(draws)
+    return intervals(np.array(draws), ci, failed)
+
+
+def intervals(draws: np.ndarray, ci: float = 0.95, failed: int = 0) -> dict[str, np.ndarray]:
+    """Percentile intervals, means and deviations of draws, one row each; rows with a nan count as failed."""
+    d = draws[np.isfinite(draws).all(1)]
+    failed += len(draws) - len(d)
     return {"lo": np.percentile(d, 50 * (1 - ci), axis=0), "hi": np.percentile(d, 50 * (1 + ci), axis=0), "mean": d.mean(0), "std": d.std(0), "failed": np.array(failed)}
 
 
