@@ -689,6 +689,17 @@ def kalman_by_user(spark: SparkSession, d: str) -> DataFrame:
     return _event_states(spark, d, "user_id")
 
 
+@query(ORACLE_SQL["kalman_by_user"])
+def kalman_udtf(spark: SparkSession, d: str) -> DataFrame:
+    """The same states by a table function that SQL calls on a partitioned table."""
+    from sparkslab.functions import udtf
+
+    udtf.register(spark)
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("value") / 50 - 1).alias("v"))
+    got = spark.sql("SELECT id AS event_id, z, p FROM kalman_states(0.8D, 0.2D, 0.5D, TABLE({rows}) PARTITION BY user_id ORDER BY t)", rows=rows)
+    return rounded(got, "z", "p")
+
+
 @query(f"WITH RECURSIVE {_by_sql('event_type')} SELECT event_id, round(z, 6) + 0.0 AS z, round(p, 6) AS p FROM f")
 def kalman_scan(spark: SparkSession, d: str) -> DataFrame:
     """Filtered states of long trajectories, one for each event type, by the scan over buckets of time."""
@@ -999,3 +1010,25 @@ def stream_causal(spark: SparkSession, d: str) -> DataFrame:
     q = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return rounded(spark.read.schema(found.schema).parquet(out), "a")
+
+
+# a batch is ten days of arrival; rows that come more than an hour late wait for the batch after the next.  A row counts in a
+# window unless that had closed for the batch before its own: two days before the latest row of all batches but the last two
+@query("""WITH b AS (SELECT ts, kind, value, dense_rank() OVER (ORDER BY floor(epoch(arrived_at) / 864000)::BIGINT + CASE WHEN epoch_us(arrived_at) - epoch_us(ts) > 3600000000 THEN 2 ELSE 0 END) AS k FROM clicks WHERE ts IS NOT NULL),
+m AS (SELECT k, max(ts) AS top FROM b GROUP BY k),
+a AS (SELECT k, max(top) OVER (ORDER BY k) - INTERVAL 2 DAY AS closed FROM m),
+w AS (SELECT b.k, kind, value, (floor(epoch_us(ts) / 21600000000)::BIGINT - s.s) * 21600000000 AS start FROM b, (VALUES (0), (1)) s(s)),
+o AS (SELECT w.* FROM w LEFT JOIN a ON a.k = w.k - 2 WHERE a.k IS NULL OR w.start + 43200000000 > epoch_us(a.closed))
+SELECT (start / 3600000000)::BIGINT AS t, kind, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM o WHERE start + 43200000000 <= (SELECT max(epoch_us(closed)) FROM a) GROUP BY 1, 2""")
+def stream_late_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks by kind in windows of twelve hours every six, of a stream with late and too late rows."""
+    from sparkslab.plans.stage import new_path
+    from sparkslab.streaming.filters import feed, windowed
+
+    out = new_path(spark, "stream-out")
+    ts, late = F.col("ts").cast("timestamp"), F.unix_micros(F.col("arrived_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > 3_600_000_000
+    rows = table(spark, d, "clicks").where("ts is not null").select(ts.alias("ts"), "kind", "value", (F.floor(seconds("arrived_at") / 864_000) + F.when(late, 2).otherwise(0)).alias("batch"))
+    found = windowed(feed(rows, "batch", new_path(spark, "stream-in")), "12 hours", "2 days", "6 hours", by="kind")
+    q = found.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.schema(found.schema).parquet(out).select(F.floor(seconds("start") / 3600).alias("t"), "kind", "n", "mean"), "mean")
