@@ -106,7 +106,8 @@ _MEET, WHOLE = 0.64, 16
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def _normal_cdf(x: np.ndarray) -> np.ndarray:
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Of the standard normal distribution."""
     return 0.5 * _erfc(-x / math.sqrt(2)).astype(float)
 
 
@@ -145,7 +146,7 @@ def polya_gamma_one(c: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     rate = math.pi**2 / 8 + z * z / 2
     above = math.pi / (2 * rate) * np.exp(-rate * _MEET)
     root, zz = math.sqrt(1 / _MEET), np.minimum(z, 300.0)
-    below = 2 * (np.exp(-z) * _normal_cdf(root * (_MEET * z - 1)) + np.exp(zz) * _normal_cdf(-root * (_MEET * zz + 1)))
+    below = 2 * (np.exp(-z) * normal_cdf(root * (_MEET * z - 1)) + np.exp(zz) * normal_cdf(-root * (_MEET * zz + 1)))
     share = above / (above + below)
     out, left = np.zeros(len(z)), np.arange(len(z))
     while len(left):
