@@ -107,7 +107,7 @@ def fit_marginal(df: DataFrame, family: str, value: str = "v", max_iter: int = 6
         p = {n: float(math.exp(min(max(t, -600.0), 600.0))) if n in f.positive else float(t * unit[n]) for n, t in zip(f.names, theta, strict=True)}
         return p | ({"df": min(max(p["df"], 1e-2), 1e6)} if family == "t" else {})
 
-    def around(theta: np.ndarray, h: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
+    def around(theta: np.ndarray, h: float = 1e-4) -> tuple[float, np.ndarray, np.ndarray]:
         e = np.eye(k) * h
         points = [theta, *[theta + i for i in e], *[theta - i for i in e], *[theta + a * e[i] + b * e[j] for i in range(k) for j in range(i) for a in (1, -1) for b in (1, -1)]]
         one = x.agg(*[F.avg(log_density(F.col("x"), family, given(p))).alias(f"l{i}") for i, p in enumerate(points)]).first()

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkslab.functions import exprs as X
-from sparkslab.operators import affinity, blocks, copula, factor, relevance, selection, suffstats
+from sparkslab.operators import affinity, blocks, copula, factor, marginals, relevance, selection, suffstats
 from sparkslab.plans import dynamic, em, gibbs, statespace, validate
 from sparkslab.sources.tables import seconds, table
 
@@ -616,6 +616,26 @@ def copula_poisson(spark: SparkSession, d: str) -> DataFrame:
 _QUERY = "the with and stupid das que les"
 
 
+@query(f"""WITH r AS (SELECT click_id, cume_dist() OVER w - 0.5 / count(*) OVER (PARTITION BY kind, value IS NULL) AS u, value FROM clicks WINDOW w AS (PARTITION BY kind, value IS NULL ORDER BY value)),
+h AS (SELECT click_id, value, least(greatest(u, 1e-6), 1 - 1e-6) AS u FROM r) SELECT click_id, CASE WHEN value IS NOT NULL THEN round({X.ndtri_sql('u')}, 6) + 0.0 END AS z FROM h""")
+def copula_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Normal scores of clicks' values by kind; nulls have none, a null kind is a kind."""
+    return rounded(copula.to_gaussian_empirical(table(spark, d, "clicks").select("click_id", "kind", F.col("value").alias("v")), by=["kind"]).select("click_id", "z"), "z")
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT list(ln(value)) AS ls, avg(ln(value)) AS m FROM clicks WHERE value > 0),
+b(i, lo, hi) AS (SELECT 0, 0.01e0, 100e0 UNION ALL SELECT i + 1, CASE WHEN g > 0 THEN lo ELSE mid END, CASE WHEN g > 0 THEN mid ELSE hi END FROM (SELECT i, lo, hi, sqrt(lo * hi) AS mid,
+ list_sum(list_transform(ls, lambda y: exp(sqrt(lo * hi) * (y - m)) * y)) / list_sum(list_transform(ls, lambda y: exp(sqrt(lo * hi) * (y - m)))) - 1 / sqrt(lo * hi) - m AS g FROM b, l) WHERE i < 60),
+k AS (SELECT sqrt(lo * hi) AS k FROM b WHERE i = 60),
+s AS (SELECT k, exp(m) * pow(list_avg(list_transform(ls, lambda y: exp(k * (y - m)))), 1 / k) AS s FROM k, l),
+u AS (SELECT click_id, value, least(greatest(1 - exp(-pow(greatest(value, 0) / s, k)), 1e-6), 1 - 1e-6) AS u FROM clicks, s)
+SELECT click_id, CASE WHEN value IS NOT NULL THEN round({X.ndtri_sql('u')}, 4) + 0.0 END AS z FROM u""")
+def marginal_weibull(spark: SparkSession, d: str) -> DataFrame:
+    """Normal scores of clicks' values by a Weibull marginal of greatest likelihood."""
+    rows = table(spark, d, "clicks").select("click_id", F.col("value").alias("v"))
+    return rounded(marginals.marginal_scores(rows, "weibull", marginals.fit_marginal(rows, "weibull")).select("click_id", "z"), "z", digits=4)
+
+
 @query(f"""WITH t AS (SELECT source AS g, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents), c AS (SELECT g, term, count(*) AS tf FROM t GROUP BY g, term),
 q AS (SELECT unnest(string_split('{_QUERY}', ' ')) AS term), n AS (SELECT count(DISTINCT source) + 1 AS n FROM documents), d AS (SELECT term, count(*) AS df FROM (SELECT g, term FROM c UNION ALL SELECT NULL, term FROM q) GROUP BY term),
 i AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf, term IN (SELECT term FROM q) AS asked FROM d, n), q2 AS (SELECT sum(idf * idf) AS q2 FROM i WHERE asked)
