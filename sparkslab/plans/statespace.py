@@ -136,6 +136,8 @@ class Bucket:
     def element(self) -> np.ndarray:
         """A, b, C, eta and J, flat."""
         o = self.of
+        if o.shape == (1,):
+            return self._element_of_one()
         a, b, c, eta, j = o.eye.copy(), np.zeros(o.k), np.zeros(o.shape), np.zeros(o.k), np.zeros(o.shape)
         for m, v in zip(self.m, self.v, strict=True):
             a = o.mul(o.phi, a)
@@ -143,9 +145,36 @@ class Bucket:
             b, c, _ = o.update(b, c, m, v, (a, eta, j))
         return np.concatenate([x.ravel() for x in (a, b, c, eta, j)])
 
+    def _element_of_one(self) -> np.ndarray:
+        """The same for one chain, in plain numbers."""
+        phi, q, a, b, c, eta, j = float(self.of.phi[0]), float(self.of.q[0]), 1.0, 0.0, 0.0, 0.0, 0.0
+        for m, v in zip(self.m[:, 0].tolist(), self.v[:, 0].tolist(), strict=True):
+            a, b, c = phi * a, phi * b, phi * phi * c + q
+            if v != math.inf:
+                f, e = c + v, m - b
+                gain = c / f
+                eta, j = eta + a * e / f, j + a * a / f
+                a, b, c = a - gain * a, b + gain * e, c - gain * c
+        return np.array([a, b, c, eta, j])
+
+    def _filter_of_one(self, z: float, p: float):
+        phi, q, more, rows = float(self.of.phi[0]), float(self.of.q[0]), 0.0, []
+        z, p = phi * z, phi * phi * p + q
+        for m, v in zip(self.m[:, 0].tolist(), self.v[:, 0].tolist(), strict=True):
+            if v != math.inf:
+                f, e = p + v, m - z
+                gain = p / f
+                z, p, more = z + gain * e, p - gain * p, more + _LOG_2PI + math.log(f) + e * e / f
+            at = z, p
+            z, p = phi * z, phi * phi * p + q
+            rows.append((*at, z, p))
+        return (*(c[:, None] for c in np.array(rows).reshape(-1, 4).T.copy()), float(self.rest.sum()) - 0.5 * more)
+
     def filter(self, z: np.ndarray, p: np.ndarray):
         """Filtered states and covariances, each row's prediction of the next, and the log-likelihood."""
         n, o = len(self.m), self.of
+        if o.shape == (1,):
+            return self._filter_of_one(float(z[0]), float(p[0]))
         zf, pf, za, pa, ll = np.zeros((n, o.k)), np.zeros((n, *o.shape)), np.zeros((n, o.k)), np.zeros((n, *o.shape)), float(self.rest.sum())
         z, p = self._ahead(z, p)
         for s in range(n):
