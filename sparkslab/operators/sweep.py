@@ -25,9 +25,14 @@ def bounds(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def bucketed(df: DataFrame, value: str, by: list[str], ends: DataFrame) -> DataFrame:
-    """``df`` with _g and _bucket; a group without ends is one bucket."""
+    """``df`` with _g and _bucket, dealt by both; a group without ends is one bucket.
+
+    Without dealing anew, the join's partitioning by group would also serve
+    what is asked for by group and bucket, and a group would be one task.
+    """
     keyed = df.withColumn("_g", group_key(by)).join(ends, "_g", "left")
-    return keyed.withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))).drop("_bounds")
+    keyed = keyed.withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))).drop("_bounds")
+    return keyed.repartition("_g", "_bucket")
 
 
 def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str], following: str | None = None) -> DataFrame:

@@ -239,7 +239,7 @@ def dealt(rows: DataFrame, by: list[str], time: str, per_bucket: int = ROWS) ->
         return rows.withColumn("_bucket", F.lit(0)), 1
     ends = rows.groupBy("_g").agg(F.percentile_approx(time, [k / n for k in range(1, n)], max(1_000, 16 * n)).alias("_ends"))
     rows = rows.join(ends, "_g", "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_ends", lambda b: b < F.col(time))), F.lit(0)))
-    return rows.drop("_ends"), n
+    return rows.drop("_ends").repartition("_g", "_bucket"), n  # the join would leave a trajectory in one task
 
 
 _STATE = "_g string, _bucket int, z array<double>, p array<double>"
