@@ -30,6 +30,8 @@ from sparkslab.plans.dynamic import Dynamic, Second, innovations, loadings_of, p
 
 #: Rows of a bucket, about.
 ROWS = 20_000
+#: Ends of buckets, of all trajectories, up to which they are broadcast (4 MB).
+BROADCAST_ENDS = 500_000
 
 _LOG_2PI = math.log(2 * math.pi)
 
@@ -233,11 +235,13 @@ def dealt(rows: DataFrame, by: list[str], time: str, per_bucket: int = ROWS) ->
     Null times come first; rows of one time are in the order of a hash of the row.
     """
     rows = rows.withColumns({"_tie": F.xxhash64(*rows.columns), "_g": F.to_json(F.struct(*by)) if by else F.lit("{}")})
-    longest = rows.groupBy("_g").count().agg(F.max("count")).first()[0] or 0
-    n = max(1, math.ceil(longest / per_bucket))
+    longest, groups = rows.groupBy("_g").count().agg(F.max("count"), F.count("*")).first()
+    n = max(1, math.ceil((longest or 0) / per_bucket))
     if n == 1:
         return rows.withColumn("_bucket", F.lit(0)), 1
     ends = rows.groupBy("_g").agg(F.percentile_approx(time, [k / n for k in range(1, n)], max(1_000, 16 * n)).alias("_ends"))
+    if groups * n <= BROADCAST_ENDS:  # else a shuffle by trajectory comes first
+        ends = F.broadcast(ends)
     rows = rows.join(ends, "_g", "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_ends", lambda b: b < F.col(time))), F.lit(0)))
     return rows.drop("_ends").repartition("_g", "_bucket"), n  # the join would leave a trajectory in one task
 
