@@ -63,10 +63,44 @@ def interpolate(queries: DataFrame, knots: DataFrame, at: str, x: str, low: str,
 
 def to_gaussian(queries: DataFrame, train: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
     """New values on the training sample's normal scale, as column z (replaced if there is one); null stays null."""
-    out = interpolate(queries, ecdf(train, value, by), value, value, "u_low", "u_high", by, out="_rank")
+    return on_scale(queries, ecdf(train, value, by), value, by)
+
+
+def on_scale(queries: DataFrame, knots: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
+    """``to_gaussian`` by what ``ecdf`` gave."""
+    out = interpolate(queries, knots, value, value, "u_low", "u_high", by, out="_rank")
     return out.withColumn("z", ndtri(_held(F.col("_rank")))).drop("_rank")
 
 
+def _members(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, feature_id, v) of the arrays ``x``; nulls and nans are left out."""
+    each = rows.select(*keys, F.posexplode("x").alias("feature_id", "v")).withColumn("v", F.col("v").cast("double"))
+    return each.where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def wide_ecdf(rows: DataFrame) -> DataFrame:
+    """(feature_id, v, u_low, u_high): the distribution function of each place of the arrays ``x``."""
+    return ecdf(_members(rows), "v", ["feature_id"])
+
+
+def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
+    """``rows`` with the arrays ``x`` on the normal scale of ``wide_ecdf``'s sample, place by place.
+
+    A null or nan has no score (null); a null array stays null; a place without
+    knots is null.  Each distinct value is placed once, so that a value that many
+    rows have is one row of the sweep; arrays are put together again by their
+    content, so that equal rows need no key.
+    """
+    key = F.sha2(F.col("x").cast("string"), 256)
+    each = _members(rows.select(key.alias("_array"), "x").dropDuplicates(["_array"]), "_array")
+    placed = on_scale(each.select("feature_id", "v").distinct(), knots, "v", ["feature_id"])
+    whole = each.join(placed, ["feature_id", "v"]).groupBy("_array").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("_z"))
+    found = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), key.alias("_array")).join(whole, "_array", "left")
+    x = F.col("_row.x")
+    scored = F.when(F.size(x) > 0, F.transform(x, lambda _, j: F.try_element_at("_z", j))).otherwise(x.cast("array<double>"))
+    return found.select(*[scored.alias("x") if c == "x" else F.col(f"_row.`{c}`") for c in rows.columns])
+
+
 def from_gaussian(queries: DataFrame, train: DataFrame, z: str = "z", value: str = "v", by: list[str] | None = None) -> DataFrame:
     """Normal-scale values back on the training sample's scale, as column x (replaced if there is one)."""
     e = ecdf(train, value, by)

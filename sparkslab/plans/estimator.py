@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkslab.operators import factor
+from sparkslab.operators import copula, factor
 from sparkslab.operators.affinity import resolve_affinity
 from sparkslab.operators.blocks import determine_blocks
 from sparkslab.operators.suffstats import moments, right_vectors, truncate, weighted_rows, whole_rows
@@ -28,6 +28,8 @@ JOINT_ROWS = 20_000
 GATHERED = 20_000
 #: What is stored of a dynamic factor.
 _DYNAMIC = ("loadings", "noise", "owner", "phi", "q", "mean", "loglik", "rho")
+#: Folder of a marginal's knots inside a saved model's; readers of the model pass over names that begin so.
+_KNOTS = "_knots"
 
 
 class SlabEstimator:
@@ -38,12 +40,14 @@ class SlabEstimator:
     by.  ``decorrelate`` is None, ppca, pls, sar_shrink, ar1 or star; the last two
     order rows by t.  A classifier's features may be Binomial counts of
     ``n_trials``: binomial_sar or binomial_ar1, by ``fit_method`` em or joint (a
-    posterior over all scores of at most ``JOINT_ROWS`` rows).
+    posterior over all scores of at most ``JOINT_ROWS`` rows).  With ``marginal``
+    "copula", latents are made of the features' normal scores, by the training
+    rows' distribution functions, for new rows too.
     """
 
     family = "gaussian"
 
-    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0, n_trials: float = 2, tau2: float = 1.0, p0_joint: float | None = None, slab_scale_joint: float = 2.0, practical_joint: float = 0.1, alpha: float | str = 0.1) -> None:
+    def __init__(self, xi0: float = -2.0, xi1: float = 0.0, kappa: float = 100.0, nu: float = 1.0, lam: float = 1.0, fit_method: str = "em", decorrelate: str | None = None, block_method: str = "threshold", zeta: float | None = None, rho_threshold: float = 0.3, rank: int | None = None, n_samples: int = 2000, burn_in: int = 500, thin: int = 1, filter_frac: float = 0.25, min_features: int = 10, max_outer: int = 200, patience: int = 3, random_state: int = 0, phi_star: float | None = None, tau: float | None = None, cv_folds: int | None = None, firth: bool = False, r_init: float = 10.0, n_trials: float = 2, tau2: float = 1.0, p0_joint: float | None = None, slab_scale_joint: float = 2.0, practical_joint: float = 0.1, alpha: float | str = 0.1, marginal: str | None = None) -> None:
         for k, v in locals().items():
             if k not in ("self", "__class__"):
                 setattr(self, k, v)
@@ -81,7 +85,7 @@ class SlabEstimator:
         if self.fit_method == "gibbs" and self.family == "poisson":
             raise ValueError("there is no Gibbs sampler for a Poisson response")
         self._reject_unused()
-        self.draws_, self.latent_, self.flips_ = None, None, None
+        self.draws_, self.latent_, self.flips_, self.knots_ = None, None, None, None
         if "off" not in rows.columns:
             rows = rows.withColumn("off", F.lit(0.0))
         if self.family in ("gaussian", "bernoulli"):
@@ -100,6 +104,9 @@ class SlabEstimator:
         if self.decorrelate:
             self.blocks_ = np.asarray(block_id) if block_id is not None else self._blocks(rows, features)
             wr = np.array([wr[self.blocks_ == b].mean() for b in np.unique(self.blocks_)])
+            if self.marginal:
+                self.knots_ = stage(copula.wide_ecdf(whole_rows(rows)), "knots")
+                rows = stage(copula.wide_scores(rows, self.knots_), "scores")
             if self.decorrelate not in _DISCRETE:
                 self._fit_latents(rows, features)
             self.names_ = [f"block{b}" for b in np.unique(self.blocks_)]
@@ -109,7 +116,7 @@ class SlabEstimator:
         if self.decorrelate in _DISCRETE:
             design = self._fit_discrete(rows, features, wr)
         else:
-            design = stage(self._noisy(rows), "design")
+            design = stage(self._of_latents(rows), "design")
             self.fit_ = self._select(design.drop("z_var"), wr)
         self.retained_ = self.fit_.retained if self.fit_.retained is not None else np.arange(len(wr))
         self.names_ = [self.names_[j] for j in self.retained_]
@@ -152,6 +159,10 @@ class SlabEstimator:
         discrete = self.decorrelate in _DISCRETE
         if discrete and (self.family != "bernoulli" or method not in ("em", "joint")):
             raise ValueError("Binomial latents serve a Bernoulli response by em or joint")
+        if self.marginal not in (None, "copula"):
+            raise ValueError(f"unknown marginal {self.marginal!r}")
+        if self.marginal and (discrete or not self.decorrelate):
+            raise ValueError("a marginal serves continuous features that are decorrelated")
         if discrete and (self.rank or self.firth):
             raise ValueError("rank and firth have no effect on Binomial latents")
         if method == "joint" and not discrete:
@@ -215,6 +226,10 @@ class SlabEstimator:
         if self.latent_ is not None:
             flipped = rows.withColumn("x", factor.flip(F.col("x"), self.flips_, self.n_trials))
             return self._scores(flipped.withColumn("y", F.col("y").cast("double")))
+        return self._of_latents(rows if self.knots_ is None else copula.wide_scores(rows, self.knots_))
+
+    def _of_latents(self, rows: DataFrame) -> DataFrame:
+        """``_noisy`` of rows whose features are on the latents' scale."""
         if self.factors_ is not None:
             return factor.scores(rows, self.factors_, self.blocks_).select("row_id", "y", "x", "off")
         if self.dynamic_ is not None:
@@ -304,7 +319,7 @@ class SlabEstimator:
         self._check()
         f, z, se = self.fit_, NormalDist().inv_cdf((1 + ci) / 2), np.sqrt(np.maximum(np.diag(self.cov_), 0))
         chosen = f.theta[f.theta >= 1 / (1 + gamma)]
-        out = [f"{type(self).__name__}: family {self.family}, method {self.fit_method}, decorrelation {self.decorrelate}", f"features {len(f.theta)}, iterations {f.n_iter}, loss {f.ppl}, EMBFDR {float(np.mean(1 - chosen)) if len(chosen) else 0.0:.4f}", f"{'name':<16}{'theta':>8}{'beta':>12}{'se':>10}{'lower':>12}{'upper':>12}"]
+        out = [f"{type(self).__name__}: family {self.family}, method {self.fit_method}, decorrelation {self.decorrelate}{f', marginal {self.marginal}' if self.marginal else ''}", f"features {len(f.theta)}, iterations {f.n_iter}, loss {f.ppl}, EMBFDR {float(np.mean(1 - chosen)) if len(chosen) else 0.0:.4f}", f"{'name':<16}{'theta':>8}{'beta':>12}{'se':>10}{'lower':>12}{'upper':>12}"]
         for j in np.lexsort((np.arange(len(f.theta)), -f.theta))[:top_n]:
             b, s = f.beta[1 + j], se[1 + j]
             out.append(f"{self.names_[j]:<16}{f.theta[j]:>8.4f}{b:>12.4f}{s:>10.4f}{b - z * s:>12.4f}{b + z * s:>12.4f}")
@@ -353,6 +368,8 @@ class SlabEstimator:
         self._check()
         if self.fit_method != "em" or self.latent_ is not None or self.firth:
             raise ValueError("resampling serves fits by EM, without Binomial latents and Firth's correction")
+        if self.knots_ is not None:
+            raise ValueError("resampling doesn't rank the features anew, so it serves no marginal")
         if self.family != "gaussian" and (self.dynamic_ is not None or self.rank):
             raise ValueError("resampling with dynamic factors or a rank serves a Gaussian response")
         ids, prior, wr, coords = self.blocks_, self._prior(), self.wr_, self.coords_
@@ -393,7 +410,7 @@ class SlabEstimator:
         return validate.bootstrap_ci(rows, fit, n_boot, ci, self.random_state)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Parameters and arrays under ``path``; of dynamic latents all but the training states. A model with Binomial latents raises ValueError."""
+        """Parameters and arrays under ``path``; of dynamic latents all but the training states; of a marginal its knots, in the same folder. A model with Binomial latents raises ValueError."""
         self._check()
         if self.latent_ is not None:
             raise ValueError("models with Binomial latents are not stored")
@@ -409,6 +426,8 @@ class SlabEstimator:
             for b, f in enumerate(self.dynamic_):
                 arrays |= {f"{k}:{b}": np.ravel(getattr(f, k)) for k in _DYNAMIC}
         save_model(spark, path, type(self).__name__, {"params": self.get_params(), "names": self.names_, "raw_names": self.raw_names_, "family": self.family}, {k: list(np.asarray(v, float)) for k, v in arrays.items()})
+        if self.knots_ is not None:
+            self.knots_.write.mode("overwrite").parquet(f"{path}/{_KNOTS}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> SlabEstimator:
@@ -422,6 +441,7 @@ class SlabEstimator:
         out.cov_ = np.array(a["cov"]).reshape(len(out.fit_.beta), -1)
         out.blocks_ = np.array(a["blocks"], int) if "blocks" in a else None
         out.factors_, out.dynamic_, out.coords_, out.latent_, out.flips_, out.draws_ = None, None, None, None, None, None
+        out.knots_ = spark.read.parquet(f"{path}/{_KNOTS}") if out.marginal else None
         if "phi:0" in a:
             out.dynamic_ = []
             while f"phi:{len(out.dynamic_)}" in a:

@@ -603,6 +603,22 @@ def copula_oos(spark: SparkSession, d: str) -> DataFrame:
     return rounded(copula.to_gaussian(e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0"), "v", ["event_type"]).select("event_id", "z"), "z")
 
 
+_LINE = ("quantity", "amount", "discount")
+
+
+@query(f"""WITH l AS (SELECT sale_id, line_no, unnest([0, 1, 2]) AS j, unnest([{", ".join(f"{c}::DOUBLE" for c in _LINE)}]) AS v FROM sale_lines),
+t AS (SELECT j, v AS x, (sum(count(*)) OVER (PARTITION BY j ORDER BY v) - count(*) + 0.5) / sum(count(*)) OVER (PARTITION BY j) AS lo, (sum(count(*)) OVER (PARTITION BY j ORDER BY v) - 0.5) / sum(count(*)) OVER (PARTITION BY j) AS hi FROM l WHERE sale_id % 2 = 0 AND v IS NOT NULL GROUP BY j, v),
+q AS (SELECT DISTINCT j, v FROM l WHERE v IS NOT NULL), a AS (SELECT q.*, t.x AS ax, t.hi AS ahi FROM q ASOF LEFT JOIN t ON q.j = t.j AND q.v >= t.x),
+b AS (SELECT a.*, t.x AS bx, t.lo AS blo FROM a ASOF LEFT JOIN t ON a.j = t.j AND a.v <= t.x),
+u AS (SELECT j, v, least(greatest((CASE WHEN ax IS NULL THEN blo WHEN bx IS NULL OR ax = v THEN ahi ELSE ahi + (v - ax) / (bx - ax) * (blo - ahi) END)::DOUBLE, 1e-6), 1 - 1e-6) AS u FROM b), z AS (SELECT j, v, round({X.ndtri_sql('u')}, 6) + 0.0 AS z FROM u)
+SELECT sale_id, line_no, {", ".join(f"z{j}.z AS {c}" for j, c in enumerate(_LINE))} FROM sale_lines s {" ".join(f"LEFT JOIN z z{j} ON z{j}.j = {j} AND z{j}.v = s.{c}::DOUBLE" for j, c in enumerate(_LINE))}""")
+def copula_wide(spark: SparkSession, d: str) -> DataFrame:
+    """All sale lines' numbers on the scale of even sales' lines, as arrays."""
+    rows = table(spark, d, "sale_lines").select("sale_id", "line_no", F.array(*[F.col(c).cast("double") for c in _LINE]).alias("x"))
+    z = copula.wide_scores(rows, copula.wide_ecdf(rows.where("sale_id % 2 = 0")))
+    return rounded(z.select("sale_id", "line_no", *[F.col("x")[j].alias(c) for j, c in enumerate(_LINE)]), *_LINE)
+
+
 @query(f"""WITH c AS (SELECT user_id, count(*) AS y FROM events GROUP BY user_id), m AS (SELECT avg(y) AS mu, max(y) AS top FROM c), k AS (SELECT r.k::DOUBLE AS k, exp(r.k * ln(mu) - mu - lgamma(r.k + 1)) AS p FROM m, range(0, 100000) r(k) WHERE r.k <= top),
 s AS (SELECT k, p, coalesce(sum(p) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k), u AS (SELECT user_id, least(greatest(below + (user_id * 7919 % 1000) / 1000 * greatest(p, 1e-12), 1e-6), 1 - 1e-6) AS u FROM c JOIN s ON c.y = s.k) SELECT user_id, round({X.ndtri_sql('u')}, 4) + 0.0 AS z FROM u""")
 def copula_poisson(spark: SparkSession, d: str) -> DataFrame:
@@ -908,12 +924,12 @@ def gibbs_sumstats(spark: SparkSession, d: str) -> DataFrame:
 # ---- estimators, latents, streams
 
 
-def _regressor(spark: SparkSession, d: str):
+def _regressor(spark: SparkSession, d: str, **options):
     from sparkslab.plans.estimator import SlabRegressor
 
     rows = _vectors(spark, d).withColumnRenamed("vec_id", "row_id").drop("fold")
     places = spark.range(64).select(F.col("id").alias("feature_id"), F.col("id").cast("double").alias("s"))
-    return SlabRegressor(decorrelate="ppca", xi0=-1.0, kappa=50.0).fit(rows, places, block_id=np.arange(64) // 8), rows
+    return SlabRegressor(decorrelate="ppca", xi0=-1.0, kappa=50.0, **options).fit(rows, places, block_id=np.arange(64) // 8), rows
 
 
 @query()
@@ -928,6 +944,13 @@ def summary_table(spark: SparkSession, d: str) -> DataFrame:
     return _regressor(spark, d)[0].summary_df(spark)
 
 
+@query()
+def estimator_copula(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions by factors of the features' normal scores."""
+    model, rows = _regressor(spark, d, marginal="copula")
+    return model.predict(rows)
+
+
 @query()
 def estimator_predict(spark: SparkSession, d: str) -> DataFrame:
     """Predictions with intervals."""
