@@ -88,13 +88,14 @@ def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
 
     A null or nan has no score (null); a null array stays null; a place without
     knots is null.  Each distinct value is placed once, so that a value that many
-    rows have is one row of the sweep; arrays are put together again by their
-    content, so that equal rows need no key.
+    rows have is one row of the sweep; arrays are put together again by 128 bits of
+    their content, so that equal rows need no key.
     """
-    key = F.sha2(F.col("x").cast("string"), 256)
-    each = _members(rows.select(key.alias("_array"), "x").dropDuplicates(["_array"]), "_array")
+    content = (F.col("x"), F.transform("x", F.isnull))  # a null alone leaves a hash as it was
+    key = F.struct(F.xxhash64(F.lit(0), *content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
+    each = _members(rows.select(key.alias("_array"), "x"), "_array")
     placed = on_scale(each.select("feature_id", "v").distinct(), knots, "v", ["feature_id"])
-    whole = each.join(placed, ["feature_id", "v"]).groupBy("_array").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "z"))).alias("_z"))
+    whole = each.join(placed, ["feature_id", "v"]).groupBy("_array").agg(F.map_from_entries(F.collect_set(F.struct("feature_id", "z"))).alias("_z"))
     found = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), key.alias("_array")).join(whole, "_array", "left")
     x = F.col("_row.x")
     scored = F.when(F.size(x) > 0, F.transform(x, lambda _, j: F.try_element_at("_z", j))).otherwise(x.cast("array<double>"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkslab.functions import exprs as X
 from sparkslab.operators import affinity, blocks, copula, factor, marginals, relevance, selection, suffstats
 from sparkslab.plans import dynamic, em, gibbs, statespace, validate
+from sparkslab.plans.stage import stage
 from sparkslab.sources.tables import seconds, table
 
 QUERIES: dict = {}
@@ -615,7 +616,7 @@ SELECT sale_id, line_no, {", ".join(f"z{j}.z AS {c}" for j, c in enumerate(_LINE
 def copula_wide(spark: SparkSession, d: str) -> DataFrame:
     """All sale lines' numbers on the scale of even sales' lines, as arrays."""
     rows = table(spark, d, "sale_lines").select("sale_id", "line_no", F.array(*[F.col(c).cast("double") for c in _LINE]).alias("x"))
-    z = copula.wide_scores(rows, copula.wide_ecdf(rows.where("sale_id % 2 = 0")))
+    z = copula.wide_scores(rows, stage(copula.wide_ecdf(rows.where("sale_id % 2 = 0")), "knots"))
     return rounded(z.select("sale_id", "line_no", *[F.col("x")[j].alias(c) for j, c in enumerate(_LINE)]), *_LINE)
 
 
