@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from sparkslab.operators.sweep import AFTER, BEFORE, group_key, neighbours, runn
 EPS = 1e-6
 #: Counts up to which the table of their probabilities is broadcast.
 BROADCAST_COUNTS = 100_000
+#: Knots of all places of an array up to which every task searches them (24 MB).
+BROADCAST_KNOTS = 1_000_000
 
 
 def _held(u: Column) -> Column:
@@ -87,9 +93,49 @@ def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
     """``rows`` with the arrays ``x`` on the normal scale of ``wide_ecdf``'s sample, place by place.
 
     A null or nan has no score (null); a null array stays null; a place without
-    knots is null.  Each distinct value is placed once, so that a value that many
-    rows have is one row of the sweep; arrays are put together again by 128 bits of
-    their content, so that equal rows need no key.
+    knots is null.  Up to ``BROADCAST_KNOTS`` knots go to every task, and no row is
+    shuffled; ``knots`` are counted first, so stage them.  More meet the values in
+    ``swept_scores``.
+    """
+    kept = knots.select("feature_id", "v", "u_low", "u_high").limit(BROADCAST_KNOTS + 1)
+    if kept.count() > BROADCAST_KNOTS:
+        return swept_scores(rows, knots)
+    sample = kept.toPandas().sort_values(["feature_id", "v"])
+    places = {int(j): g[["v", "u_low", "u_high"]].to_numpy(float).T for j, g in sample.groupby("feature_id")}
+    known = rows.sparkSession.sparkContext.broadcast(places)
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            v = part.flatten().to_numpy(zero_copy_only=False).astype(float)
+            at, u = np.arange(len(v)) - np.repeat(ends[:-1], n), np.full(len(v), np.nan)
+            for j in np.unique(at):
+                if j in known.value:
+                    u[at == j] = _between(v[at == j], *known.value[j])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(u))
+
+    ranks = F.arrow_udf(run, "array<double>")(F.col("x").cast("array<double>"))
+    scored = F.transform(ranks, lambda u: F.when(~F.isnan(u), ndtri(_held(u))))
+    return rows.withColumn("x", F.when(F.size("x") > 0, scored).otherwise(F.col("x").cast("array<double>")))
+
+
+def _between(v: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What ``interpolate`` gives, of knots in order; nan stays nan."""
+    right = np.searchsorted(x, v)
+    a, b = np.maximum(right - 1, 0), np.minimum(right, len(x) - 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u = high[a] + (v - x[a]) / (x[b] - x[a]) * (low[b] - high[a])
+    u = np.where(right == 0, low[0], np.where(right == len(x), high[-1], u))
+    return np.where(np.isnan(v), np.nan, np.where(x[b] == v, high[b], u))
+
+
+def swept_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
+    """``wide_scores`` by sweeps, however many the knots are.
+
+    Each distinct value is placed once, so that a value that many rows have is one
+    row of the sweep; arrays are put together again by 128 bits of their content,
+    so that equal rows need no key.
     """
     content = (F.col("x"), F.transform("x", F.isnull))  # a null alone leaves a hash as it was
     key = F.struct(F.xxhash64(F.lit(0), *content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))

@@ -30,7 +30,10 @@ def data(spark):
     return x, y, spark.createDataFrame([(i, float(y[i]), x[i].tolist(), i, "keep") for i in range(240)], SCHEMA)
 
 
-def test_wide_scores(spark, data):
+@pytest.mark.parametrize("few", [1_000_000, 100])
+def test_wide_scores(spark, data, monkeypatch, few):
+    """Both by searched and by swept knots."""
+    monkeypatch.setattr(copula, "BROADCAST_KNOTS", few)
     x, _, rows = data
     train, n = x[:160], float("nan")
     new = [(1, 0.0, x[200].tolist(), 0, "a"), (1, 0.0, x[200].tolist(), 0, "a"), (None, None, [1e9, -1e9, None, n], None, None), (3, 0.0, None, 0, "b"), (4, 0.0, [], 0, "c"), (5, 0.0, [1.0, 0.0], 0, "d"), (6, 0.0, [0.5, 0.0, 0.0, 0.0, 7.0], 0, "e")]
