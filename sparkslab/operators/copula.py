@@ -28,9 +28,7 @@ def _held(u: Column) -> Column:
 def _counted(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, value, c, upto, n): how often each distinct value stands, up to it, and in all."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    summed = running(counts, value, {"upto": F.col("c")}, by).withColumn("_g", group_key(by))
-    totals = counts.groupBy(group_key(by).alias("_g")).agg(F.sum("c").alias("n"))
-    return summed.join(totals, "_g").drop("_g")
+    return running(counts, value, {"upto": F.col("c")}, by, whole={"n": "upto"})
 
 
 def to_gaussian_empirical(df: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:

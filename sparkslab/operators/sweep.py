@@ -35,12 +35,14 @@ def bucketed(df: DataFrame, value: str, by: list[str], ends: DataFrame) -> DataF
     return keyed.repartition("_g", "_bucket")
 
 
-def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str], following: str | None = None) -> DataFrame:
+def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str], following: str | None = None, whole: dict[str, str] | None = None) -> DataFrame:
     """``df`` with a column for each of ``sums``: its total over the group's rows whose value is not larger.
 
     ``following`` names one more column, the value of the group's next row
-    (null for the last).
+    (null for the last); ``whole`` names columns with the group's total of one of
+    ``sums``, which come with the buckets' sums and not by a join of the group.
     """
+    whole = whole or {}
     some = df
     for name, of in sums.items():
         some = some.withColumn(f"_v{name}", of)
@@ -48,11 +50,11 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], by: list[str], f
     totals = some.groupBy("_g", "_bucket").agg(*[F.sum(f"_v{n}").alias(f"_t{n}") for n in sums], F.min(value).alias("_least"))
     order = Window.partitionBy("_g").orderBy("_bucket")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select("_g", "_bucket", *[F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_c{n}") for n in sums], F.lead("_least").over(order).alias("_next"))
+    carried = totals.select("_g", "_bucket", *[F.coalesce(F.sum(f"_t{n}").over(before), F.lit(0)).alias(f"_c{n}") for n in sums], *[F.sum(f"_t{n}").over(Window.partitionBy("_g")).alias(f"_a{c}") for c, n in whole.items()], F.lead("_least").over(order).alias("_next"))
     inside = Window.partitionBy("_g", "_bucket").orderBy(value)
     out = some.join(carried, ["_g", "_bucket"])
     more = [F.coalesce(F.lead(value).over(inside), F.col("_next")).alias(following)] if following else []
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_c{n}") + F.coalesce(F.sum(f"_v{n}").over(inside), F.lit(0))).alias(n) for n in sums], *more)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"_c{n}") + F.coalesce(F.sum(f"_v{n}").over(inside), F.lit(0))).alias(n) for n in sums], *[F.col(f"_a{c}").alias(c) for c in whole], *more)
 
 
 def gaps(df: DataFrame, value: str) -> DataFrame:
