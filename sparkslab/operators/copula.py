@@ -115,7 +115,8 @@ def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
 
     ranks = F.arrow_udf(run, "array<double>")(F.col("x").cast("array<double>"))
     scored = F.transform(ranks, lambda u: F.when(~F.isnan(u), ndtri(_held(u))))
-    return rows.withColumn("x", F.when(F.size("x") > 0, scored).otherwise(F.col("x").cast("array<double>")))
+    made = F.when(F.size("x") > 0, scored).otherwise(F.col("x").cast("array<double>"))
+    return rows.withColumn("x", F.explode(F.array(made)))  # worked out once, however often x is used
 
 
 def _between(v: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
