@@ -240,10 +240,15 @@ def dealt(rows: DataFrame, by: list[str], time: str, per_bucket: int = ROWS) ->
     if n == 1:
         return rows.withColumn("_bucket", F.lit(0)), 1
     ends = rows.groupBy("_g").agg(F.percentile_approx(time, [k / n for k in range(1, n)], max(1_000, 16 * n)).alias("_ends"))
+    # a row's bucket is found by ends of ends, so that its search grows with the root of their number
+    hop = math.isqrt(n) + 1
+    ends = ends.withColumn("_hops", F.filter("_ends", lambda _, k: (k + 1) % hop == 0))
     if groups * n <= BROADCAST_ENDS:  # else a shuffle by trajectory comes first
         ends = F.broadcast(ends)
-    rows = rows.join(ends, "_g", "left").withColumn("_bucket", F.coalesce(F.size(F.filter("_ends", lambda b: b < F.col(time))), F.lit(0)))
-    return rows.drop("_ends").repartition("_g", "_bucket"), n  # the join would leave a trajectory in one task
+    passed = lambda c: F.coalesce(F.size(F.filter(c, lambda b: b < F.col(time))), F.lit(0))
+    rows = rows.join(ends, "_g", "left").withColumn("_skipped", passed("_hops") * hop)
+    rows = rows.withColumn("_bucket", F.col("_skipped") + passed(F.slice("_ends", F.col("_skipped") + 1, F.lit(hop))))
+    return rows.drop("_ends", "_hops", "_skipped").repartition("_g", "_bucket"), n  # the join would leave a trajectory in one task
 
 
 _STATE = "_g string, _bucket int, z array<double>, p array<double>"

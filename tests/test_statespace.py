@@ -98,3 +98,16 @@ def test_estimator_of_nothing(spark):
     empty = spark.createDataFrame([], "row_id long, y double, x array<double>")
     with pytest.raises(ValueError, match="no row"):
         SlabRegressor().fit(empty)
+
+
+def test_buckets_are_found_by_ends_of_ends(spark):
+    """A row's bucket is the number of ends below its time, found without a look at each of them."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select("id", (F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 > 0, F.col("id") * 7919 % 2003).alias("t"))
+    made, n = statespace.dealt(rows, ["g"], "t", per_bucket=7)
+    ends = {r.g: r.e for r in rows.groupBy("g").agg(F.percentile_approx("t", [k / n for k in range(1, n)], max(1_000, 16 * n)).alias("e")).collect()}
+    got = made.select("g", "t", "_bucket").collect()
+    assert n == 143 and len(got) == 3000
+    assert all(r._bucket == (0 if r.t is None else sum(e < r.t for e in ends[r.g])) for r in got)
+    assert "slice(" in made._jdf.queryExecution().optimizedPlan().toString()
