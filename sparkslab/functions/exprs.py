@@ -86,6 +86,10 @@ def expit(x: Column) -> Column:
     """Logistic function."""
     return 1 / (1 + F.exp(-x))
 
+def half_up(x: Column, digits: int = 6) -> Column:
+    """A small number >= 0 rounded, halves up, without the decimals that ``round`` makes of each."""
+    return F.when(F.isnan(x), x).otherwise(F.floor(x * 10.0**digits + 0.5) / 10.0**digits)
+
 def held(x: Column, low: float | None = None, high: float | None = None) -> Column:
     """x within its bounds; null stays null (greatest and least would give the bound)."""
     out = x if low is None else F.greatest(x, F.lit(low))
