@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ EPS = 1e-6
 BROADCAST_COUNTS = 100_000
 #: Knots of all places of an array up to which every task searches them (24 MB).
 BROADCAST_KNOTS = 1_000_000
+#: Values of a cell, a range of one place of arrays, about; and values beyond which a cell is several tasks' work.
+CELL, PART = 20_000, 100_000
 
 
 def _held(u: Column) -> Column:
@@ -82,9 +85,57 @@ def _members(rows: DataFrame, *keys: str) -> DataFrame:
     return each.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+def _cuts(each: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """The inner ends of each place's cells of about ``CELL`` of its values v, by place; ``most`` is no less than any place's values."""
+    n = math.ceil(most / CELL)
+    if n < 2:
+        return {}
+    found = each.groupBy("feature_id").agg(F.percentile_approx("v", [k / n for k in range(1, n)], max(1_000, 16 * n)).alias("ends"))
+    return {int(r.feature_id): np.array(r.ends, float) for r in found.collect()}
+
+
+def _cell(place: np.ndarray, v: np.ndarray, cuts: dict[int, np.ndarray], side: str = "left") -> np.ndarray:
+    """Cell of each value: the cuts of its place below it (``side`` "right": or at it)."""
+    cell = np.zeros(len(v), np.int32)
+    for j in np.unique(place):
+        if j in cuts:
+            here = place == j
+            cell[here] = np.searchsorted(cuts[j], v[here], side)
+    return cell
+
+
+def _flat(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of arrays, and place and value of their elements; a null is nan."""
+    n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+    v = part.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return n, (np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), v
+
+
 def wide_ecdf(rows: DataFrame) -> DataFrame:
-    """(feature_id, v, u_low, u_high): the distribution function of each place of the arrays ``x``."""
-    return ecdf(_members(rows), "v", ["feature_id"])
+    """(feature_id, v, u_low, u_high): the distribution function of each place of the arrays ``x``.
+
+    Values are dealt by place and cell; a batch's equal ones go as one row with their number.
+    """
+    rows = rows.select(F.col("x").cast("array<double>").alias("x")).where("x is not null")
+    known = rows.sparkSession.sparkContext.broadcast(_cuts(_members(rows), rows.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, place, v = _flat(b.column(0))
+            for j in np.unique(place):
+                here = v[place == j]
+                some, c = np.unique(here[~np.isnan(here)] + 0.0, return_counts=True)
+                at = np.full(len(some), j, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(_cell(at, some, known.value)), pa.array(some), pa.array(c.astype(np.int64))], names=["feature_id", "_cell", "v", "c"])
+
+    dealt = rows.mapInArrow(run, "feature_id int, _cell int, v double, c long").repartition("feature_id", "_cell")
+    counts = dealt.groupBy("feature_id", "_cell", "v").agg(F.sum("c").alias("c"))
+    order = Window.partitionBy("feature_id").orderBy("_cell")
+    # one row a cell
+    totals = dealt.groupBy("feature_id", "_cell").agg(F.sum("c").alias("_t")).select("feature_id", "_cell", (F.sum("_t").over(order) - F.col("_t")).alias("_before"), F.sum("_t").over(Window.partitionBy("feature_id")).alias("n"))
+    upto = F.col("_before") + F.sum("c").over(Window.partitionBy("feature_id", "_cell").orderBy("v"))
+    summed = counts.join(F.broadcast(totals), ["feature_id", "_cell"]).withColumn("upto", upto)
+    return summed.select("feature_id", "v", ((F.col("upto") - F.col("c") + 0.5) / F.col("n")).alias("u_low"), ((F.col("upto") - 0.5) / F.col("n")).alias("u_high"))
 
 
 def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
@@ -104,14 +155,12 @@ def wide_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            v = part.flatten().to_numpy(zero_copy_only=False).astype(float)
-            at, u = np.arange(len(v)) - np.repeat(ends[:-1], n), np.full(len(v), np.nan)
+            n, at, v = _flat(part)
+            u = np.full(len(v), np.nan)
             for j in np.unique(at):
                 if j in known.value:
                     u[at == j] = _between(v[at == j], *known.value[j])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(u))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(u))
 
     ranks = F.arrow_udf(run, "array<double>")(F.col("x").cast("array<double>"))
     scored = F.transform(ranks, lambda u: F.when(~F.isnan(u), ndtri(_held(u))))
@@ -130,21 +179,90 @@ def _between(v: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) ->
 
 
 def swept_scores(rows: DataFrame, knots: DataFrame) -> DataFrame:
-    """``wide_scores`` by sweeps, however many the knots are.
+    """``wide_scores`` however many the knots are: values meet the knots of their cell, a range of their place.
 
-    Each distinct value is placed once, so that a value that many rows have is one
-    row of the sweep; arrays are put together again by 128 bits of their content,
-    so that equal rows need no key.
+    A cell of many values is several tasks' work, each with the cell's knots.  Equal
+    arrays are placed once, and put together again by 128 bits of their content, so
+    that equal rows need no key.
     """
     content = (F.col("x"), F.transform("x", F.isnull))  # a null alone leaves a hash as it was
-    key = F.struct(F.xxhash64(F.lit(0), *content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
-    each = _members(rows.select(key.alias("_array"), "x"), "_array")
-    placed = on_scale(each.select("feature_id", "v").distinct(), knots, "v", ["feature_id"])
-    whole = each.join(placed, ["feature_id", "v"]).groupBy("_array").agg(F.map_from_entries(F.collect_set(F.struct("feature_id", "z"))).alias("_z"))
-    found = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), key.alias("_array")).join(whole, "_array", "left")
+    keyed = rows.select(F.struct(*[f"`{c}`" for c in rows.columns]).alias("_row"), F.xxhash64(F.lit(0), *content).alias("_ka"), F.xxhash64(F.lit(1), *content).alias("_kb"))
+    spark = rows.sparkSession
+    most = knots.groupBy("feature_id").count().agg(F.max("count")).first()[0] or 0
+    known = spark.sparkContext.broadcast(_cuts(knots, most))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, at, v = _flat(b.column(0))
+            width = 1 + max((len(k) for k in known.value.values()), default=0)
+            c = np.bincount(at.astype(np.int64) * width + _cell(at, v, known.value))
+            some = np.flatnonzero(c)
+            at, cell, c = (some // width).astype(np.int32), (some % width).astype(np.int32), c[some]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cell), pa.array(c)], names=["feature_id", "_cell", "c"])
+
+    given = rows.select(F.col("x").cast("array<double>").alias("x")).where(F.size("x") > 0)
+    full = given.mapInArrow(count, "feature_id int, _cell int, c long").groupBy("feature_id", "_cell").agg(F.sum("c").alias("c")).where(F.col("c") > PART)
+    # one number for each ``PART`` values at most
+    parts = spark.sparkContext.broadcast({(r.feature_id, r._cell): math.ceil(r.c / PART) for r in full.collect()})
+
+    def shares(at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        n = np.ones(len(at), np.int64)
+        for (j, c), k in parts.value.items():
+            n[(at == j) & (cell == c)] = k
+        return n
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, at, v = _flat(b.column(2))
+            ka, kb = (np.repeat(b.column(k).to_numpy(), n) for k in (0, 1))
+            cell = _cell(at, v, known.value)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ka, kb, at, cell, np.mod(ka, shares(at, cell)), v)], names=["_ka", "_kb", "feature_id", "_cell", "_part", "v"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a knot at a cut is the first of the next cell, too
+            at, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cell, after = _cell(at, v, known.value), _cell(at, v, known.value, "right")
+            for c, some in ((cell, np.arange(len(at))), (after, np.flatnonzero(after > cell))):
+                n = shares(at[some], c[some])
+                again = np.repeat(some, n)
+                part = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(again)).columns, pa.array(c[again]), pa.array(part)], names=["feature_id", "v", "u_low", "u_high", "_cell", "_part"])
+
+    def place(values: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("v")
+        v = values["v"].to_numpy(float)
+        u = _between(v, *near[["v", "u_low", "u_high"]].to_numpy(float).T) if len(near) and len(v) else np.full(len(v), np.nan)
+        return values[["_ka", "_kb", "feature_id"]].assign(u=u)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Arrays of rows in order; the last one of a batch may go on in the next."""
+        left = [np.empty(0, t) for t in (np.int64, np.int64, float)]
+        for b in batches:
+            left = [np.concatenate([o, b.column(k).to_numpy(zero_copy_only=False)]) for k, o in enumerate(left)]
+            starts = np.flatnonzero((np.diff(left[0], prepend=left[0][:1]) != 0) | (np.diff(left[1], prepend=left[1][:1]) != 0))
+            if len(starts):
+                yield lists([c[: starts[-1]] for c in left], np.concatenate([[0], starts]))
+                left = [c[starts[-1] :] for c in left]
+        if len(left[0]):
+            yield lists(left, np.array([0, len(left[0])]))
+
+    def lists(c: list[np.ndarray], ends: np.ndarray) -> pa.RecordBatch:
+        z = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c[2], from_pandas=True))
+        return pa.RecordBatch.from_arrays([pa.array(c[0][ends[:-1]]), pa.array(c[1][ends[:-1]]), z], names=["_ka", "_kb", "_z"])
+
+    arrays = keyed.select("_ka", "_kb", F.col("_row.x").cast("array<double>").alias("x")).where(F.size("x") > 0).dropDuplicates(["_ka", "_kb"])
+    each = arrays.mapInArrow(deal, "_ka long, _kb long, feature_id int, _cell int, _part long, v double")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    near = knots.select(F.col("feature_id").cast("int").alias("feature_id"), number("v"), number("u_low"), number("u_high")).mapInArrow(spread, "feature_id int, v double, u_low double, u_high double, _cell int, _part long")
+    cell = ["feature_id", "_cell", "_part"]
+    placed = each.groupBy(*cell).cogroup(near.groupBy(*cell)).applyInPandas(place, "_ka long, _kb long, feature_id int, u double")
+    scored = placed.select("_ka", "_kb", "feature_id", F.when(~F.isnan("u"), ndtri(_held(F.col("u")))).alias("z"))
+    ordered = scored.repartition("_ka", "_kb").sortWithinPartitions("_ka", "_kb", "feature_id").select("_ka", "_kb", "z")
+    whole = ordered.mapInArrow(together, "_ka long, _kb long, _z array<double>")
+    found = keyed.join(whole, ["_ka", "_kb"], "left")
     x = F.col("_row.x")
-    scored = F.when(F.size(x) > 0, F.transform(x, lambda _, j: F.try_element_at("_z", j))).otherwise(x.cast("array<double>"))
-    return found.select(*[scored.alias("x") if c == "x" else F.col(f"_row.`{c}`") for c in rows.columns])
+    made = F.when(F.size(x) > 0, F.col("_z")).otherwise(x.cast("array<double>"))
+    return found.select(*[made.alias("x") if c == "x" else F.col(f"_row.`{c}`") for c in rows.columns])
 
 
 def from_gaussian(queries: DataFrame, train: DataFrame, z: str = "z", value: str = "v", by: list[str] | None = None) -> DataFrame:

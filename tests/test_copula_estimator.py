@@ -82,3 +82,29 @@ def test_refused(spark, data):
         SlabRegressor(marginal="copula").fit(rows)
     with pytest.raises(ValueError, match="decorrelated"):
         SlabClassifier(decorrelate="binomial_sar", marginal="copula").fit(rows, places)
+
+
+def test_scores_by_cells_are_the_searched_ones(spark, data, monkeypatch):
+    """Many cells, of which a hot value's and the nulls' are several tasks' work, and batches that end inside an array."""
+    monkeypatch.setattr(copula, "CELL", 12)
+    monkeypatch.setattr(copula, "PART", 9)
+    x, _, rows = data
+    hot = [(1000 + k, 0.0, [0.5, 1.0, None, float(k)], k, "hot") for k in range(60)]
+    both = rows.union(spark.createDataFrame(hot, SCHEMA))
+    knots = copula.wide_ecdf(both.where("row_id % 3 > 0"))
+    train = [(j, v) for i, r in enumerate(x) if i % 3 for j, v in enumerate(r)] + [(j, v) for i, _, r, _, _ in hot if i % 3 for j, v in enumerate(r) if v is not None]
+    got = {(r.feature_id, r.v): (r.u_low, r.u_high) for r in knots.collect()}
+    assert set(got) == set(train)
+    for j in range(4):
+        s = np.sort([v for k, v in train if k == j])
+        for v in np.unique(s):
+            low, high = np.searchsorted(s, v), np.searchsorted(s, v, "right")
+            assert got[j, v] == ((low + 0.5) / len(s), (high - 0.5) / len(s))
+    want = {r.row_id: r.x for r in copula.wide_scores(both, knots).collect()}
+    monkeypatch.setattr(copula, "BROADCAST_KNOTS", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r.row_id: r.x for r in copula.wide_scores(both, knots).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == want and len(found) == 300
